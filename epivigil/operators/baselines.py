@@ -1,19 +1,25 @@
-"""Rolling-origin baselines with empirical-error deciles, as window plans.
+"""Rolling-origin baselines with empirical-error deciles.
 
 Every row of a series is an origin (its last observed step). The errors an origin may use are a frame of rows before
-it, so one sort per series serves all origins, horizons and models; no origin is joined to its history. A partition
+it, so one sort per series serves all origins, horizons and models; no origin is joined to its history. Points and errors
+are window expressions. The deciles of the moving frame come from one sorted list per series that gains and loses a value
+per step (Arrow batches); the built-in percentile would count and sort the whole frame again for every row. A partition
 holds one series, at most one row per step of its calendar. Missing steps are the caller's error (``require_complete``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from bisect import bisect_left, insort
 from functools import reduce
 from operator import add
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.quantiles import LEVELS, QCOLS
 
@@ -32,9 +38,9 @@ def require_complete(df: DataFrame, by: Sequence[str], idx: str, value: str) ->
     return d.where(ok).drop("_gaps")
 
 
-def _start(window: int | None, lead_rows: int):
+def _start(window: int | None, lead_rows: int) -> int | None:
     """Frame start for an expanding or a sliding context whose first ``lead_rows`` rows carry no error."""
-    return W.unboundedPreceding if window is None else -(window - 1 - lead_rows)
+    return None if window is None else -(window - 1 - lead_rows)
 
 
 def deciles(point: Column, err: Column, positive: bool = True, center: bool = True) -> Column:
@@ -49,8 +55,57 @@ def error_deciles(df: DataFrame, by: Sequence[str], err: str = "err", out: str =
     return df.groupBy(*by).agg(F.expr(f"percentile({err}, {_ARR})").alias(out))
 
 
-def _decile_frame(col: str, frame) -> Column:
-    return F.expr(f"percentile({col}, {_ARR})").over(frame)
+def spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Hash-partition by series into the configured number of partitions.
+
+    The work per row is heavy and the rows are few bytes; an explicit count keeps adaptive execution from merging the
+    partitions by size into a few long tasks. The windows that follow use this partitioning without another shuffle.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *by) if by else df
+
+
+def frame_deciles(x: np.ndarray, first: int | None, last: int, want: np.ndarray) -> list:
+    """Deciles of x[r+first .. r+last] (from the start when ``first`` is None) for every wanted row r; NaN is left out."""
+    out, held, added, dropped = [None] * len(x), [], 0, 0
+    for r in range(len(x)):
+        while added <= min(r + last, len(x) - 1):
+            if x[added] == x[added]:
+                insort(held, x[added])
+            added += 1
+        if first is not None:
+            while dropped < min(r + first, added):
+                if x[dropped] == x[dropped]:
+                    del held[bisect_left(held, x[dropped])]
+                dropped += 1
+        if want[r] and held:
+            top = len(held) - 1
+            row = []
+            for level in LEVELS:
+                pos = top * level
+                i = int(pos)
+                a = held[i]
+                row.append(a + (held[i + 1] - a) * (pos - i) if i < top else a)
+            out[r] = row
+    return out
+
+
+def _frame_columns(df: DataFrame, by: Sequence[str], idx: str, frames: dict[str, tuple[str, int | None, int]], want: str) -> DataFrame:
+    """Adds one array<double> column per entry name -> (error column, first, last)."""
+    schema = T.StructType(list(df.schema.fields))
+    for name in frames:
+        schema = schema.add(name, T.ArrayType(T.DoubleType()))
+    used = {c for c, _, _ in frames.values()}
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(idx)
+        flags = pdf[want].fillna(False).to_numpy(dtype=bool)
+        values = {c: pdf[c].to_numpy(dtype=float) for c in used}
+        for name, (col, first, last) in frames.items():
+            pdf[name] = pd.Series(frame_deciles(values[col], first, last, flags), index=pdf.index, dtype=object)
+        return pdf[flags]
+
+    return df.groupBy(*by).applyInPandas(run, schema)
 
 
 def ma_weights(window: int, horizon: int) -> list[list[float]]:
@@ -76,7 +131,7 @@ def forecasts(
     hs = list(hs) if hs else list(range(1, horizon + 1))
     w = W.partitionBy(*by).orderBy(idx)
     x = F.col(value).cast("double")
-    d = df.withColumn("_x", x).withColumns({"_n": F.row_number().over(w), "_future": F.lead("_x", horizon).over(w)})
+    d = spread(df, by).withColumn("_x", x).withColumns({"_n": F.row_number().over(w), "_future": F.lead("_x", horizon).over(w)})
     d = d.withColumn("_len", F.col("_n") if window is None else F.least(F.col("_n"), F.lit(window)))
     cols: dict[str, Column] = {f"_y{h}": F.lead("_x", h).over(w) for h in hs}
     if "snaive" in models or with_truth:
@@ -107,22 +162,24 @@ def forecasts(
         else:
             raise ValueError(f"unknown baseline {m}")
     d = d.withColumns({**err, **{f"_p_{m}_{h}": c for (m, h), c in point.items()}})
-    q: dict[str, Column] = {}
+    frames: dict[str, tuple[str, int | None, int]] = {}
     for m in models:
         if m == "snaive":
-            q["_q_snaive"] = _decile_frame("_es", w.rowsBetween(_start(window, season), 0))
+            frames["_q_snaive"] = ("_es", _start(window, season), 0)
             continue
         skip = 0 if m == "naive" else ma - 1
         for h in hs:
-            q[f"_q_{m}_{h}"] = _decile_frame(f"_e_{m}_{h}", w.rowsBetween(_start(window, skip), -horizon))
-    d = d.withColumns(q)
+            frames[f"_q_{m}_{h}"] = (f"_e_{m}_{h}", _start(window, skip), -horizon)
     need = {"naive": horizon + 1, "snaive": season + 8}
     ok = F.col("_n") >= warmup
     if with_truth:
         ok = ok & F.col("_future").isNotNull()
     if keep is not None:
         ok = ok & keep
-    d = d.where(ok)
+    d = d.withColumn("_ok", ok).select(
+        *by, idx, "_x", "_scale", "_len", "_ok", *[f"_y{h}" for h in hs], *[f"_p_{m}_{h}" for m, h in point], *sorted({c for c, _, _ in frames.values()})
+    )
+    d = _frame_columns(d, by, idx, frames, "_ok")
     rows = []
     for m in models:
         least = need.get(m, (ma or 0) + horizon + 8)
