@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import labels as lb
+from .panel import bounds
 
 DMAX = 120
 
@@ -48,8 +49,8 @@ def dense_days(series: DataFrame, first: Column, last: Column) -> DataFrame:
 
 def daily_panel(hist: DataFrame, first: Column | None = None, last: Column | None = None) -> DataFrame:
     """Final counts (series, day, n) on every day, zeros included."""
-    lo = first if first is not None else hist.agg(F.min("onset").alias("v")).scalar()
-    hi = last if last is not None else hist.agg(F.max("onset").alias("v")).scalar()
+    lo, hi = bounds(hist, "onset")
+    lo, hi = lo if first is None else first, hi if last is None else last
     sums = hist.groupBy("series", F.col("onset").alias("day")).agg(F.sum("n").alias("n"))
     grid = dense_days(hist.select("series").distinct(), lo, hi)
     return grid.join(sums, ["series", "day"], "left").select("series", "day", F.coalesce("n", F.lit(0)).cast("long").alias("n"))

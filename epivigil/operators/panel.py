@@ -45,6 +45,12 @@ def national_long(tables: Mapping[str, DataFrame], measures: Sequence[Measure])
     return outs.where(F.col("value").isNotNull())
 
 
+def bounds(df: DataFrame, col: str) -> tuple[Column, Column]:
+    """(smallest, largest) value of a column, from one scalar subquery."""
+    b = df.agg(F.struct(F.min(col).alias("lo"), F.max(col).alias("hi")).alias("v")).scalar()
+    return b["lo"], b["hi"]
+
+
 def spine(first: Column, last: Column, spark) -> DataFrame:
     """Weeks first..last (indexes) as rows week_idx, yw, week_start."""
     return (
@@ -56,7 +62,7 @@ def spine(first: Column, last: Column, spark) -> DataFrame:
 
 def on_spine(long: DataFrame) -> DataFrame:
     """Every indicator on every week between the first and last week of any of them; null = unobserved."""
-    lo, hi = long.agg(F.min("week_idx").alias("v")).scalar(), long.agg(F.max("week_idx").alias("v")).scalar()
+    lo, hi = bounds(long, "week_idx")
     keys = long.select("source", "indicator").distinct().withColumn("week_idx", F.explode(F.sequence(lo, hi)))
     return keys.join(long.drop("yw"), ["source", "indicator", "week_idx"], "left").withColumn(
         "yw", cal.yw_of_index(F.col("week_idx"))
@@ -65,7 +71,7 @@ def on_spine(long: DataFrame) -> DataFrame:
 
 def wide(long: DataFrame, indicators: Sequence[str]) -> DataFrame:
     """Long -> one row per week of the full range, one column per indicator (listed, so no extra job finds them)."""
-    lo, hi = long.agg(F.min("week_idx").alias("v")).scalar(), long.agg(F.max("week_idx").alias("v")).scalar()
+    lo, hi = bounds(long, "week_idx")
     w = long.groupBy("week_idx").pivot("indicator", list(indicators)).agg(F.first("value", ignorenulls=True))
     return spine(lo, hi, long.sparkSession).join(w, "week_idx", "left")
 

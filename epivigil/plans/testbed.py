@@ -76,30 +76,42 @@ C_CPANEL = C_VISITS + """,
 
 def national(spark: SparkSession, sf: str) -> DataFrame:
     """(week_idx, yw, week_start, cases, total) on the full range of weeks."""
-    v = visits(spark, sf)
-    g = v.groupBy("week_idx").agg(F.sum("cases").alias("cases"), F.sum("total").alias("total"))
-    s = pn.spine(v.agg(F.min("week_idx")).scalar(), v.agg(F.max("week_idx")).scalar(), spark)
-    return s.join(g, "week_idx", "left")
+
+    def make():
+        v = visits(spark, sf)
+        g = v.groupBy("week_idx").agg(F.sum("cases").alias("cases"), F.sum("total").alias("total"))
+        s = pn.spine(*pn.bounds(v, "week_idx"), spark)
+        return s.join(g, "week_idx", "left")
+
+    return stored(spark, sf, "national", make)
 
 
 def county_panel(spark: SparkSession, sf: str) -> DataFrame:
     """(county, week_idx, cases, total) on the full grid, zeros included."""
-    v = visits(spark, sf)
-    g = v.groupBy("county", "week_idx").agg(F.sum("cases").alias("cases"), F.sum("total").alias("total"))
-    lo, hi = v.agg(F.min("week_idx")).scalar(), v.agg(F.max("week_idx")).scalar()
-    grid = g.select("county").distinct().withColumn("week_idx", F.explode(F.sequence(lo, hi)))
-    return grid.join(g, ["county", "week_idx"], "left").select(
-        "county", "week_idx", F.coalesce("cases", F.lit(0)).alias("cases"), F.coalesce("total", F.lit(0)).alias("total")
-    )
+
+    def make():
+        v = visits(spark, sf)
+        g = v.groupBy("county", "week_idx").agg(F.sum("cases").alias("cases"), F.sum("total").alias("total"))
+        lo, hi = pn.bounds(v, "week_idx")
+        grid = g.select("county").distinct().withColumn("week_idx", F.explode(F.sequence(lo, hi)))
+        return grid.join(g, ["county", "week_idx"], "left").select(
+            "county", "week_idx", F.coalesce("cases", F.lit(0)).alias("cases"), F.coalesce("total", F.lit(0)).alias("total")
+        )
+
+    return stored(spark, sf, "county_panel", make)
 
 
 def long_series(spark: SparkSession, sf: str) -> DataFrame:
     """Weekly totals per age group and nationally as (source, week_idx, value), null where a week has no row."""
-    v = visits(spark, sf)
-    both = v.withColumn("source", F.explode(F.array(F.lit("all"), F.col("age"))))
-    g = both.groupBy("source", "week_idx").agg(F.sum("total").cast("double").alias("value"))
-    lo, hi = v.agg(F.min("week_idx")).scalar(), v.agg(F.max("week_idx")).scalar()
-    return g.select("source").distinct().withColumn("week_idx", F.explode(F.sequence(lo, hi))).join(g, ["source", "week_idx"], "left")
+
+    def make():
+        v = visits(spark, sf)
+        both = v.withColumn("source", F.explode(F.array(F.lit("all"), F.col("age"))))
+        g = both.groupBy("source", "week_idx").agg(F.sum("total").cast("double").alias("value"))
+        lo, hi = pn.bounds(v, "week_idx")
+        return g.select("source").distinct().withColumn("week_idx", F.explode(F.sequence(lo, hi))).join(g, ["source", "week_idx"], "left")
+
+    return stored(spark, sf, "long_series", make)
 
 
 C_LONG = C_VISITS + """,
