@@ -10,6 +10,7 @@ import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import linelist as ll
@@ -65,18 +66,16 @@ def gamma_poisson(
     prior_lags; a second pass takes it from the first result at lags 2..prior_lags[1]-1. With ``report_triggered`` days
     with nothing reported stay 0.
     """
-    c = comp.select("origin", "k", F.col("share").alias("_c"))
-    top = c.where(F.col("k") == dmax).select("origin", F.col("_c").alias("_ctop"))
-    d = known.join(c, ["origin", "k"], "left").join(top, "origin", "left").withColumn("_c", F.coalesce("_c", "_ctop", F.lit(1.0)))
+    c = comp.select("origin", F.col("k").alias("_k"), F.col("share").alias("_c"))
+    d = known.withColumn("_k", F.least("k", F.lit(dmax))).join(c, ["origin", "_k"], "left").withColumn("_c", F.coalesce("_c", F.lit(1.0)))
     d = d.withColumn("_r", F.col("n").cast("double")).withColumn("_out", F.col("_r"))
+    # an (origin, series) partition holds the few onset days of the window
+    w = W.partitionBy("origin", "series")
     for p in range(passes):
-        lag_lo, src = (prior_lags[0], F.col("_r") / F.col("_c")) if p == 0 else (2, F.col("_out"))
-        lag_hi = prior_lags[1] if p == 0 else prior_lags[1] - 1
-        level = d.where(F.col("k").between(lag_lo, lag_hi)).groupBy("origin", "series").agg(
-            F.greatest(F.avg(src), F.lit(floor)).alias("_lam")
-        )
-        d = d.drop("_lam").join(level, ["origin", "series"], "left")
-        add = (F.lit(beta) * F.coalesce("_lam", F.lit(floor)) + F.col("_r")) * (1 - F.col("_c")) / (F.lit(beta) + F.col("_c"))
+        src, lo, hi = (F.col("_r") / F.col("_c"), *prior_lags) if p == 0 else (F.col("_out"), 2, prior_lags[1] - 1)
+        level = F.coalesce(F.avg(F.when(F.col("k").between(lo, hi), src)).over(w), F.lit(0.0))
+        d = d.withColumn("_lam", F.greatest(level, F.lit(floor)))
+        add = (F.lit(beta) * F.col("_lam") + F.col("_r")) * (1 - F.col("_c")) / (F.lit(beta) + F.col("_c"))
         if report_triggered:
             add = F.when(F.col("_r") >= 1, add).otherwise(0.0)
         d = d.withColumn("_out", F.when(F.col("k") <= dmax, F.col("_r") + add).otherwise(F.col("_r")))

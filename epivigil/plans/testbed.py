@@ -106,8 +106,9 @@ def long_series(spark: SparkSession, sf: str) -> DataFrame:
 
     def make():
         v = visits(spark, sf)
-        both = v.withColumn("source", F.explode(F.array(F.lit("all"), F.col("age"))))
-        g = both.groupBy("source", "week_idx").agg(F.sum("total").cast("double").alias("value"))
+        ages = v.groupBy("age", "week_idx").agg(F.sum("total").cast("double").alias("value"))
+        both = ages.withColumn("source", F.explode(F.array(F.lit("all"), F.col("age"))))
+        g = both.groupBy("source", "week_idx").agg(F.sum("value").alias("value"))
         lo, hi = pn.bounds(v, "week_idx")
         return g.select("source").distinct().withColumn("week_idx", F.explode(F.sequence(lo, hi))).join(g, ["source", "week_idx"], "left")
 
@@ -158,7 +159,7 @@ def backtest_cte(src: str, key: str, value: str, name: str = "bt", season: int =
         for h in hs:
             p = {"naive": "x", "snaive": f"s{h}", "ma3": f"m{h}"}[mod]
             e = "q_snaive" if mod == "snaive" else f"q_{mod}_{h}"
-            qs = ", ".join(f"GREATEST(0.0, {p} + {e}[{i + 1}] - {e}[5]) AS q{10 * (i + 1)}" for i in range(9))
+            qs = ", ".join(f"GREATEST(0.0, floor(({p} + {e}[{i + 1}] - {e}[5]) * 1e9 + 0.5) / 1e9) AS q{10 * (i + 1)}" for i in range(9))
             least = season + 8 if mod == "snaive" else 0
             sel.append(
                 f"SELECT {key}, '{mod}' AS model, {idx} AS origin, {h} AS h, y{h} AS y, x AS y_origin, scale AS mase_scale, {qs} FROM {name}_q WHERE rn >= {warmup} AND fut IS NOT NULL AND rn >= {least}"
