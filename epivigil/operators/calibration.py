@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from . import ranks
 
 
@@ -52,12 +53,13 @@ def isotonic_fit(counts: DataFrame, by: Sequence[str], buckets: int = ranks.BUCK
     Pooling may be done in any order, so each score bucket is pooled by itself in parallel and the surviving blocks once
     more per group.
     """
-    b = ranks.add_bucket(counts, by, "p", buckets).select(
-        *by, "_b", (F.col("p") * F.col("n")).alias("sx"), "n", F.col("pos").alias("sy")
+    keys = list(by) or ["_one"]
+    c = counts if by else counts.withColumn("_one", F.lit(0))
+    b = ranks.add_bucket(c, keys, "p", buckets).select(
+        *keys, "_b", (F.col("p") * F.col("n")).alias("sx"), "n", F.col("pos").alias("sy")
     )
-    part = b.groupBy(*by, "_b").applyInPandas(_pool, b.schema).drop("_b")
-    key = list(by) or [F.lit(0)]
-    blocks = part.groupBy(*key).applyInPandas(_pool, part.schema)
+    part = b.groupBy(*keys, "_b").applyInPandas(_pool, b.schema).drop("_b")
+    blocks = part.groupBy(*keys).applyInPandas(_pool, part.schema)
     return blocks.select(*by, (F.col("sx") / F.col("n")).alias("x"), (F.col("sy") / F.col("n")).alias("y"), "n")
 
 
@@ -124,7 +126,8 @@ def loyo(df: DataFrame, prob: str = "prob", event: str = "event", year: str = "y
         return df.withColumn(out, F.when(known, platt_predict(F.col(prob), F.col(year), params)))
     if method != "isotonic":
         raise ValueError("method must be 'isotonic' or 'platt'")
-    knots = isotonic_fit(train, ["fold"])
+    # the knots are read several times below; they are stored once instead of being fitted again
+    knots = written(isotonic_fit(train, ["fold"]), "knots")
     points = counts.select(F.col(year).alias("fold"), F.col("p"))
     m = isotonic_predict(points, knots, ["fold"], "p", out)
     return df.join(m.select(F.col("fold").alias(year), F.col("p").alias(prob), out), [year, prob], "left")
@@ -133,6 +136,7 @@ def loyo(df: DataFrame, prob: str = "prob", event: str = "event", year: str = "y
 def calibration_map(knots: DataFrame, step: float = 0.01) -> DataFrame:
     """The deployable map on a grid of raw probabilities 0..1."""
     n = round(1 / step)
+    knots = written(knots, "knots")
     grid = knots.sparkSession.range(n + 1).select(F.round(F.col("id") * step, 6).alias("raw"))
     return isotonic_predict(grid, knots, [], "raw")
 

@@ -1 +1,57 @@
-"""Queries."""
+"""Probability calibration and scores."""
+
+from pyspark.sql import functions as F
+
+from ..operators import calibration as cb
+from .registry import R, big, chain, query, rnd, rounded, text
+from .testbed import C_EW, any_rows, stored
+
+_EDGES = "[" + ", ".join(repr(e) for e in cb.edges()) + "]"
+_BIN = f"GREATEST(len(list_filter({_EDGES}, lambda e: e <= prob)) - 1, 0)"
+
+
+def naive_rows(spark, sf):
+    return any_rows(spark, sf).where("model = 'naive'")
+
+
+@query("i16_isotonic")
+def i16(spark, sf):
+    knots = cb.isotonic_fit(cb.counts_by_score(naive_rows(spark, sf), ["mode"]), ["mode"])
+    return knots.select("mode", rnd("x").alias("x"), rnd("y").alias("y"), big("n").alias("n"))
+
+
+@query("i17_platt")
+def i17(spark, sf):
+    r = naive_rows(spark, sf)
+    counts = cb.counts_by_score(r.withColumn("fold", F.lit("all")), ["fold"])
+    params = cb.platt_fit(counts, "fold")
+    return counts.select("p", "n", "pos", rnd(cb.platt_predict(F.col("p"), F.col("fold"), params)).alias("calibrated"))
+
+
+@query("i18_leave_one_year_out")
+def i18(spark, sf):
+    r = naive_rows(spark, sf)
+    a = cb.loyo(r, out="prob_cal")
+    b = cb.loyo(a, method="platt", out="prob_platt")
+    return b.select("series", text("origin").alias("origin"), "year", "event", rnd("prob").alias("prob"), rnd("prob_cal").alias("prob_cal"), rnd("prob_platt").alias("prob_platt"))
+
+
+@query("i19_probability_scores", chain(C_EW, "c AS (SELECT model, year, CAST(event AS INTEGER) AS y, prob, GREATEST(0.001, LEAST(0.999, prob)) AS pc FROM anyr)",
+ f"b AS (SELECT model, year, {_BIN} AS b, SUM(prob) AS sp, SUM(y) AS sy FROM c GROUP BY 1, 2, 3), e AS (SELECT model, year, SUM(ABS(sp - sy)) AS d FROM b GROUP BY 1, 2)",
+ f"""SELECT c.model, CAST(c.year AS BIGINT) AS year, COUNT(*) AS n, {R('AVG(y)')} AS event_rate, {R('AVG((prob - y) * (prob - y))')} AS brier, {R('AVG(-(y * LN(pc) + (1 - y) * LN(1 - pc)))')} AS logloss, {R('MIN(d) / COUNT(*)')} AS ece
+ FROM c JOIN e ON e.model = c.model AND e.year = c.year GROUP BY 1, 2"""))
+def i19(spark, sf):
+    s = cb.probability_scores(any_rows(spark, sf), ["model", "year"])
+    return rounded(s, "event_rate", "brier", "logloss", "ece").withColumn("year", big("year"))
+
+
+@query("i20_reliability", chain(C_EW, f"b AS (SELECT {_BIN} AS bin, COUNT(*) AS n, AVG(prob) AS mp, AVG(CAST(event AS INTEGER)) AS ob FROM anyr WHERE model = 'naive' GROUP BY 1)",
+ f"SELECT CAST(s.bin AS BIGINT) AS bin, COALESCE(n, 0) AS n, {R('mp')} AS mean_pred, {R('ob')} AS observed FROM (SELECT unnest(range(0, 10)) AS bin) s LEFT JOIN b ON b.bin = s.bin"))
+def i20(spark, sf):
+    return rounded(cb.reliability(naive_rows(spark, sf)), "mean_pred", "observed").withColumn("bin", big("bin"))
+
+
+@query("i21_calibration_map")
+def i21(spark, sf):
+    knots = cb.isotonic_fit(cb.counts_by_score(naive_rows(spark, sf), []), [])
+    return rounded(cb.calibration_map(knots), "calibrated")

@@ -1 +1,72 @@
-"""Queries."""
+"""Streaming forms, run over what is available and given back as tables."""
+
+from pyspark.sql import functions as F
+
+from ..operators import detectors as dt
+from ..operators import period as pd
+from ..session import new_path
+from ..streaming import alarms, counts
+from .registry import R, big, chain, query, rnd, text
+from .testbed import county_panel, daily, table
+
+
+def event_stream(spark, sf):
+    """The events as a stream of cases: onset = day of the event, reported a few days later."""
+    schema = table(spark, sf, "events").schema
+    s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    onset = F.date_trunc("day", F.col("ts").cast("timestamp"))
+    return s.select("event_id", "event_type", onset.alias("onset"), F.pmod("event_id", F.lit(13)).alias("delay"))
+
+
+@query("l1_streaming_counts", "SELECT event_type, CAST(CAST(ts AS DATE) AS VARCHAR) AS day, COUNT(*) AS n FROM events GROUP BY 1, 2")
+def l1(spark, sf):
+    t = counts.run_to_table(counts.daily_counts(event_stream(spark, sf), ["event_type"]), "complete", "l1")
+    return t.select("event_type", text("day").alias("day"), "n")
+
+
+@query("l1b_streaming_windows", """WITH e AS (SELECT event_type, CAST(ts AS DATE) AS d FROM events) SELECT event_type, CAST(d + CAST(k AS INTEGER) AS VARCHAR) AS day, COUNT(*) AS n FROM e CROSS JOIN (SELECT unnest(range(0, 7)) AS k) GROUP BY 1, 2""")
+def l1b(spark, sf):
+    t = counts.run_to_table(counts.sliding_counts(event_stream(spark, sf), ["event_type"]), "complete", "l1b")
+    return t.select("event_type", text("day").alias("day"), "n")
+
+
+@query("l2_snapshot_upsert", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS fetched_on, event_type, COUNT(*) AS n FROM events GROUP BY 1, 2")
+def l2(spark, sf):
+    """The same snapshots streamed twice leave one copy."""
+    path = new_path(spark, "l2")
+    schema = table(spark, sf, "events").schema
+    for _ in range(2):
+        s = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+        s = s.select(F.date_format("ts", "yyyy-MM-dd").alias("fetched_on"), "event_type", "event_id")
+        counts.upsert_snapshots(s, path, new_path(spark, "l2-state")).awaitTermination()
+    return spark.read.schema("event_type string, event_id long, fetched_on string").parquet(path).groupBy("fetched_on", "event_type").agg(F.count("*").alias("n"))
+
+
+def _as_stream(df, name):
+    """A stored table read back as a stream."""
+    path = new_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.readStream.schema(df.schema).parquet(path)
+
+
+@query("l3_stateful_cusum")
+def l3(spark, sf):
+    """Streamed alarms beside the batch alarms of the same days; ``same`` must be true in every row."""
+    d = daily(spark, sf).select("series", "day", F.col("n").cast("double").alias("value"))
+    stream = counts.run_to_table(alarms.cusum_stream(_as_stream(d, "l3-in")), "append", "l3")
+    batch = dt.cusum(d, ["series"], "value", "day").select("series", "day", F.col("s").alias("bs"), F.col("alarm").alias("ba"))
+    j = stream.join(batch, ["series", "day"], "full_outer")
+    same = F.coalesce((F.abs(F.col("s") - F.col("bs")) < 1e-9) & (F.col("alarm") == F.col("ba")), F.lit(False))
+    return j.groupBy("series").agg(F.count("*").alias("days"), F.count_if(F.col("alarm")).alias("alarms"), F.min(same).alias("same"))
+
+
+@query("l3b_stateful_wave")
+def l3b(spark, sf):
+    from ..operators import calendar as cal
+
+    p = county_panel(spark, sf).select(F.col("county").alias("series"), cal.start_of_index(F.col("week_idx")).alias("day"), F.col("total").cast("double").alias("value"))
+    stream = counts.run_to_table(alarms.wave_stream(_as_stream(p, "l3b-in")), "append", "l3b")
+    batch = pd.wave_flags(p, ["series"], "value", "day").select("series", "day", F.col("level").alias("bl"), F.col("in_period").alias("bi"))
+    j = stream.join(batch, ["series", "day"], "full_outer")
+    same = F.coalesce((F.col("level") == F.col("bl")) & (F.col("in_period") == F.col("bi")), F.lit(False))
+    return j.groupBy("series").agg(F.count("*").alias("weeks"), F.count_if(F.col("in_period")).alias("in_period"), F.min(same).alias("same"))
