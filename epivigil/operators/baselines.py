@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.quantiles import LEVELS, QCOLS
+from ..session import spread
 
 _ARR = "array(" + ",".join(f"{x}D" for x in LEVELS) + ")"
 
@@ -58,16 +59,6 @@ def error_deciles(df: DataFrame, by: Sequence[str], err: str = "err", out: str =
     return df.groupBy(*by).agg(F.expr(f"percentile({err}, {_ARR})").alias(out))
 
 
-def spread(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Hash-partition by series into the configured number of partitions.
-
-    The work per row is heavy and the rows are few bytes; an explicit count keeps adaptive execution from merging the
-    partitions by size into a few long tasks. The windows that follow use this partitioning without another shuffle.
-    """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *by) if by else df
-
-
 def frame_deciles(x: np.ndarray, first: int | None, last: int, want: np.ndarray) -> list:
     """Deciles of x[r+first .. r+last] (from the start when ``first`` is None) for every wanted row r; NaN is left out."""
     out, held, added, dropped = [None] * len(x), [], 0, 0

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def _baseline(df: DataFrame, by: Sequence[str], value: str, order: str, baseline: int, min_sd: float, gap: int) -> DataFrame:
     """Mean and population sd of ``baseline`` days ending ``gap`` days earlier; null until that many days exist."""
@@ -31,7 +33,7 @@ def ewma(df: DataFrame, by: Sequence[str], value: str, order: str, lam: float =
     """
     reach = math.ceil(math.log(1e-18) / math.log(1 - lam)) if 0 < lam < 1 else 1
     w = W.partitionBy(*by).orderBy(order)
-    d = _baseline(df, by, value, order, baseline, min_sd, gap)
+    d = _baseline(spread(df, list(by)), by, value, order, baseline, min_sd, gap)
     d = d.withColumn("_recent", F.collect_list("_x").over(w.rowsBetween(-reach, 0)))
     z = F.aggregate(F.slice("_recent", 2, reach), F.col("_recent")[0], lambda a, x: F.lit(lam) * x + F.lit(1 - lam) * a)
     d = d.withColumn("z", z)
@@ -46,7 +48,7 @@ def cusum(df: DataFrame, by: Sequence[str], value: str, order: str, k: float = 0
 
     Baselines are window expressions; only the sum with reset runs per series (its days) in a grouped map.
     """
-    d = _baseline(df, by, value, order, baseline, min_sd, gap)
+    d = _baseline(spread(df, list(by)), by, value, order, baseline, min_sd, gap)
     d = d.withColumn("_z", F.when(F.col("_ready"), (F.col("_x") - F.col("_mu")) / F.col("_sd") - F.lit(float(k))))
     types = dict(df.dtypes)
     schema = ", ".join(f"`{c}` {types[c]}" for c in [*by, order, value]) + ", s double, alarm boolean"

@@ -133,20 +133,28 @@ def coverage(
     check on the newest week). A paused newest week is cut before the lag.
     """
     current = cal.week_index(cal.week_start(asof))
-    raw = (
+    w, every = W.partitionBy("source").orderBy("week_idx"), W.partitionBy("source")
+    past = (
         denominators.where(F.col("value").isNotNull())
-        .groupBy("source")
-        .agg(F.min("week_idx").alias("raw_first"), F.max("week_idx").alias("raw_last"))
+        .withColumns({"_raw0": F.min("week_idx").over(every), "_raw1": F.max("week_idx").over(every)})
+        .where(F.col("week_idx") < current)
+        .join(rules, "source")
+    )
+    # edges and the sudden-drop ratio of the newest complete week come from the same windows and one aggregate
+    d = _with_edge_tests(past, ["source"], "value", "week_idx", F.col("ratio"), k)
+    d = d.withColumn("_drop", F.when(F.col("_t") >= 4, F.col("value") / F.nullif(_median_over("value", w.rowsBetween(-4, -1)), F.lit(0.0))))
+    newest = F.col("_t") == F.col("_last_t")
+    c = d.groupBy("source").agg(
+        F.min("_raw0").alias("raw_first"), F.max("_raw1").alias("raw_last"),
+        F.min(F.when(F.col("_head"), F.col("week_idx"))).alias("first_complete"),
+        F.max(F.when(newest, F.col("week_idx"))).alias("last_complete"),
+        F.max("lag").alias("lag"),
+        F.max(F.when(newest & F.col("check") & (F.col("_drop") < 0.85), F.col("_drop"))).alias("flag_ratio"),
     )
-    past = denominators.where(F.col("week_idx") < current).join(rules, "source")
-    e = detect_edges(past, ["source"], ratio=F.col("ratio"), k=k).drop("raw_first", "raw_last")
-    c = raw.join(e, "source").join(rules, "source")
     if special_days is not None:
-        checked = c.where("check").select("source", F.col("last_complete").alias("week_idx"))
-        flags = drop_check(past, ["source"], checked, special_days).select(
-            "source", F.col("week_idx").alias("flag_week"), F.col("drop_ratio").alias("flag_ratio"), F.col("action").alias("flag_action")
-        )
-        c = c.join(flags, "source", "left")
+        s = special_days.select(F.col("week_idx").alias("last_complete"), "holiday_days")
+        c = c.withColumn("flag_week", F.when(F.col("flag_ratio").isNotNull(), F.col("last_complete"))).join(s, "last_complete", "left")
+        c = c.withColumn("flag_action", F.when(F.col("flag_week").isNotNull(), F.when(F.coalesce("holiday_days", F.lit(0.0)) > 0, "kept").otherwise("paused")))
     else:
         c = c.withColumns(
             {"flag_week": F.lit(None).cast("int"), "flag_ratio": F.lit(None).cast("double"), "flag_action": F.lit(None).cast("string")}

@@ -15,6 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
+from ..session import spread
 from . import linelist as ll
 
 # exp(-9^2/2) is under 3e-18: a kernel term cut at nine sigma is below the rounding of a double
@@ -162,18 +163,21 @@ def bandwidth(points: DataFrame, kernel: Kernel, by: Sequence[str] = ("origin",)
     ).drop("rbar")
 
 
-def knn_mean_distance(points: DataFrame, k: int, by: Sequence[str] = ("origin",), finest: float = 0.125, copies: str | None = None) -> DataFrame:
+def knn_mean_distance(points: DataFrame, k: int, by: Sequence[str] = ("origin",), copies: str | None = None) -> DataFrame:
     """(by, x, y, rbar): mean distance to the k nearest other points, copies at one place counted one by one.
 
     Counting cells of doubling size finds for each place the smallest size whose 3x3 block holds more than k points, so
-    the k-th neighbour is within 3 of its cells. Only places in the 7x7 block around it are compared. Groups with at
-    most k points give no row.
+    the k-th neighbour is within 3 of its cells. Only places in the 7x7 block around it are compared. The sizes run from
+    a few cells per point of the largest group up to the whole box, found by one small aggregate. Groups with at most k
+    points give no row.
     """
     m = F.sum(copies) if copies else F.count("*")
     places = points.groupBy(*by, "x", "y").agg(m.cast("long").alias("m"))
-    box = places.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    width = 0.0 if box[0] is None else max(box[1] - box[0], box[3] - box[2], finest)
-    levels = max(1, math.ceil(math.log2(width / finest)) + 2) if width else 1
+    per = places.groupBy(*by).agg(F.count("*").alias("n"), *[f(c).alias(a) for a, f, c in (("x0", F.min, "x"), ("x1", F.max, "x"), ("y0", F.min, "y"), ("y1", F.max, "y"))])
+    box = per.agg(F.max("n").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")).first()
+    width = max(box["x1"] - box["x0"], box["y1"] - box["y0"], 1e-6) if box["n"] else 1.0
+    levels = max(2, math.ceil(math.log2(max(box["n"] or 1, 1)) / 2) + 3)
+    finest = width / 2 ** (levels - 1)
     size = F.lit(finest) * F.pow(F.lit(2.0), F.col("l"))
     at = places.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumns({"cx": _cell("x", size), "cy": _cell("y", size)})
     cells = at.groupBy(*by, "l", "cx", "cy").agg(F.sum("m").alias("c"))
@@ -184,14 +188,17 @@ def knn_mean_distance(points: DataFrame, k: int, by: Sequence[str] = ("origin",)
         .where(F.col("c") > k)
     )
     own = at.join(block.drop("c"), [*by, "l", "cx", "cy"]).groupBy(*by, "x", "y").agg(F.min("l").alias("l"), F.first("m").alias("m"))
-    probe = own.withColumns({"cx": _cell("x", size), "cy": _cell("y", size)}).withColumn("_d", F.explode(_around(3)))
+    probe = spread(own, ["x", "y", *by]).withColumns({"cx": _cell("x", size), "cy": _cell("y", size)}).withColumn("_d", F.explode(_around(3)))
     probe = probe.select(*by, "l", "x", "y", F.col("m").alias("own"), (F.col("cx") + F.col("_d.dx")).alias("cx"), (F.col("cy") + F.col("_d.dy")).alias("cy"))
     other = at.select(*by, "l", "cx", "cy", F.col("x").alias("ox"), F.col("y").alias("oy"), "m")
     pairs = probe.join(other, [*by, "l", "cx", "cy"])
     d = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
     pairs = pairs.withColumns({"d": d, "m": F.when((F.col("x") == F.col("ox")) & (F.col("y") == F.col("oy")), F.col("m") - 1).otherwise(F.col("m"))})
     pairs = pairs.where((F.col("m") > 0) & (F.col("d") <= F.lit(3.0) * size))
-    w = W.partitionBy(*by, "x", "y").orderBy("d", "ox", "oy").rowsBetween(W.unboundedPreceding, -1)
+    nearest = W.partitionBy(*by, "x", "y").orderBy("d", "ox", "oy")
+    # at most k places matter: the limit by rank is applied before the shuffle
+    pairs = pairs.withColumn("_rn", F.row_number().over(nearest)).where(F.col("_rn") <= k)
+    w = nearest.rowsBetween(W.unboundedPreceding, -1)
     take = F.greatest(F.lit(0), F.least(F.col("m"), F.lit(k) - F.coalesce(F.sum("m").over(w), F.lit(0))))
     return pairs.withColumn("_take", take).groupBy(*by, "x", "y").agg((F.sum(F.col("_take") * F.col("d")) / k).alias("rbar"))
 
@@ -213,7 +220,7 @@ def intensity(points: DataFrame, evals: DataFrame, eval_id: str, sigma_range: tu
     e = e.select(eval_id, "ex", "ey", "l", (F.col("cx") + F.col("_d.dx")).alias("cx"), (F.col("cy") + F.col("_d.dy")).alias("cy"))
     d2 = F.pow(F.col("x") - F.col("ex"), 2) + F.pow(F.col("y") - F.col("ey"), 2)
     s2 = F.col("sigma") * F.col("sigma")
-    j = p.join(e, ["l", "cx", "cy"]).where(d2 <= F.lit(reach * reach) * s2)
+    j = spread(p, ["x", "y", *by]).join(e, ["l", "cx", "cy"]).where(d2 <= F.lit(reach * reach) * s2)
     return j.groupBy(*by, eval_id).agg(F.sum(F.col("w") / (F.lit(2 * math.pi) * s2) * F.exp(-d2 / (2 * s2))).alias("lam"))
 
 

@@ -12,6 +12,7 @@ from ..operators import forecaster as fc
 from ..operators import linelist as ll
 from ..operators import nowcast as nc
 from ..operators import panel as pn
+from ..session import spread
 from .registry import R, big, chain, query, rnd, rounded, text
 from .testbed import (C_CPANEL, C_EW, C_NAT, C_SCORED, C_VISITS, any_rows, backtest_cte, county_panel, daily, early_warning, histogram, monday_origins,
                       national, results, visits, yw_idx_sql)
@@ -69,7 +70,7 @@ def f5(spark, sf):
 @query("f6_user_forecaster", chain(C_CPANEL, backtest_cte("cpanel", "county", "total", models=("naive",), window=156), f"SELECT county, CAST(origin AS BIGINT) AS origin, CAST(h AS BIGINT) AS h, {R('y', 5)} AS y, {QS} FROM bt"))
 def f6(spark, sf):
     """The hook with the last-value callable gives what the window plan gives."""
-    ctx = fc.contexts(bl.spread(county_panel(spark, sf), ["county"]), ["county"], "week_idx", "total", 104, 4, 156)
+    ctx = fc.contexts(spread(county_panel(spark, sf), ["county"]), ["county"], "week_idx", "total", 104, 4, 156)
     f = fc.run_forecaster(ctx, fc.last_value_forecaster, ["county"], 4)
     return f.select("county", big("origin").alias("origin"), big("h").alias("h"), rnd("y", 5).alias("y"), *[rnd(c, 5).alias(c) for c in qx.QCOLS])
 

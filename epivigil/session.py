@@ -49,6 +49,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Hash-partition into twice the configured number of partitions ahead of steps that cost much per row.
+
+    Adaptive execution merges small partitions by bytes, which would leave few long tasks where few bytes mean much work;
+    it keeps an explicit count. Windows and grouped maps on the same keys need no further shuffle.
+    """
+    n = 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys) if keys else df
+
+
 def written(df: DataFrame, name: str | None = None, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
