@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.quantiles import QCOLS
 from . import baselines as bl
+from .covariates import past_only
 
 Forecaster = Callable[[list, int, dict], np.ndarray]
 
@@ -77,9 +78,12 @@ def config_rows(spark, configs: Sequence[Config]) -> DataFrame:
 
 def contexts(
     df: DataFrame, by: Sequence[str], idx: str, value: str, warmup: int, horizon: int, window: int | None = None,
-    keep: Column | None = None, with_truth: bool = True,
+    keep: Column | None = None, with_truth: bool = True, past: Sequence[str] = (),
 ) -> DataFrame:
-    """(by, origin, context array, truth array): the values before and after each origin, from one window per series."""
+    """(by, origin, context array, truth array): the values before and after each origin, from one window per series.
+
+    Columns named in ``past`` come along as arrays over the same steps (past_<name>).
+    """
     w = W.partitionBy(*by).orderBy(idx)
     lo = W.unboundedPreceding if window is None else -(window - 1)
     d = df.withColumns(
@@ -87,6 +91,7 @@ def contexts(
             "_n": F.row_number().over(w),
             "context": F.collect_list(F.col(value).cast("double")).over(w.rowsBetween(lo, 0)),
             "truth": F.collect_list(F.col(value).cast("double")).over(w.rowsBetween(1, horizon)),
+            **{f"past_{c}": F.collect_list(F.col(c).cast("double")).over(w.rowsBetween(lo, 0)) for c in past},
         }
     )
     ok = F.col("_n") >= warmup
@@ -94,7 +99,7 @@ def contexts(
         ok = ok & (F.size("truth") == horizon)
     if keep is not None:
         ok = ok & keep
-    return d.where(ok).select(*by, F.col(idx).alias("origin"), "context", "truth")
+    return d.where(ok).select(*by, F.col(idx).alias("origin"), "context", "truth", *[f"past_{c}" for c in past])
 
 
 def joint_contexts(
@@ -179,7 +184,8 @@ def run_config(cfg: Config, panel: DataFrame, by: Sequence[str], idx: str = "wee
                covariate_fn: Callable[[DataFrame, Sequence[str]], DataFrame] | None = None, keep: Column | None = None) -> DataFrame:
     """One configuration over a panel DataFrame (any source): baselines by window plans, ``model='user'`` by the hook.
 
-    ``panel``: by, idx, value[, yw, week_start]. ``covariate_fn(panel, kinds)`` answers idx + one column per covariate;
+    Several ``targets`` (panel columns) go to the callable side by side. Past-only covariates are panel columns, lagged
+    and filled, over the steps of the context. ``panel``: by, idx, value[, yw, week_start]. ``covariate_fn(panel, kinds)`` answers idx + one column per covariate;
     its rows up to the origin travel with the context.
     """
     from . import calendar as cal
@@ -193,14 +199,26 @@ def run_config(cfg: Config, panel: DataFrame, by: Sequence[str], idx: str = "wee
     if cfg.origin_start:
         first = F.col(idx) + 1 >= cal.index_of_yw(F.lit(cfg.origin_start))
         keep = first if keep is None else keep & first
-    p = bl.require_complete(p, by, idx, cfg.target)
+    targets = list(cfg.targets or (cfg.target,))
+    for t in targets:
+        p = bl.require_complete(p, by, idx, t)
+    if len(targets) > 1 and cfg.model != "user":
+        raise ValueError("baselines take one target")
     if cfg.model != "user":
         out = bl.forecasts(p, by, idx, cfg.target, [cfg.model], cfg.horizon, window=cfg.window, warmup=warmup, keep=keep)
         return out.withColumn("config", F.lit(cfg.name))
     if forecaster is None:
         raise ValueError("model='user' needs a forecaster")
-    ctx = contexts(p, by, idx, cfg.target, warmup, cfg.horizon, cfg.window, keep)
-    extras: list[str] = []
+    extras: list[str] = [f"past_{c}" for c in cfg.past_covariates]
+    kw = {"warmup": warmup, "horizon": cfg.horizon, "window": cfg.window, "keep": keep}
+    if len(targets) > 1:
+        if cfg.past_covariates:
+            raise ValueError("past covariates go with one target")
+        long = p.select(*by, idx, *[F.col(t).cast("double").alias(t) for t in targets]).unpivot([*by, idx], targets, "series", "value")
+        ctx = joint_contexts(long, "series", by, idx, "value", targets, **kw)
+    else:
+        q = past_only(p, cfg.past_covariates, cfg.past_lag, idx, by) if cfg.past_covariates else p
+        ctx = contexts(q, by, idx, cfg.target, past=cfg.past_covariates, **kw)
     if cfg.covariates:
         if covariate_fn is None:
             raise ValueError("covariates need a covariate_fn")
@@ -214,9 +232,16 @@ def run_config(cfg: Config, panel: DataFrame, by: Sequence[str], idx: str = "wee
             *[F.collect_list(F.col(c).cast("double")).over(w.rowsBetween(lo, hi)).alias(f"cov_{c}") for c in names],
         )
         ctx = ctx.join(cov, "origin")
-        extras = [f"cov_{c}" for c in names]
+        extras += [f"cov_{c}" for c in names]
     f = run_forecaster(ctx, forecaster, list(by), cfg.horizon, log1p=cfg.log1p, extras=extras)
-    sc = bl.mase_scale(p, by, idx, cfg.target).select(
-        *by, F.col(idx).alias("origin"), F.col(cfg.target).cast("double").alias("y_origin"), "mase_scale"
-    )
-    return f.join(sc, [*by, "origin"]).withColumns({"config": F.lit(cfg.name), "model": F.lit(cfg.model)})
+    if len(targets) > 1:
+        scale = bl.mase_scale(long, [*by, "series"], idx, "value").select(
+            *by, "series", F.col(idx).alias("origin"), F.col("value").alias("y_origin"), "mase_scale"
+        )
+        out = f.join(scale, [*by, "series", "origin"]).withColumnRenamed("series", "target")
+    else:
+        scale = bl.mase_scale(p, by, idx, cfg.target).select(
+            *by, F.col(idx).alias("origin"), F.col(cfg.target).cast("double").alias("y_origin"), "mase_scale"
+        )
+        out = f.join(scale, [*by, "origin"]).withColumn("target", F.lit(cfg.target))
+    return out.withColumns({"config": F.lit(cfg.name), "model": F.lit(cfg.model)})
