@@ -19,11 +19,12 @@ BUCKETS = 64
 def add_bucket(df: DataFrame, by: Sequence[str], value: str, buckets: int = BUCKETS) -> DataFrame:
     """Column _b: position of ``value`` among approximate quantiles of its group; order is kept, ties stay together."""
     steps = ",".join(str(i / buckets) for i in range(1, buckets))
-    key = list(by) or ["_all"]
-    d = df if by else df.withColumn("_all", F.lit(0))
-    cuts = d.groupBy(*key).agg(F.expr(f"array_distinct(percentile_approx({value}, array({steps})))").alias("_cuts"))
-    j = d.join(cuts, key)
-    return j.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts", *([] if by else ["_all"]))
+    cuts = F.expr(f"array_distinct(percentile_approx({value}, array({steps})))").alias("_cuts")
+    if not by:
+        j = df.withColumn("_cuts", df.agg(cuts).scalar())
+    else:
+        j = df.join(df.groupBy(*by).agg(cuts), list(by))
+    return j.withColumn("_b", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
 
 
 def running_before(df: DataFrame, by: Sequence[str], value: str, sums: Sequence[str], buckets: int = BUCKETS) -> DataFrame:
@@ -41,6 +42,7 @@ def running_before(df: DataFrame, by: Sequence[str], value: str, sums: Sequence[
     ).drop(*[f"_t_{s}" for s in sums])
     wi = W.partitionBy(*by, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
     inner = b.withColumns({f"_i_{s}": F.coalesce(F.sum(s).over(wi), F.lit(0)) for s in sums})
+    # totals hold one row per bucket
     return (
         inner.join(totals, [*by, "_b"])
         .withColumns({f"{s}_before": F.col(f"_i_{s}") + F.col(f"_o_{s}") for s in sums})

@@ -26,20 +26,30 @@ def read_text_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Da
     return df.withColumnRenamed(first, clean) if clean != first else df
 
 
-def sniff_encoding(spark: SparkSession, path: str, head: int = 1 << 16) -> str:
-    """UTF-8 when the first ``head`` bytes of the first file decode as such, else Big5; neither is an error.
+def _head(spark: SparkSession, path: str, n: int) -> bytes:
+    """First n bytes of the file, or of the first file of a folder with anything in it."""
+    jvm = spark._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.getFileStatus(p).isDirectory():
+        files = [x for x in fs.listStatus(p) if x.isFile() and x.getLen() > 0 and x.getPath().getName()[0] not in "_."]
+        if not files:
+            raise FileNotFoundError(f"no data in {path}")
+        p = min((x.getPath() for x in files), key=lambda q: q.getName())
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
 
-    Only that head is read: the file reader sends the bytes of one file head to the driver, not the file.
-    """
-    raw = (
-        spark.read.format("binaryFile").load(path).select(F.substring("content", 1, head).alias("c"), "path")
-        .orderBy("path").limit(1).first()["c"]
-    )
-    cut = bytes(raw)
+
+def sniff_encoding(spark: SparkSession, path: str, head: int = 1 << 16) -> str:
+    """UTF-8 when the first ``head`` bytes of the first file decode as such, else Big5; neither is an error."""
+    raw = _head(spark, path, head)
     for enc, name in (("utf-8", "UTF-8"), ("cp950", BIG5)):
         for back in range(4):  # the head may end inside a character
             try:
-                cut[: len(cut) - back].decode(enc)
+                raw[: len(raw) - back].decode(enc)
                 return name
             except UnicodeDecodeError:
                 continue
