@@ -167,7 +167,7 @@ def i13(spark, sf):
 BUDGETS = [0.05, 2.0, 10.0, 30.0]
 
 
-@query("i14_equal_budget", chain(C_EW, C_EP, C_LEADS, C_SWEEP, "wr AS (SELECT model, event, ROUND(prob, 9) AS prob FROM wks)", _auc_cte("wr", "model", "au"), f"bu AS (SELECT unnest({BUDGETS}) AS budget)",
+@query("i14_equal_budget", chain(C_EW, C_EP, C_LEADS, "wkr AS (SELECT * REPLACE (ROUND(prob, 9) AS prob) FROM wks)", C_SWEEP.replace("FROM wks", "FROM wkr"), "wr AS (SELECT model, event, ROUND(prob, 9) AS prob FROM wks)", _auc_cte("wr", "model", "au"), f"bu AS (SELECT unnest({BUDGETS}) AS budget)",
  "pick AS (SELECT * FROM (SELECT s.*, b.budget, row_number() OVER (PARTITION BY s.model, b.budget ORDER BY COALESCE(s.sensitivity, -1) DESC, s.p_star) AS rn FROM sw s JOIN bu b ON s.false_alarm_per100 <= b.budget) WHERE rn = 1)",
  "lsum AS (SELECT model, p_star, AVG(CASE WHEN lead IS NOT NULL THEN 1 ELSE 0 END) AS detected, quantile_cont(lead, 0.5) AS lead_median FROM leads GROUP BY 1, 2)",
  f"""SELECT m.model, CAST(b.budget AS DOUBLE) AS budget, {R('au.auc')} AS auc, p.p_star, {R('COALESCE(p.sensitivity, CASE WHEN p.model IS NULL THEN 0 END)')} AS sensitivity, {R('COALESCE(p.false_alarm_per100, CASE WHEN p.model IS NULL THEN 0 END)')} AS false_alarm_per100, {R('CASE WHEN p.model IS NULL THEN 0 ELSE l.detected END')} AS detected, CAST(l.lead_median AS DOUBLE) AS lead_median
