@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
 _WRITTEN: dict[tuple[str, str], str] = {}
 _LOCAL_SCRATCH: dict[str, str] = {}
+_SHIPPED: set[str] = set()
 
 
 def build_session(app_name: str = "epivigil", master: str | None = None, **conf) -> SparkSession:
@@ -28,6 +31,23 @@ def build_session(app_name: str = "epivigil", master: str | None = None, **conf)
     return b.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, once for each application: their Python workers import it wherever they start."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="epivigil-"), f"epivigil-{uuid.uuid4().hex[:8]}.zip")  # the driver serves this file itself
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(top):
+            for n in names:
+                if n.endswith(".py"):
+                    full = os.path.join(folder, n)
+                    z.write(full, os.path.relpath(full, os.path.dirname(top)))
+    spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """Folder all executors can reach: ``spark.checkpoint.dir``.
 
