@@ -1,10 +1,68 @@
-"""Stages of a training-data pipeline over ``documents``; registered as query ``pipeline``."""
+"""Stages of a training-data pipeline over ``documents``; registered as query ``pipeline``.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. Null and empty texts go in the first
+stage (they have no language). An empty table stays empty through all stages.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from epivigil.llm import decontaminate, language, neardup, packing, quality_rules
+from epivigil.llm.common import table
+from epivigil.session import ship, written
+
+DOCUMENTS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that no known language is near to, or that have no letters."""
+    ship(spark)
+    return language.predict(docs.select(*DOCUMENTS), language.train(docs)).where(~F.col("rejected")).select(*DOCUMENTS)
+
+
+def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that break a quality rule."""
+    return quality_rules.quality_rules(docs, keep=DOCUMENTS[:1] + DOCUMENTS[2:] + ("text",)).where("kept").select(*DOCUMENTS)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near duplicates: the one with the smallest doc_id."""
+    ship(spark)
+    found = neardup.near_duplicates(docs, percent=85)
+    gone = found.where(~F.col("kept")).select("doc_id").distinct()
+    return docs.select(*DOCUMENTS).join(gone, "doc_id", "left_anti").select(*DOCUMENTS)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without documents that hold a benchmark item."""
+    ship(spark)
+    return decontaminate.drop_contaminated(docs.select(*DOCUMENTS), table(spark, sf_dir, "benchmark"), error_rate=0.05)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents left, packed into sequences of 1024 tokens."""
+    ship(spark)
+    cut = packing.pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), end_id=2, capacity=1024)
+    return packing.pack(cut, ["doc_id", "piece"], capacity=1024)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", rules),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
+
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each result is written to the shared folder and read by the next stage."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -29,18 +30,20 @@ def held_out(doc_id: str = "doc_id", folds: int = 5):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))) % folds == 0
 
 
-def bounded_sample(df: DataFrame, by: list[str], most: int, seed: str) -> DataFrame:
-    """At most ``most`` rows of each combination of ``by``, chosen by a hash of all columns of ``df``.
+def bounded_sample(df: DataFrame, by: list[str], most: int, key: str, seed: str) -> DataFrame:
+    """At most ``most`` rows of each combination of ``by``, chosen by a hash of the column ``key``.
 
-    The hash thins each group to about twice the bound before the rows meet in one window, so a group of any size is
-    never gathered. Used only to pick training rows.
+    The hash thins each group to about twice the bound before its rows meet in one window, so a group of any size is never
+    gathered. Used only to pick training rows.
     """
-    from pyspark.sql import Window as W
-
-    u = (F.pmod(F.xxhash64(F.lit(seed), *df.columns), F.lit(1 << 40)) / F.lit(float(1 << 40))).alias("_u")
-    keyed = df.select("*", u)
-    n = keyed.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    cond = [keyed[c].eqNullSafe(n[c]) for c in by]
-    thin = keyed.join(F.broadcast(n), cond, "inner").select(*[keyed[c] for c in keyed.columns], "_n").where(F.col("_u") * F.col("_n") < 2.0 * most + 20)
+    keyed = df.withColumn("_u", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 40)) / F.lit(float(1 << 40)))
+    n = {tuple(r)[:-1]: tuple(r)[-1] for r in df.groupBy(*by).count().collect()}  # one row for each class label
+    share = F.lit(0.0)
+    for values, rows in n.items():
+        same = F.lit(True)
+        for c, v in zip(by, values):
+            same = same & F.col(c).eqNullSafe(F.lit(v))
+        share = F.when(same, F.lit((2.0 * most + 20) / rows)).otherwise(share)
+    thin = keyed.where(F.col("_u") < share)
     w = W.partitionBy(*by).orderBy("_u")
-    return thin.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_u", "_n", "_r")
+    return thin.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_u", "_r")

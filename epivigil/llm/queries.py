@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import packing, quality_rules, token_counts, token_files
-from .common import table
+from . import decontaminate, language, neardup, packing, quality_model, quality_rules, token_counts, token_files, toxicity
+from .common import held_out, table
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,30 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, ["doc_id", "piece"], capacity=1024)
 
 
+def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    out = language.predict(docs.select("doc_id", "text"), language.train(docs))
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.train(docs, table(spark, sf_dir, "labels")), threshold=0.5)
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), error_rate=0.05)
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_model.predict(docs, quality_model.train(docs, table(spark, sf_dir, "labels")), threshold=0.3)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -52,5 +76,8 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM b
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_token_binary, op3_best_fit_packing, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_token_binary, op3_best_fit_packing, op4_minhash_near_dedup, op6_language_id, op7_toxicity, op8_benchmark_decontamination,
+    op9_quality_classifier, op10_token_counts,
+)}
 SQL = {"op1_quality_rules": OP1_SQL}
