@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import decontaminate, language, neardup, packing, quality_model, quality_rules, token_counts, token_files, toxicity
+from . import decontaminate, html_text, language, neardup, packing, quality_model, quality_rules, token_counts, token_files, toxicity
 from .common import held_out, table
 
 
@@ -31,6 +31,10 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"), percent=85)
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     out = language.predict(docs.select("doc_id", "text"), language.train(docs))
@@ -77,7 +81,7 @@ FROM b
 """
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_token_binary, op3_best_fit_packing, op4_minhash_near_dedup, op6_language_id, op7_toxicity, op8_benchmark_decontamination,
+    op1_quality_rules, op2_token_binary, op3_best_fit_packing, op4_minhash_near_dedup, op5_html_extraction, op6_language_id, op7_toxicity, op8_benchmark_decontamination,
     op9_quality_classifier, op10_token_counts,
 )}
 SQL = {"op1_quality_rules": OP1_SQL}
