@@ -69,6 +69,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 2000, dimensions: int
 
     sample = bounded_sample(rows, ["quality"], most, "doc_id", "quality").select("quality", "text").mapInArrow(sparse, "y int, i binary, x binary")
     got = sorted((bytes(r["i"]), bytes(r["x"]), r["y"]) for r in sample.collect())
+    if not got:
+        return None
     y = np.array([g[2] for g in got])
     data = [(np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64)) for i, x, _ in got]
     total, fitted = sum(share.values()), np.bincount(y, minlength=2)
