@@ -51,12 +51,15 @@ class Shingler:
         self.width, self.most, self.known = width, most, {}
 
     def sets(self, texts: pa.Array) -> list[np.ndarray]:
-        """A sorted array of 64-bit hashes for each text; None is an empty text."""
+        """A sorted array of 64-bit hashes for each text; None is an empty text.
+
+        The texts are copied first: ``ascii_lower`` mistakes the offsets of a slice.
+        """
         import xxhash
 
         if len(self.known) > self.most:
             self.known = {}
-        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.large_string()), "")))
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts.to_pylist()], pa.large_string())))
         coded = lists.flatten().dictionary_encode()
         known, digest, values = self.known, xxhash.xxh3_64_intdigest, []
         for w in coded.dictionary.to_pylist():
