@@ -31,24 +31,59 @@ def nb_tail(mu: Column, k: int, phi: float = 2.0) -> Column:
     return F.lit(1.0) - below
 
 
+_lgamma = np.vectorize(math.lgamma, otypes=[float])
+
+
+def _beta_cdf(a: float, b: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Regularised incomplete beta function by its continued fraction, in log space, for x in (0, 1)."""
+    flip = x > (a + 1) / (a + b + 2)
+    p, q, y = np.where(flip, b, a), np.where(flip, a, b), np.where(flip, 1 - x, x)
+    front = np.exp(_lgamma(a + b) - _lgamma(p) - _lgamma(q) + p * np.log(y) + q * np.log1p(-y)) / p
+    c, d = np.ones_like(y), 1 / (1 - (p + q) * y / (p + 1))
+    h, live = d.copy(), np.ones(len(y), bool)
+    m = 0
+    while live.any():
+        m += 1
+        for num in (m * (q - m) * y / ((p + 2 * m - 1) * (p + 2 * m)), -(p + m) * (p + q + m) * y / ((p + 2 * m) * (p + 2 * m + 1))):
+            d = 1 / (1 + num * d)
+            c = 1 + num / c
+            h = np.where(live, h * d * c, h)
+        live &= np.abs(d * c - 1) > 1e-15
+        if m > 100_000:
+            break
+    return np.where(flip, 1 - front * h, front * h)
+
+
+def _nb_cdf(k: np.ndarray, p: np.ndarray, phi: float) -> np.ndarray:
+    """P(N <= k), by the sum of a few binomial terms where phi is a small integer."""
+    if phi == int(phi) and phi <= 32:
+        n = k + phi
+        below = np.zeros_like(p)
+        for j in range(int(phi)):
+            below += np.exp(_lgamma(n + 1) - math.lgamma(j + 1) - _lgamma(n - j + 1) + j * np.log(p) + (n - j) * np.log1p(-p))
+        return 1 - below
+    return _beta_cdf(phi, k + 1.0, p)
+
+
 def _nb_quantiles(mu: np.ndarray, phi: float, levels: np.ndarray) -> np.ndarray:
-    """Smallest k with CDF(k) >= level. The CDF runs up from k = 0 for all rows together; finished rows drop out."""
-    mu = np.nan_to_num(np.maximum(mu, 0.0))
+    """Smallest k with CDF(k) >= level: an upper bound by doubling from the mean, then halving. Infinite means give infinity."""
+    mu = np.where(np.isnan(mu), 0.0, np.maximum(mu, 0.0))
     out = np.zeros((len(mu), len(levels)))
-    p = phi / (phi + np.maximum(mu, 1e-9))
-    live = np.flatnonzero(mu > 1e-9)
-    pmf = p[live] ** phi
-    cdf = pmf.copy()
-    k = 0
-    while len(live):
-        short = cdf[:, None] < levels[None, :]
-        rows, cols = np.nonzero(short)
-        out[live[rows], cols] = k + 1
-        go = short.any(axis=1)
-        live, pmf, cdf = live[go], pmf[go], cdf[go]
-        k += 1
-        pmf = pmf * ((k - 1 + phi) / k) * (1 - p[live])
-        cdf = cdf + pmf
+    out[np.isinf(mu)] = np.inf
+    rows = np.flatnonzero((mu > 1e-9) & np.isfinite(mu))
+    if not len(rows):
+        return out
+    m, want = np.repeat(mu[rows], len(levels)), np.tile(levels, len(rows))
+    p = phi / (phi + m)
+    low, high = np.full(len(m), -1.0), np.ceil(m)
+    while (short := _nb_cdf(high, p, phi) < want - 1e-13).any():
+        low = np.where(short, high, low)
+        high = np.where(short, 2 * high + 1, high)
+    while (open_ := high - low > np.maximum(1.0, high * 1e-15)).any():
+        mid = np.floor((low + high) / 2)
+        enough = _nb_cdf(np.maximum(mid, 0), p, phi) >= want - 1e-13
+        high, low = np.where(open_ & enough, mid, high), np.where(open_ & ~enough, mid, low)
+    out[rows] = high.reshape(len(rows), len(levels))
     return out
 
 

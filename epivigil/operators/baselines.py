@@ -47,10 +47,11 @@ def _start(window: int | None, lead_rows: int) -> int | None:
 def deciles(point: Column, err: Column, positive: bool = True, center: bool = True) -> Column:
     """Point + error deciles, shifted so that the median error is 0, not below 0.
 
-    Nine decimals are kept: an actual that equals a bound then compares equal whatever the order of the additions.
+    Nine decimals are kept, as doubles of any size: an actual that equals a bound then compares equal whatever the order of the
+    additions.
     """
     mid = err[4] if center else F.lit(0.0)
-    q = F.transform(err, lambda e: F.floor((point + e - mid) * 1e9 + 0.5) / F.lit(1e9))
+    q = F.transform(err, lambda e: F.round(point + e - mid, 9))
     return F.transform(q, lambda x: F.greatest(x, F.lit(0.0))) if positive else q
 
 

@@ -76,13 +76,14 @@ def known_window_sum(hist: DataFrame, length: int, first: Column, last: Column)
     """Sum over the last ``length`` onset days as known at each day, for every series and day: (series, day, n).
 
     A case enters on its report day and leaves when its onset falls out of the window, so two signed rows per
-    histogram row and one running sum answer all origins at once.
+    histogram row and one running sum answer all origins at once. Steps before ``first`` count as steps of that day, so cases
+    that are in the window when the grid begins are in its first sum.
     """
     late = hist.where(F.col("delay") < length)
     steps = late.select("series", F.date_add("onset", F.col("delay")).alias("day"), "n").unionByName(
         late.select("series", F.date_add("onset", length).alias("day"), (-F.col("n")).alias("n"))
     )
-    d = steps.groupBy("series", "day").agg(F.sum("n").alias("step"))
+    d = steps.groupBy("series", F.greatest("day", first).alias("day")).agg(F.sum("n").alias("step"))
     grid = dense_days(hist.select("series").distinct(), first, last)
     w = W.partitionBy("series").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
     return grid.join(d, ["series", "day"], "left").select(

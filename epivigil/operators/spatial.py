@@ -24,7 +24,7 @@ REACH = 9.0
 
 @dataclass(frozen=True)
 class Kernel:
-    """Parameters of the kernel forecaster."""
+    """What the kernel forecaster reads. The defaults."""
 
     name: str = "kde_rv"
     bandwidth: str = "adaptive"  # or "fixed"
@@ -43,10 +43,9 @@ class Kernel:
     phi: float = 2.0
     pseudo: float = 5.0
     c_floor: float = 0.2
-    points: str = "cases"  # or "town_centroid", "town_villages"
 
 
-# The named variants.
+# The named variants. Those named after towns or villages take ``town_points`` instead of cases.
 VARIANTS = {
     k.name: k
     for k in (
@@ -56,10 +55,10 @@ VARIANTS = {
         Kernel("kde_rv_season", season_gamma=0.2),
         Kernel("kde_rv_b2", beta=2.0, sigma_min=1.0),
         Kernel("kde_mix_fix", "fixed", alpha=0.5),
-        Kernel("kde_mix_fix_town", "fixed", alpha=0.5, points="town_centroid"),
-        Kernel("kde_mix_fix_town3", "fixed", sigma_km=3.0, alpha=0.5, points="town_centroid"),
-        Kernel("kde_mix_fix_vill", "fixed", alpha=0.5, points="town_villages"),
-        Kernel("kde_fix_vill", "fixed", points="town_villages"),
+        Kernel("kde_mix_fix_town", "fixed", alpha=0.5),
+        Kernel("kde_mix_fix_town3", "fixed", sigma_km=3.0, alpha=0.5),
+        Kernel("kde_mix_fix_vill", "fixed", alpha=0.5),
+        Kernel("kde_fix_vill", "fixed"),
     )
 }
 
@@ -95,13 +94,13 @@ def _on_origins(rows: DataFrame, first: Column, last: Column, origins: DataFrame
 
 def weighted_points(cases: DataFrame, origins: DataFrame, mode: str, kernel: Kernel, comp: DataFrame | None = None,
                     dmax: int = ll.DMAX) -> DataFrame:
-    """(origin, x, y, w) of the cases that feed the density at each origin; equal places are added up.
+    """(origin, x, y, w, m) of the cases that feed the density at each origin; equal places are added up, m counts their case rows.
 
     Recency 0.5^(age/half life); in mode asof_adj divided by the completeness of the age; with season_gamma also the
     same season of earlier years. A case is spread over the origins that may use it (at most ``window``).
     """
     seen = F.col("onset") if mode == "final" else F.greatest("onset", "report")
-    rows = cases.groupBy("onset", "report", "x", "y").agg(F.sum("n").cast("double").alias("n"))
+    rows = cases.groupBy("onset", "report", "x", "y").agg(F.sum("n").cast("double").alias("n"), F.count(F.lit(1)).alias("m"))
     p = _on_origins(rows, seen, F.date_add("onset", kernel.window - 1), origins)
     age = F.datediff("origin", "onset")
     p = p.withColumn("w", F.col("n") * F.pow(F.lit(0.5), age / F.lit(kernel.half_life)))
@@ -110,15 +109,15 @@ def weighted_points(cases: DataFrame, origins: DataFrame, mode: str, kernel: Ker
             raise ValueError("mode asof_adj needs the completeness table")
         c = comp.select("origin", F.col("k").alias("_k"), F.greatest("share", F.lit(kernel.c_floor)).alias("_c"))
         p = p.withColumn("_k", F.least(age, F.lit(dmax))).join(c, ["origin", "_k"], "left").withColumn("w", F.col("w") / F.coalesce("_c", F.lit(1.0)))
-    out = p.select("origin", "x", "y", "w")
+    out = p.select("origin", "x", "y", "w", "m")
     if kernel.season_gamma > 0:
         for yb in range(1, kernel.season_years + 1):
             shift = 365 * yb - 7
             first = F.date_add("onset", shift - kernel.season_days)
             first = first if mode == "final" else F.greatest(first, F.col("report"))
             s = _on_origins(rows, first, F.date_add("onset", shift + kernel.season_days), origins)
-            out = out.unionByName(s.select("origin", "x", "y", (F.lit(kernel.season_gamma) * F.col("n")).alias("w")))
-    return out.groupBy("origin", "x", "y").agg(F.sum("w").alias("w"))
+            out = out.unionByName(s.select("origin", "x", "y", (F.lit(kernel.season_gamma) * F.col("n")).alias("w"), "m"))
+    return out.groupBy("origin", "x", "y").agg(F.sum("w").alias("w"), F.sum("m").alias("m"))
 
 
 def town_points(context: DataFrame, places: DataFrame, kernel: Kernel) -> DataFrame:
@@ -151,11 +150,12 @@ def _around(reach: int) -> Column:
 def bandwidth(points: DataFrame, kernel: Kernel, by: Sequence[str] = ("origin",)) -> DataFrame:
     """Column sigma: fixed, or from the mean distance to the k nearest points, within [sigma_min, sigma_max].
 
+    A column ``m`` says how many cases stand at a place; each is a point, so cases at one place are neighbours at distance 0.
     Groups with at most k points use sigma_max.
     """
     if kernel.bandwidth == "fixed":
         return points.withColumn("sigma", F.lit(float(kernel.sigma_km)))
-    r = knn_mean_distance(points, kernel.k, by)
+    r = knn_mean_distance(points, kernel.k, by, copies="m" if "m" in points.columns else None)
     s = F.lit(kernel.beta * math.sqrt(math.pi) / math.sqrt(kernel.k)) * F.col("rbar")
     clipped = F.greatest(F.lit(kernel.sigma_min), F.least(F.lit(kernel.sigma_max), s))
     return points.join(r, [*by, "x", "y"], "left").withColumn(
@@ -267,7 +267,7 @@ def add_deciles(mu: DataFrame, phi: float = 2.0) -> DataFrame:
 # --------------------------------------------------------------------------- village hotspots
 @dataclass(frozen=True)
 class Hotspot:
-    """own | town | kde scores per village."""
+    """own | town | kde scores per village. The defaults."""
 
     name: str
     kind: str
@@ -297,11 +297,11 @@ HOTSPOTS = {
 
 def village_known(cases: DataFrame, origins: DataFrame, mode: str, back: int = 60, comp: DataFrame | None = None,
                   c_floor: float = 0.2, dmax: int = ll.DMAX) -> DataFrame:
-    """(origin, village_code, age, n, w) of the cases known at each origin with onset in its last ``back`` days."""
+    """(origin, village_code, age, n, m, w) of the cases known at each origin with onset in its last ``back`` days."""
     seen = F.col("onset") if mode == "final" else F.greatest("onset", "report")
-    rows = cases.groupBy("village_code", "onset", "report").agg(F.sum("n").cast("double").alias("n"))
+    rows = cases.groupBy("village_code", "onset", "report").agg(F.sum("n").cast("double").alias("n"), F.count(F.lit(1)).alias("m"))
     d = _on_origins(rows, seen, F.date_add("onset", back - 1), origins).withColumn("age", F.datediff("origin", "onset"))
-    d = d.groupBy("origin", "village_code", "age").agg(F.sum("n").alias("n"))
+    d = d.groupBy("origin", "village_code", "age").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
     if mode != "asof_adj":
         return d.withColumn("w", F.col("n"))
     c = comp.select("origin", F.col("k").alias("_k"), F.greatest("share", F.lit(c_floor)).alias("_c"))

@@ -82,7 +82,9 @@ def j3(spark, sf):
     return rounded(a.unionByName(v.select(F.lit("village").alias("kind"), "series", F.col("village_code").alias("place"), "x", "y", F.col("share").alias("w"))), "x", "y", "w")
 
 
-C_KNN = """kd AS (SELECT a.origin, a.x, a.y, SQRT(POWER(a.x - b.x, 2) + POWER(a.y - b.y, 2)) AS d FROM pw0 a JOIN pw0 b ON b.origin = a.origin AND NOT (a.x = b.x AND a.y = b.y)),
+C_KNN = """pr AS (SELECT origin, x, y, row_number() OVER () AS r FROM pw0),
+ p1 AS (SELECT origin, x, y, MIN(r) AS r FROM pr GROUP BY 1, 2, 3),
+ kd AS (SELECT a.origin, a.x, a.y, SQRT(POWER(a.x - b.x, 2) + POWER(a.y - b.y, 2)) AS d FROM p1 a JOIN pr b ON b.origin = a.origin AND a.r <> b.r),
  kr AS (SELECT origin, x, y, AVG(d) AS rbar, COUNT(*) AS c FROM (SELECT *, row_number() OVER (PARTITION BY origin, x, y ORDER BY d) AS rn FROM kd) WHERE rn <= 10 GROUP BY 1, 2, 3),
  sg AS (SELECT p.origin, p.x, p.y, p.w, CASE WHEN c = 10 THEN GREATEST(0.5, LEAST(10.0, SQRT(pi()) / SQRT(10) * rbar)) ELSE 10.0 END AS sigma FROM pw p LEFT JOIN kr ON kr.origin = p.origin AND kr.x = p.x AND kr.y = p.y)"""
 

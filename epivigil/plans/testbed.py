@@ -25,7 +25,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def stored(spark: SparkSession, sf: str, key: str, make) -> DataFrame:
     """A stage that later steps read from storage, as the stages of a run exchange tables."""
-    return written_once(spark, f"{sf}#{key}", make)
+    return written_once(spark, f"{sf}#{key}", make, reads=sf)
 
 
 # --------------------------------------------------------------------------- weekly

@@ -90,9 +90,18 @@ def written(df: DataFrame, name: str | None = None, partition_by: list[str] | No
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written_once(spark: SparkSession, key: str, make) -> DataFrame:
-    """``written`` at most once per application and ``key``; later calls read the stored table."""
-    k = (spark.sparkContext.applicationId, key)
+def _state_of(spark: SparkSession, folder: str) -> str:
+    """Names, sizes and times of the files in ``folder``, as text; empty for what is not a folder."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(p):
+        return ""
+    return ";".join(sorted(f"{x.getPath().getName()},{x.getLen()},{x.getModificationTime()}" for x in fs.listStatus(p)))
+
+
+def written_once(spark: SparkSession, key: str, make, reads: str | None = None) -> DataFrame:
+    """``written`` at most once per application, ``key`` and state of the folder ``reads``; later calls read the stored table."""
+    k = (spark.sparkContext.applicationId, key + "|" + (_state_of(spark, reads) if reads else ""))
     if k not in _WRITTEN:
         df = make()
         path = new_path(spark, "table")

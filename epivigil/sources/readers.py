@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,38 +27,36 @@ def read_text_csv(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Da
     return df.withColumnRenamed(first, clean) if clean != first else df
 
 
-def _head(spark: SparkSession, path: str, n: int) -> bytes:
-    """First n bytes of the file, or of the first file of a folder with anything in it."""
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.getFileStatus(p).isDirectory():
-        files = [x for x in fs.listStatus(p) if x.isFile() and x.getLen() > 0 and x.getPath().getName()[0] not in "_."]
-        if not files:
-            raise FileNotFoundError(f"no data in {path}")
-        p = min((x.getPath() for x in files), key=lambda q: q.getName())
-    stream = fs.open(p)
-    try:
-        return bytes(stream.readNBytes(n))
-    finally:
-        stream.close()
-
-
-def sniff_encoding(spark: SparkSession, path: str, head: int = 1 << 16) -> str:
-    """UTF-8 when the first ``head`` bytes of the first file decode as such, else Big5; neither is an error."""
-    raw = _head(spark, path, head)
-    for enc, name in (("utf-8", "UTF-8"), ("cp950", BIG5)):
-        for back in range(4):  # the head may end inside a character
+def sniff_encoding(spark: SparkSession, path: str) -> str:
+    """UTF-8 when every line of every file decodes as such, else Big5; a line that is neither is an error.
+
+    Lines are read whole and by all executors; the first one found settles it.
+    """
+    lines = spark.read.text(path).select(F.col("value").cast("binary").alias("b"))
+    if lines.where(F.col("b").isNotNull()).isEmpty():
+        raise FileNotFoundError(f"no data in {path}")
+    wrong = lines.where(~F.is_valid_utf8(F.col("b").cast("string")))
+    if wrong.isEmpty():
+        return "UTF-8"
+
+    @F.pandas_udf("boolean")
+    def is_big5(b: pd.Series) -> pd.Series:
+        def ok(x: bytes) -> bool:
             try:
-                raw[: len(raw) - back].decode(enc)
-                return name
+                bytes(x).decode("cp950")
             except UnicodeDecodeError:
-                continue
-    raise ValueError(f"cannot decode {path}")
+                return False
+            return True
+
+        return b.map(ok)
+
+    if not wrong.where(~is_big5("b")).isEmpty():
+        raise ValueError(f"cannot decode {path}")
+    return BIG5
 
 
 def read_csv_auto(spark: SparkSession, path: str) -> DataFrame:
-    """CSV in UTF-8 (with or without mark) or Big5, told apart by its head."""
+    """CSV in UTF-8 (with or without mark) or Big5, told apart by all of its lines."""
     enc = sniff_encoding(spark, path)
     if enc == BIG5 and spark.conf.get(JAVA_CHARSETS, "false") != "true":
         spark.conf.set(JAVA_CHARSETS, "true")
@@ -112,6 +111,7 @@ LINE_LIST_COLUMNS = {
     "village_code": "居住村里代碼",
 }
 YES = "是"
+# Pathogen columns of the laboratory file.
 PATHOGENS = {
     "Influenza": "resp_flu", "RSV": "resp_rsv", "SARS-CoV-2": "resp_covid", "hMPV": "resp_hmpv", "Parainfluenza": "resp_para",
     "Rhinovirus": "resp_rhino", "Adeno": "resp_adeno", "Mycoplasma": "resp_myco",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,10 +38,17 @@ def overwrite_partitions(df: DataFrame, path: str, partition_by: Sequence[str])
 
 
 def done_partitions(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame | None:
-    """Distinct key values already stored; answered from the folder names."""
+    """Distinct key values already stored, from the names of the partition folders; no row is read."""
     if not exists(spark, path):
         return None
-    return spark.read.parquet(path).select(*keys).distinct()
+    files = spark.read.parquet(path).inputFiles()
+    # names are escaped once as folder names and once more as parts of a URI
+    parts = [{k: unquote(v) for k, v in (p.split("=", 1) for p in unquote(f).split("/") if "=" in p)} for f in files]
+    found = sorted({tuple(p.get(k) for k in keys) for p in parts}, key=str)
+    kinds = spark.read.parquet(path).select(*keys).schema
+    named = spark.createDataFrame(found, ", ".join(f"`{k}` string" for k in keys))
+    none = "__HIVE_DEFAULT_PARTITION__"
+    return named.select(*[F.when(F.col(k) != none, F.col(k)).cast(kinds[k].dataType).alias(k) for k in keys])
 
 
 def resume_write(spark: SparkSession, todo: DataFrame, make: Callable[[DataFrame], DataFrame], path: str, keys: Sequence[str]) -> DataFrame:

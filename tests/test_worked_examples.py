@@ -1,4 +1,4 @@
-"""Worked examples with known answers."""
+"""Worked examples. The answers, which are those of the surveillance rules."""
 
 import datetime as dt
 
@@ -185,3 +185,78 @@ def test_missing_weeks_raise(spark):
     with pytest.raises(Exception, match="missing steps in a: 1"):
         require_complete(d, ["s"], "i", "v").collect()
     assert require_complete(d.where("s = 'b'"), ["s"], "i", "v").count() == 1
+
+
+def test_week_keys_of_the_calendar(spark):
+    keys = ["202053", "202153", "202199", "202100", "202152", "20215", "20215x", None]
+    got = [r["ok"] for r in spark.createDataFrame([(i, k) for i, k in enumerate(keys)], "i int, k string").orderBy("i").select(lb.is_week_key(F.col("k")).alias("ok")).collect()]
+    assert got == [True, False, False, False, True, False, False, False]
+
+
+def test_deciles_of_large_forecasts(spark):
+    from epivigil.operators.baselines import deciles
+
+    r = one(spark, deciles(F.lit(2e10), F.array(*[F.lit(float(x)) for x in range(-4, 5)])).alias("q"))
+    assert r["q"] == [2e10 + x for x in range(-4, 5)]
+
+
+def test_window_sum_that_begins_late(spark):
+    from epivigil.operators.linelist import known_window_sum
+
+    hist = spark.createDataFrame([("a", dt.date(2024, 1, 1), 1, 5)], "series string, onset date, delay int, n long")
+    got = known_window_sum(hist, 7, F.lit(dt.date(2024, 1, 4)), F.lit(dt.date(2024, 1, 10))).orderBy("day").collect()
+    assert [r["n"] for r in got] == [5, 5, 5, 5, 0, 0, 0]
+
+
+def test_cases_at_one_place_are_neighbours(spark):
+    from epivigil.operators import spatial as sp
+
+    day = dt.date(2024, 3, 1)
+    cases = spark.createDataFrame([(day, day, float(i), 0.0, 1) for i in range(15) for _ in range(12)], "onset date, report date, x double, y double, n int")
+    origins = spark.createDataFrame([(day,)], "origin date")
+    s = sp.bandwidth(sp.weighted_points(cases, origins, "final", sp.VARIANTS["kde_rv"]), sp.VARIANTS["kde_rv"])
+    assert {r["sigma"] for r in s.collect()} == {0.5} and s.count() == 15
+
+
+def test_quantiles_of_any_mean():
+    import numpy as np
+
+    from epivigil.functions.geo import _nb_quantiles
+
+    levels = np.arange(1, 10) / 10
+    for phi in (2.0, 0.7, 40.0):
+        mu = np.array([0.0, 0.3, 4.0, 57.0])
+        for m, row in zip(mu, _nb_quantiles(mu, phi, levels)):
+            p, k, expected = phi / (phi + m), 0, []
+            pmf = cdf = p**phi
+            for level in levels:
+                while m and cdf < level:
+                    k += 1
+                    pmf *= (k - 1 + phi) / k * (1 - p)
+                    cdf += pmf
+                expected.append(k)
+            assert row.tolist() == expected
+    assert 1.9e8 < _nb_quantiles(np.array([1e8]), 2.0, levels)[0, 8] < 2e8 and np.isinf(_nb_quantiles(np.array([np.inf]), 2.0, levels)).all()
+
+
+def test_encoding_by_all_lines(spark, tmp_path):
+    from epivigil.sources.readers import read_csv_auto, sniff_encoding
+
+    late = "a,b\n" + "x,1\n" * 30_000
+    (tmp_path / "big5.csv").write_bytes(late.encode() + "台北市,2\n".encode("cp950"))
+    (tmp_path / "utf8.csv").write_bytes(late.encode() + "台北市,2\n".encode())
+    (tmp_path / "neither.csv").write_bytes(b"a\n\xff\xff\xff\n")
+    assert sniff_encoding(spark, str(tmp_path / "big5.csv")) != "UTF-8" == sniff_encoding(spark, str(tmp_path / "utf8.csv"))
+    for name in ("big5", "utf8"):
+        assert read_csv_auto(spark, str(tmp_path / f"{name}.csv")).where("b = 2").first()["a"] == "台北市"
+    with pytest.raises(ValueError):
+        sniff_encoding(spark, str(tmp_path / "neither.csv"))
+
+
+def test_stored_partitions_by_name(spark, tmp_path):
+    from epivigil.sources.sinks import done_partitions
+
+    path = str(tmp_path / "t")
+    spark.createDataFrame([("a b/c", 1, 2.0), (None, 2, 1.0), ("a b/c", 1, 3.0)], "mode string, year int, v double").write.partitionBy("mode", "year").parquet(path)
+    got = done_partitions(spark, path, ["mode", "year"])
+    assert sorted(map(tuple, got.collect()), key=str) == sorted([("a b/c", 1), (None, 2)], key=str)
