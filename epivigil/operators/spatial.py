@@ -18,8 +18,8 @@ from ..functions import geo
 from ..session import spread
 from . import linelist as ll
 
-# exp(-9^2/2) is under 3e-18: a kernel term cut at nine sigma is below the rounding of a double
-REACH = 9.0
+# exp(-38.7^2/2) is below the smallest double: a kernel term cut there is 0 anyway
+REACH = 38.7
 
 
 @dataclass(frozen=True)
@@ -229,11 +229,13 @@ def trend_factor(now: Column, before: Column, pseudo: float = 5.0) -> Column:
     return F.greatest(F.lit(0.5), F.least(F.lit(2.0), (now + pseudo) / (before + pseudo)))
 
 
-def spatial_forecast(context: DataFrame, lam: DataFrame, villages: DataFrame, kernel: Kernel, hs: Sequence[int]) -> DataFrame:
+def spatial_forecast(context: DataFrame, lam: DataFrame, villages: DataFrame, kernel: Kernel, hs: Sequence[int],
+                     points: DataFrame | None = None) -> DataFrame:
     """(origin, series, h, mu): spatial share of the regional total times the trend, blended with the own persistence.
 
-    ``context``: origin, series, k, n with zeros for k = 0..13. ``lam``: origin, village_code, lam. Without points the
-    share is the own share, without cases at all it is uniform.
+    ``context``: origin, series, k, n with zeros for k = 0..13. ``lam``: origin, village_code, lam. Without points
+    (``points`` has the origins with any; else those with a lam row count) the share is the own share, without cases at all it is
+    uniform, as it is where points are too far from every village for a double.
     """
     own = context.groupBy("origin", "series").agg(
         F.sum(F.when(F.col("k") < 7, F.col("n")).otherwise(0.0)).alias("own7"),
@@ -243,10 +245,14 @@ def spatial_forecast(context: DataFrame, lam: DataFrame, villages: DataFrame, ke
     d = own.join(town, ["origin", "series"], "left")
     tot = d.groupBy("origin").agg(F.sum("own7").alias("tot7"), F.sum("prev7").alias("p7"), F.sum("lam").alias("tlam"), F.count("*").alias("ns"))
     d = d.join(tot, "origin")
+    if points is not None:
+        some = points.where("w > 0").select("origin").distinct().withColumn("_some", F.lit(True))
+        d = d.join(some, "origin", "left")
+    seen = F.coalesce("_some", F.lit(False)) if points is not None else F.col("tlam").isNotNull()
     uniform = F.lit(1.0) / F.col("ns")
     share = (
         F.when(F.col("tlam") > 0, F.coalesce("lam", F.lit(0.0)) / F.nullif(F.col("tlam"), F.lit(0.0)))
-        .when(F.col("tlam").isNotNull(), uniform)
+        .when(seen, uniform)
         .when(F.col("tot7") > 0, F.col("own7") / F.nullif(F.col("tot7"), F.lit(0.0)))
         .otherwise(uniform)
     )

@@ -116,7 +116,7 @@ def spatial(spark, sf):
         _, v = geometry(spark, sf)
         pts = sp.weighted_points(points(spark, sf), point_origins(spark, sf), "asof_adj", k, point_comp(spark, sf), 7)
         lam = sp.intensity(sp.bandwidth(pts, k), v, "village_code", (k.sigma_km, k.sigma_km))
-        return sp.spatial_forecast(context(spark, sf), lam, v, k, (1, 7, 14))
+        return sp.spatial_forecast(context(spark, sf), lam, v, k, (1, 7, 14), pts)
 
     return stored(spark, sf, "spatial_forecast", make)
 

@@ -42,10 +42,10 @@ def h3(spark, sf):
     return o.select("county", "model", big("origin").alias("origin"), "above_now", "event", rnd("p", 3).alias("p"), rnd("p_indep", 3).alias("p_indep"), "first_week")
 
 
-@query("h4_any_crossing", chain(C_EW, f"SELECT model, series, CAST(origin AS VARCHAR) AS origin, {R('prob', 5)} AS prob, event, CAST(y AS DOUBLE) AS y FROM anyr"))
+@query("h4_any_crossing", chain(C_EW, f"SELECT model, series, CAST(origin AS VARCHAR) AS origin, {R('prob', 7)} AS prob, event, CAST(y AS DOUBLE) AS y FROM anyr"))
 def h4(spark, sf):
     a = al.any_crossing(early_warning(spark, sf))
-    return a.select("model", "series", text("origin").alias("origin"), rnd("prob", 5).alias("prob"), "event", "y")
+    return a.select("model", "series", text("origin").alias("origin"), rnd("prob", 7).alias("prob"), "event", "y")
 
 
 def yearly_table(spark, sf):

@@ -267,15 +267,15 @@ def monday_origins(spark: SparkSession, sf: str) -> DataFrame:
 
 C_ORIGINS = "origins AS (SELECT DISTINCT CAST(date_trunc('week', onset) AS DATE) AS origin FROM hist)"
 
-EW_WINDOW, EW_HS = 728, (3, 7, 14)
+EW_WINDOW, EW_WARMUP, EW_HS = 728, 365, tuple(range(1, 15))
 
 
 def early_warning(spark: SparkSession, sf: str) -> DataFrame:
-    """Daily backtest of the 7-day sum with final data: two baselines, three horizons, every day as origin; stored."""
+    """Daily backtest of the 7-day sum with final data: two baselines, all fourteen horizons, every day from the second year on as origin; stored."""
 
     def make():
         d = daily(spark, sf)
-        f = bl.forecasts(d, ["series"], "day", "s7", ["naive", "snaive"], horizon=14, hs=EW_HS, season=364, window=EW_WINDOW, warmup=EW_WINDOW)
+        f = bl.forecasts(d, ["series"], "day", "s7", ["naive", "snaive"], horizon=14, hs=EW_HS, season=364, window=EW_WINDOW, warmup=EW_WARMUP)
         t = d.select("series", F.col("day").alias("origin"), "thr", F.col("thr").alias("thr_final"), "s7")
         f = f.join(t, ["series", "origin"]).withColumns({"mode": F.lit("final"), "year": F.year("origin")})
         return al.score_daily(f)
@@ -283,7 +283,7 @@ def early_warning(spark: SparkSession, sf: str) -> DataFrame:
     return stored(spark, sf, "early_warning", make)
 
 
-C_EW = C_DAILY + ",\n" + backtest_cte("dthr", "series", "s7", "ewf", 364, EW_WINDOW, EW_WINDOW, 14, EW_HS, ("naive", "snaive"), "day") + f""",
+C_EW = C_DAILY + ",\n" + backtest_cte("dthr", "series", "s7", "ewf", 364, EW_WINDOW, EW_WARMUP, 14, EW_HS, ("naive", "snaive"), "day") + f""",
  ew AS (SELECT f.*, 'final' AS mode, t.thr, t.thr AS thr_final, t.s7, CAST(year(f.origin) AS INTEGER) AS year, {wis_sql('f.y')} AS wis, f.y >= q10 AND f.y <= q90 AS cov80,
   {prob_sql('t.thr', 0.02, 'last')} AS prob, f.y >= t.thr AS event FROM ewf f JOIN dthr t ON t.series = f.series AND t.day = f.origin),
  anyr AS (SELECT model, mode, series, origin, year, MAX(prob) AS prob, MAX(event) AS event, MAX(y) AS y, MIN(thr) AS thr, MIN(thr_final) AS thr_final, MIN(s7) AS s7 FROM ew GROUP BY ALL),
