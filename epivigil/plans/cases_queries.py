@@ -7,7 +7,7 @@ from ..operators import linelist as ll
 from ..operators import nowcast as nc
 from .registry import R, big, chain, query, rnd, rounded, text
 from .sources_queries import C_SNAP, snapshot
-from .testbed import C_DAILY, C_HIST, C_LL, C_ORIGINS, CITIES, daily, histogram, line_list, monday_origins, stored
+from .testbed import C_DAILY, C_HIST, C_LL, C_ORIGINS, CITIES, daily, histogram, line_list, daily_origins, stored
 
 
 @query("e1_daily_panel", chain(C_DAILY, "SELECT series, CAST(day AS VARCHAR) AS day, n FROM daily"))
@@ -25,7 +25,7 @@ C_KNOWN = "known AS (SELECT o.origin, h.series, h.onset, o.origin - h.onset AS k
 
 @query("e3_known_counts", chain(C_HIST, C_ORIGINS, C_KNOWN.format(back=21), "SELECT CAST(origin AS VARCHAR) AS origin, series, CAST(onset AS VARCHAR) AS onset, CAST(k AS BIGINT) AS k, n FROM known"))
 def e3(spark, sf):
-    k = ll.known_counts(histogram(spark, sf), monday_origins(spark, sf), 21)
+    k = ll.known_counts(histogram(spark, sf), daily_origins(spark, sf), 21)
     return k.select(text("origin").alias("origin"), "series", text("onset").alias("onset"), big("k").alias("k"), "n")
 
 
@@ -44,17 +44,17 @@ C_COMP = f"""hd AS (SELECT onset, delay, SUM(n) AS n FROM hist GROUP BY 1, 2),
 
 
 def comp_table(spark, sf):
-    return stored(spark, sf, "completeness", lambda: ll.completeness(histogram(spark, sf), monday_origins(spark, sf), LOOK, DMAX))
+    return stored(spark, sf, "completeness", lambda: ll.completeness(histogram(spark, sf), daily_origins(spark, sf), LOOK, DMAX))
 
 
 @query("e4_completeness", chain(C_HIST, C_ORIGINS, C_COMP, f"SELECT CAST(origin AS VARCHAR) AS origin, CAST(k AS BIGINT) AS k, {R('share')} AS share FROM comp"))
 def e4(spark, sf):
-    return ll.completeness(histogram(spark, sf), monday_origins(spark, sf), LOOK, DMAX).select(text("origin").alias("origin"), big("k").alias("k"), rnd("share").alias("share"))
+    return ll.completeness(histogram(spark, sf), daily_origins(spark, sf), LOOK, DMAX).select(text("origin").alias("origin"), big("k").alias("k"), rnd("share").alias("share"))
 
 
 @query("e5_adjusted_counts", chain(C_HIST, C_ORIGINS, C_KNOWN.format(back=21), C_COMP, f"SELECT CAST(known.origin AS VARCHAR) AS origin, series, CAST(onset AS VARCHAR) AS onset, {R('n / GREATEST(share, 0.2)')} AS n FROM known JOIN comp ON comp.origin = known.origin AND comp.k = known.k"))
 def e5(spark, sf):
-    k = ll.known_counts(histogram(spark, sf), monday_origins(spark, sf), 21)
+    k = ll.known_counts(histogram(spark, sf), daily_origins(spark, sf), 21)
     return ll.adjusted_counts(k, comp_table(spark, sf), DMAX).select(text("origin").alias("origin"), "series", text("onset").alias("onset"), rnd("n").alias("n"))
 
 
@@ -77,7 +77,7 @@ def _gp(passes, triggered):
 @query("e6_gamma_poisson", chain(C_HIST, C_ORIGINS, C_KNOWN.format(back=36), C_COMP, C_DENSE, _gp(2, True),
  f"SELECT CAST(origin AS VARCHAR) AS origin, series, {R('SUM(o)', 5)} AS n FROM gp2 WHERE k < 7 GROUP BY 1, 2"))
 def e6(spark, sf):
-    h, o = histogram(spark, sf), monday_origins(spark, sf)
+    h, o = histogram(spark, sf), daily_origins(spark, sf)
     out = nc.gamma_poisson(nc.dense_known(h, o, 36), comp_table(spark, sf), 7.0, passes=2, report_triggered=True, dmax=DMAX)
     return nc.window_sums(out, 7, "n").select(text("origin").alias("origin"), "series", rnd("n", 5).alias("n"))
 
@@ -87,7 +87,7 @@ def e6(spark, sf):
  UNION ALL SELECT 'asof_nc7', CAST(origin AS VARCHAR), {R('SUM(o)', 5)} FROM gp1 WHERE k < 7 GROUP BY 2
  UNION ALL SELECT 'final', CAST(o.origin AS VARCHAR), {R('COALESCE((SELECT SUM(n) FROM hist h WHERE h.onset BETWEEN o.origin - 6 AND o.origin), 0)', 5)} FROM origins o"""))
 def e7(spark, sf):
-    h, o = histogram(spark, sf), monday_origins(spark, sf)
+    h, o = histogram(spark, sf), daily_origins(spark, sf)
     out = None
     for mode in ("final", "asof", "asof_adj", "asof_nc7"):
         c = nc.context_counts(h, o, mode, 7, DMAX)
@@ -109,7 +109,7 @@ def e9(spark, sf):
 @query("e9b_asof_thresholds", chain(C_HIST, C_ORIGINS, C_KNOWN.format(back=36), C_COMP, C_DENSE, f"""SELECT CAST(d.origin AS VARCHAR) AS origin, series, {R('SUM(CASE WHEN d.k < 7 THEN r / GREATEST(share, 0.2) ELSE 0 END)', 5)} AS s7, {R('GREATEST(2.0 / 3 * SUM(r / GREATEST(share, 0.2)), 3)', 5)} AS thr
  FROM dense d JOIN comp c ON c.origin = d.origin AND c.k = d.k WHERE d.k < 21 GROUP BY 1, 2"""))
 def e9b(spark, sf):
-    k = nc.dense_known(histogram(spark, sf), monday_origins(spark, sf), 21)
+    k = nc.dense_known(histogram(spark, sf), daily_origins(spark, sf), 21)
     t = nc.context_thresholds(ll.adjusted_counts(k, comp_table(spark, sf), DMAX))
     return t.select(text("origin").alias("origin"), "series", rnd("s7", 5).alias("s7"), rnd("thr", 5).alias("thr"))
 

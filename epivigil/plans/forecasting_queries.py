@@ -14,7 +14,7 @@ from ..operators import nowcast as nc
 from ..operators import panel as pn
 from ..session import spread
 from .registry import R, big, chain, query, rnd, rounded, text
-from .testbed import (C_CPANEL, C_EW, C_NAT, C_SCORED, C_VISITS, any_rows, backtest_cte, county_panel, daily, early_warning, histogram, monday_origins,
+from .testbed import (C_CPANEL, C_EW, C_NAT, C_SCORED, C_VISITS, any_rows, backtest_cte, county_panel, daily, early_warning, histogram, daily_origins,
                       national, results, visits, yw_idx_sql)
 from .weeks_queries import closures, holidays
 
@@ -78,7 +78,7 @@ def f6(spark, sf):
 @query("f6b_daily_asof_forecasts")
 def f6b(spark, sf):
     """Daily contexts as known at each origin: final 7-day sums with the last days replaced by what was known."""
-    h, o, back = histogram(spark, sf), monday_origins(spark, sf), 46
+    h, o, back = histogram(spark, sf), daily_origins(spark, sf), 46
     d = daily(spark, sf)
     from pyspark.sql import Window as W
 
@@ -89,7 +89,7 @@ def f6b(spark, sf):
     tail = known.withColumn("s7", F.sum("n").over(wk)).where("k < 40").groupBy("origin", "series").agg(
         F.transform(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("t"), "s7"))), lambda x: x["s7"]).alias("new")
     )
-    ctx = final.join(tail, ["origin", "series"]).where(F.size("old") >= 300).select(
+    ctx = final.join(tail, ["origin", "series"]).select(
         "series", "origin", F.concat("old", "new").alias("context"), F.array().cast("array<double>").alias("truth")
     )
     f = fc.run_forecaster(ctx, fc.last_value_forecaster, ["series"], 14, hs=(7, 14))

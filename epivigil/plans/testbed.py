@@ -260,12 +260,12 @@ def daily(spark: SparkSession, sf: str) -> DataFrame:
     return ll.warning_threshold(d, "n")
 
 
-def monday_origins(spark: SparkSession, sf: str) -> DataFrame:
-    """One origin a week: the Mondays with onset days of the data."""
-    return histogram(spark, sf).select(F.date_trunc("week", "onset").cast("date").alias("origin")).distinct()
+def daily_origins(spark: SparkSession, sf: str) -> DataFrame:
+    """Every day with an onset as origin."""
+    return histogram(spark, sf).select(F.col("onset").alias("origin")).distinct()
 
 
-C_ORIGINS = "origins AS (SELECT DISTINCT CAST(date_trunc('week', onset) AS DATE) AS origin FROM hist)"
+C_ORIGINS = "origins AS (SELECT DISTINCT onset AS origin FROM hist)"
 
 EW_WINDOW, EW_WARMUP, EW_HS = 728, 365, tuple(range(1, 15))
 

@@ -9,7 +9,7 @@ from ..operators import linelist as ll
 from ..operators import nowcast as nc
 from ..operators import ranks
 from .registry import R, big, chain, query, rnd, rounded, text
-from .testbed import C_DAILY, C_EP, C_EW, C_ORIGINS, CITIES, GRID, any_rows, daily, early_warning, episodes, histogram, monday_origins, stored, weeks
+from .testbed import C_DAILY, C_EP, C_EW, C_ORIGINS, CITIES, GRID, any_rows, daily, early_warning, episodes, histogram, daily_origins, stored, weeks
 
 _DB = """db AS (SELECT series, day, n, row_number() OVER w - 1 AS t, AVG(n) OVER f AS mu, GREATEST(stddev_pop(n) OVER f, 0.5) AS sd FROM daily
   WINDOW w AS (PARTITION BY series ORDER BY day), f AS (PARTITION BY series ORDER BY day ROWS BETWEEN 63 PRECEDING AND 8 PRECEDING))"""
@@ -284,7 +284,7 @@ def i27b(spark, sf):
 @query("i28_batch_share", chain(C_DAILY, C_EP, C_ORIGINS, f"""k AS (SELECT o.origin, s.series, COALESCE((SELECT SUM(n) FROM hist h WHERE h.series = s.series AND h.onset > o.origin - 14 AND h.onset + h.delay <= o.origin), 0) AS n14 FROM origins o CROSS JOIN (SELECT DISTINCT series FROM hist) s),
  l AS (SELECT e.series, e.day, arg_max(k.n14, k.origin) AS n14 FROM ep e JOIN k ON k.series = e.series AND k.origin < e.day GROUP BY 1, 2)""", f"SELECT COUNT(*) AS n_episodes, {R('AVG(CASE WHEN n14 = 0 THEN 1 ELSE 0 END)')} AS share_batch FROM l"))
 def i28(spark, sf):
-    k = nc.window_sums(nc.dense_known(histogram(spark, sf), monday_origins(spark, sf), 14), 14, "n14")
+    k = nc.window_sums(nc.dense_known(histogram(spark, sf), daily_origins(spark, sf), 14), 14, "n14")
     return rounded(al.batch_share(episodes(spark, sf), k.withColumn("n14", big("n14"))), "share_batch")
 
 
