@@ -116,6 +116,17 @@ class Encoder:
             new, self.places.new = self.places.new, []
             self._add(map(self._run, new))
 
+    @staticmethod
+    def _parted(texts: list[str], mark: str) -> pa.Array:
+        """``texts`` with ``mark`` between letters or digits and other characters, where pieces always end: fewer runs are distinct.
+
+        An apostrophe may belong to the letters after it, so texts with one are left as they are.
+        """
+        whole = pa.array(texts, pa.large_string())
+        cut = pc.replace_substring_regex(whole, r"([\pL\pN])([^\pL\pN\s])", rf"\1{mark}\2")
+        cut = pc.replace_substring_regex(cut, r"([^\pL\pN\s])([\pL\pN])", rf"\1{mark}\2")
+        return pc.if_else(pc.match_substring(whole, "'"), whole, cut)
+
     def _runs(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Places of the runs of plain texts, and how many runs each text has."""
         if self.spaced:  # a run begins at each space, and a line end is one; wider white space goes through the pattern
@@ -123,9 +134,9 @@ class Encoder:
             cut = [t.replace(" ", "\0 ").replace("\n", "\0\n\0") for t in texts]
             for i in wide:
                 cut[i] = "\0".join(_SPACED.findall(texts[i]))
-            lists = pc.split_pattern(pa.array(cut, pa.large_string()), "\0")
+            lists = pc.split_pattern(self._parted(cut, "\0"), "\0")
         else:
-            lists = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+            lists = pc.ascii_split_whitespace(self._parted(texts, " "))
         coded = lists.flatten().dictionary_encode()
         at = self.places.__getitem__
         known = np.fromiter((at(r) if r else -1 for r in coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))

@@ -35,7 +35,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, shards: int |
     text; each repeated row is written. An empty table gives an empty file set. ``tokenizer`` is a file that each worker can open.
     """
     spark = docs.sparkSession
-    n = shards or 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    n = shards or 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
