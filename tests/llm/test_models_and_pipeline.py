@@ -144,6 +144,12 @@ def test_pipeline_stages(spark):
     assert key(run) == key(last)
 
 
+def test_one_of_repeated_rows_stays(spark):
+    kept = corpus_pipeline.near_dedup(spark, odd_documents(spark), "/root/testdata/sf0.001")
+    ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
+    assert sorted(ids) == [1, 4, 5, 6, 7, 9, 10, 12, 13, 14]
+
+
 def test_pipeline_of_odd_documents(spark):
     docs = odd_documents(spark)
     for _, stage in corpus_pipeline.STAGES:
