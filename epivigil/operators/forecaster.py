@@ -63,19 +63,6 @@ def suite(name: str, target: str, horizon: int = 4) -> list[Config]:
     return grids[name]
 
 
-def config_rows(spark, configs: Sequence[Config]) -> DataFrame:
-    """Configurations as rows."""
-    return spark.createDataFrame(
-        [
-            (c.name, c.model, c.target, list(c.targets or (c.target,)), "expanding" if c.window is None else str(c.window),
-             c.log1p, list(c.covariates), list(c.past_covariates), c.warmup, c.horizon)
-            for c in configs
-        ],
-        "config string, model string, target string, targets array<string>, window string, log1p boolean, "
-        "covariates array<string>, past_covariates array<string>, warmup int, horizon int",
-    )
-
-
 def contexts(
     df: DataFrame, by: Sequence[str], idx: str, value: str, warmup: int, horizon: int, window: int | None = None,
     keep: Column | None = None, with_truth: bool = True, past: Sequence[str] = (),

@@ -18,10 +18,6 @@ from .panel import bounds
 DMAX = 120
 
 
-def day_number(d: Column) -> Column:
-    return F.datediff(d, F.lit("1970-01-01").cast("date"))
-
-
 def delay_days(onset: Column, report: Column, dmax: int = DMAX) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(dmax), F.datediff(report, onset)))
 
@@ -203,12 +199,5 @@ def densify_snapshot(snapshot: DataFrame, series: DataFrame, first: Column, last
     )
 
 
-def with_coords(line_list: DataFrame, lon: str, lat: str, village: str) -> DataFrame:
-    """Coordinates and village code of each case, taken from the same scan as the line list."""
-    return line_list.withColumns(
-        {"lon": F.col(lon).try_cast("double"), "lat": F.col(lat).try_cast("double"), "village_code": F.col(village)}
-    )
-
-
 def series_region(df: DataFrame, cities: Sequence[str] = lb.FOCUS_CITIES) -> DataFrame:
     return df.withColumn("region", lb.region_of(F.col("series"), cities))

@@ -60,15 +60,6 @@ def spine(first: Column, last: Column, spark) -> DataFrame:
     )
 
 
-def on_spine(long: DataFrame) -> DataFrame:
-    """Every indicator on every week between the first and last week of any of them; null = unobserved."""
-    lo, hi = bounds(long, "week_idx")
-    keys = long.select("source", "indicator").distinct().withColumn("week_idx", F.explode(F.sequence(lo, hi)))
-    return keys.join(long.drop("yw"), ["source", "indicator", "week_idx"], "left").withColumn(
-        "yw", cal.yw_of_index(F.col("week_idx"))
-    )
-
-
 def wide(long: DataFrame, indicators: Sequence[str]) -> DataFrame:
     """Long -> one row per week of the full range, one column per indicator (listed, so no extra job finds them)."""
     lo, hi = bounds(long, "week_idx")
@@ -202,8 +193,3 @@ def truncate_to_common(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         return obs.join(common, list(by)).where(F.col("week_idx").between(F.col("_lo"), F.col("_hi"))).drop("_lo", "_hi")
     lo, hi = common.select("_lo").scalar(), common.select("_hi").scalar()
     return obs.where(F.col("week_idx").between(lo, hi))
-
-
-def present(df: DataFrame, cols: Sequence[str]) -> list[str]:
-    have = set(df.columns)
-    return [c for c in cols if c in have]

@@ -14,23 +14,6 @@ _LOCAL_SCRATCH: dict[str, str] = {}
 _SHIPPED: set[str] = set()
 
 
-def build_session(app_name: str = "epivigil", master: str | None = None, **conf) -> SparkSession:
-    """A session with adaptive execution and UTC. Partition counts are left to AQE unless ``conf`` sets them."""
-    b = SparkSession.builder.appName(app_name)
-    if master:
-        b = b.master(master)
-    defaults = {
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-    }
-    for k, v in {**defaults, **conf}.items():
-        b = b.config(k, v)
-    return b.getOrCreate()
-
-
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors, once for each application: their Python workers import it wherever they start."""
     app = spark.sparkContext.applicationId
