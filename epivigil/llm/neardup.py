@@ -2,10 +2,14 @@
 
 Documents with equal shingle sets form a class, and only a class's first document goes on. A signature has ``BANDS * ROWS`` bins:
 the smallest shingle hash of each range of hashes, and empty bins borrow from bins that a hash of bin and attempt points to (optimal
-densification). In each bucket every member is compared with the smallest one only. Where that leaves a bucket with members of
-several components, further members of it become centres, until each bucket is one component or all its pairs between components
-have been compared; pairs within a component add nothing to it and are never formed. With 42 bands of 6 bins two sets of
-similarity 0.85 share no bucket with a probability of 3e-9.
+densification). In each bucket every member is compared with the smallest one, its centre, on full sets. With 42 bands of 6 bins two
+sets of similarity 0.85 share no bucket with a probability of 3e-9.
+
+Stars alone lose links between members that are not near their centre. A member's difference from the centre, D (shingles that one
+of the two has alone), tells all pairs apart: x and y differ in |Dx| + |Dy| - 2 |Dx and Dy|, so two members that are near each other
+but not both near the centre must share so many elements of D that they share one among the first few of both, in any common order.
+Members of different components are therefore joined on these first elements, those that the centre lacks in front; copies that were
+edited in different places share none, so a crowd of near copies is not paired off. What the join finds is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -18,7 +22,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..session import written
 from .common import slices
@@ -27,7 +30,6 @@ from .components import components
 BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
 ATTEMPTS = 4096
-FIRST_CENTRES = 64  # centres of a bucket in the first round after the star; each later round has twice as many
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -130,38 +132,65 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(of, "doc_id long, n_shingles long, digest binary, bands array<long>")
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """Those of ``pairs`` (node, centre) whose full sets are similar enough."""
-    per_node = pairs.groupBy("node").agg(F.collect_list("centre").alias("centres"))  # at most one for each band and centre round
-    own = pairs.select(F.col("centre").alias("node")).distinct().withColumn("own", F.lit(True))
-    asked = per_node.join(own, "node", "full")
-    texts = docs.join(asked.withColumnRenamed("node", "doc_id"), "doc_id").select("doc_id", "centres", "own", "text")
+def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, members): the sorted shingle hashes of the documents whose id is in ``nodes``."""
+    texts = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(), set()
         for b in slices(batches, 512):
-            data = [s.tobytes() for s in shingler.sets(b.column(3))]
+            data = [s.tobytes() for s in shingler.sets(b.column(1))]
             marks = [(i, hashlib.blake2b(x, digest_size=16).digest()) for i, x in zip(b.column(0).to_pylist(), data)]
             fresh = [m not in seen and not seen.add(m) for m in marks]  # a repeated row goes on once
-            out = pa.RecordBatch.from_pydict({"node": b.column(0), "centres": b.column(1), "own": b.column(2), "members": pa.array(data, pa.binary())})
-            yield out.filter(pa.array(fresh, pa.bool_()))
+            yield pa.RecordBatch.from_pydict({"node": b.column(0), "members": pa.array(data, pa.binary())}).filter(pa.array(fresh, pa.bool_()))
+
+    return texts.mapInArrow(of, "node long, members binary")
+
+
+def most_apart(n: int, m: int, percent: int) -> int:
+    """How many shingles two linked sets of n and m shingles may differ in."""
+    return (100 - percent) * (n + m) // (100 + percent)
+
 
-    kept = written(texts.mapInArrow(sets, "node long, centres array<long>, own boolean, members binary"), "shingle-sets")
-    left = kept.where("centres is not null").select("node", F.explode("centres").alias("centre"), "members")
-    right = kept.where("own").select(F.col("node").alias("centre"), F.col("members").alias("others"))
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """``pairs`` (node, centre) with ``linked``, the node's set size n, how many shingles the two differ in, and the first of these.
+
+    Shingles that the centre lacks come first. A partner that is near the node has at most ``100 / percent`` times its size.
+    """
+    left = pairs.join(sets, "node").select("node", "centre", "members")
+    right = sets.select(F.col("node").alias("centre"), F.col("members").alias("others"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 512, 32 << 20):
-            linked = []
+            out = {"linked": [], "n": [], "apart": [], "first": []}
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                if len(s) > len(t):
-                    s, t = t, s
-                both = int((t[np.minimum(np.searchsorted(t, s), len(t) - 1)] == s).sum())
-                linked.append(100 * both >= percent * (len(s) + len(t) - both))
-            yield pa.RecordBatch.from_pydict({"a": b.column(0), "b": b.column(1)}).filter(pa.array(linked, pa.bool_()))
-
-    return left.join(right, "centre").select("node", "centre", "members", "others").mapInArrow(compare, "a long, b long")
+                mine = t[np.minimum(np.searchsorted(t, s), len(t) - 1)] != s
+                theirs = s[np.minimum(np.searchsorted(s, t), len(s) - 1)] != t
+                apart = int(mine.sum() + theirs.sum())
+                front = most_apart(len(s), 100 * len(s) // percent, percent) + 1
+                out["linked"].append(apart <= most_apart(len(s), len(t), percent))
+                out["n"].append(len(s))
+                out["apart"].append(apart)
+                out["first"].append(np.concatenate([s[mine], t[theirs]])[:front].view(np.int64))
+            out |= {"first": pa.array(out["first"], pa.list_(pa.int64()))}
+            yield pa.RecordBatch.from_pydict({"node": b.column(0), "centre": b.column(1)} | out)
+
+    return left.join(right, "centre").select("node", "centre", "members", "others").mapInArrow(compare, "node long, centre long, linked boolean, n long, apart long, first array<long>")
+
+
+def _beside_the_centre(compared: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
+    """(node, centre): pairs of members of one centre, in different components, that may be linked."""
+    rows = compared.select("node", "centre", "n", "apart", "first").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = rows.groupBy("centre").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("centre")
+    e = written(rows.join(mixed, "centre", "left_semi").select("node", "centre", "n", "apart", "comp", F.posexplode("first").alias("at", "element")), "first-differences")
+    o = e.select("centre", "element", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "apart", "comp", "at")])
+    may = F.floor((100 - percent) * (F.col("n") + F.col("_n")) / F.lit(100 + percent))
+    shared = F.ceil((F.col("apart") + F.col("_apart") - may) / 2)  # elements of both differences that a link needs
+    near = (F.col("_node") < F.col("node")) & (F.col("comp") != F.col("_comp")) & (F.abs(F.col("apart") - F.col("_apart")) <= may)
+    near = near & (F.col("at") <= F.col("apart") - shared) & (F.col("_at") <= F.col("_apart") - shared)
+    met = e.join(o, (e["centre"] == o["centre"]) & (e["element"] == o["element"]) & near)
+    return met.select("node", F.col("_node").alias("centre")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -174,42 +203,18 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sig = written(_signatures(docs), "signatures")
-    classes = written(sig.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands"), F.min("n_shingles").alias("n")), "classes")
-    members = classes.where("node is not null").select(F.explode("bands").alias("key"), "node", "n")
+    classes = written(sig.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "classes")
+    members = classes.where("node is not null").select(F.explode("bands").alias("key"), "node")
     buckets = written(members.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("_last")).where("centre < _last").select("key", "centre"), "buckets")
-    shared = written(members.join(buckets, "key"), "bucket-members")  # only buckets of two and more
-
-    pairs = written(shared.where("node <> centre").select("node", "centre").distinct(), "pairs")
-    links = written(_confirmed(docs, pairs, percent), "links")
+    pairs = written(members.join(buckets, "key").where("node <> centre").select("node", "centre").distinct(), "pairs")
+    sets = written(_sets(docs, pairs.select("node").union(pairs.select("centre")).distinct()), "shingle-sets")
+    compared = written(_compared(pairs, sets, percent), "compared")
+    links = compared.where("linked").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     found = components(links)
-    compared, centres_to = pairs, 1
-    open_ = None
-    while True:
-        comp = F.coalesce("comp", "node").alias("comp")
-        if open_ is None:
-            now = shared.join(found, "node", "left").select("key", "node", "n", comp)
-            mixed = now.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("key")
-            now = now.join(mixed, "key", "left_semi").withColumn("rank", F.row_number().over(W.partitionBy("key").orderBy("node")) - 1)
-            upto = FIRST_CENTRES
-        else:
-            now = open_.drop("comp").join(found, "node", "left").select("key", "node", "n", "rank", comp)
-            mixed = now.groupBy("key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.max("rank").alias("_r")).where(f"_a < _b and _r > {centres_to}").select("key")
-            now = now.join(mixed, "key", "left_semi")
-            upto = 2 * centres_to
-        open_ = written(now, "open-buckets")
-        centre = open_.where(f"rank >= {centres_to} and rank < {upto}").select("key", F.col("node").alias("centre"), F.col("n").alias("_n"), F.col("rank").alias("_rank"), F.col("comp").alias("_comp"))
-        fits = (100 * F.least("n", "_n") >= percent * F.greatest("n", "_n")) & (F.col("rank") > F.col("_rank")) & (F.col("comp") != F.col("_comp"))
-        new = open_.join(centre, "key").where(fits).select("node", "centre").distinct().join(compared, ["node", "centre"], "left_anti")
-        new = written(new, "pairs")
-        if new.limit(1).count():
-            more = written(_confirmed(docs, new, percent), "links")
-            compared = compared.unionByName(new)
-            if more.limit(1).count():
-                links = links.unionByName(more)
-                found = components(links)
-        elif open_.where(f"rank >= {upto}").limit(1).count() == 0:
-            break
-        centres_to = upto
+    others = written(_beside_the_centre(compared, found, percent), "pairs")
+    if others.limit(1).count():
+        more = written(_compared(others, sets, percent).where("linked").select(F.col("node").alias("a"), F.col("centre").alias("b")), "links")
+        found = components(links.unionByName(more))
     of_class = written(classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id")), "class-components")
     out = sig.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
