@@ -2,8 +2,9 @@
 
 Documents with equal shingle sets form a class, and only a class's first document goes on. A signature has ``BANDS * ROWS`` bins:
 the smallest shingle hash of each range of hashes, and empty bins borrow from bins that a hash of bin and attempt points to (optimal
-densification). In each bucket every member is compared with the smallest one, its centre, on full sets. With 42 bands of 6 bins two
-sets of similarity 0.85 share no bucket with a probability of 3e-9.
+densification). The smallest member of a bucket is its centre. A member is compared on full sets with the smallest of its centres,
+and with the others only while they are in another component. With 42 bands of 6 bins two sets of similarity 0.85 share no bucket
+with a probability of 3e-9.
 
 Stars alone lose links between members that are not near their centre. A member's difference from the centre, D (shingles that one
 of the two has alone), tells all pairs apart: x and y differ in |Dx| + |Dy| - 2 |Dx and Dy|, so two members that are near each other
@@ -134,7 +135,8 @@ def _signatures(docs: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, members): the sorted shingle hashes of the documents whose id is in ``nodes``."""
-    texts = docs.join(nodes.withColumnRenamed("node", "doc_id"), "doc_id", "left_semi").select("doc_id", "text")
+    # the ids grow with the documents: never a broadcast, however few they are in a small table
+    texts = docs.join(nodes.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left_semi").select("doc_id", "text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(), set()
@@ -206,15 +208,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = written(sig.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "classes")
     members = classes.where("node is not null").select(F.explode("bands").alias("key"), "node")
     buckets = written(members.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("_last")).where("centre < _last").select("key", "centre"), "buckets")
-    pairs = written(members.join(buckets, "key").where("node <> centre").select("node", "centre").distinct(), "pairs")
-    sets = written(_sets(docs, pairs.select("node").union(pairs.select("centre")).distinct()), "shingle-sets")
-    compared = written(_compared(pairs, sets, percent), "compared")
-    links = compared.where("linked").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    stars = written(members.join(buckets, "key").where("node <> centre").select("node", "centre").distinct(), "stars")
+    sets = written(_sets(docs, stars.select("node").union(stars.select("centre")).distinct()), "shingle-sets")
+    ends = lambda df: df.where("linked").select(F.col("node").alias("a"), F.col("centre").alias("b"))
+    # each member meets its smallest centre, then those of its other centres that are in another component
+    pivots = written(stars.groupBy("node").agg(F.min("centre").alias("centre")), "pivots")
+    first = written(_compared(pivots, sets, percent), "compared")
+    found = components(ends(first))
+    of_centre = found.select(F.col("node").alias("centre"), F.col("comp").alias("_comp"))
+    apart = stars.join(found, "node", "left").join(of_centre, "centre", "left").where(F.coalesce("comp", "node") != F.coalesce("_comp", "centre"))
+    second = written(_compared(apart.select("node", "centre").join(pivots, ["node", "centre"], "left_anti"), sets, percent), "compared")
+    links = ends(first).unionByName(ends(second))
     found = components(links)
-    others = written(_beside_the_centre(compared, found, percent), "pairs")
+    # members of one smallest centre, then those of a bucket that have several of them
+    beside = _beside_the_centre(first, found, percent)
+    kinds = stars.join(pivots.withColumnRenamed("centre", "pivot"), "node").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    mixed = kinds.groupBy("centre").agg(*[f(c).alias(f"{n}_{c}") for c in ("pivot", "comp") for n, f in (("low", F.min), ("high", F.max))])
+    mixed = written(mixed.where("low_pivot < high_pivot and low_comp < high_comp").select("centre"), "mixed-centres")
+    known = first.unionByName(second)
+    missing = stars.join(mixed, "centre", "left_semi").join(known.select("node", "centre"), ["node", "centre"], "left_anti").select("node", "centre")
+    third = written(_compared(missing, sets, percent), "compared")
+    of_mixed = known.unionByName(third).join(mixed, "centre", "left_semi")
+    others = written(beside.unionByName(_beside_the_centre(of_mixed, found, percent)).distinct(), "pairs")
     if others.limit(1).count():
-        more = written(_compared(others, sets, percent).where("linked").select(F.col("node").alias("a"), F.col("centre").alias("b")), "links")
-        found = components(links.unionByName(more))
+        more = written(_compared(others, sets, percent), "compared")
+        found = components(links.unionByName(ends(more)))
     of_class = written(classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id")), "class-components")
     out = sig.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
