@@ -47,3 +47,11 @@ def bounded_sample(df: DataFrame, by: list[str], most: int, key: str, seed: str)
     thin = keyed.where(F.col("_u") < share)
     w = W.partitionBy(*by).orderBy("_u")
     return thin.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= most).drop("_u", "_r")
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) of a bounded sample ``ids`` (doc_id and other columns), one row for each id.
+
+    Only the sample is sent to all tasks, and only its texts are shuffled.
+    """
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"])

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, slices
+from .common import bounded_sample, held_out, slices, texts_of
 
 BITS = 24
 PREFIXES = (4, 5, 6, 7, 8)
@@ -66,12 +66,13 @@ def _fit(x: np.ndarray, positive: np.ndarray, prior: float, rounds: int, rate: f
     w = np.zeros(x.shape[1] + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
-    with_one = lambda a: np.hstack([a, np.ones((len(a), 1))])
+    with_one = lambda a: np.hstack([a, np.ones((len(a), 1), a.dtype)])
     p, u = with_one(p), with_one(u)
     for t in range(1, rounds + 1):
-        sp, su = 1 / (1 + np.exp(-(p @ w))), 1 / (1 + np.exp(-(u @ w)))
-        plus = p.T @ (sp - 1) / len(p)  # gradient of the positives' loss as positives
-        minus_p, minus_u = p.T @ sp / len(p), u.T @ su / len(u)
+        v32 = w.astype(p.dtype)
+        sp, su = (1 / (1 + np.exp(-(a @ v32).astype(np.float64))) for a in (p, u))
+        plus = p.T @ (sp - 1).astype(p.dtype) / len(p)  # gradient of the positives' loss as positives
+        minus_p, minus_u = p.T @ sp.astype(p.dtype) / len(p), u.T @ su.astype(u.dtype) / len(u)
         loss_u, loss_p = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean(), -np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
         g = prior * plus + (minus_u - prior * minus_p) if loss_u - prior * loss_p >= 0 else -(minus_u - prior * minus_p)
         g[:-1] += decay * w[:-1]
@@ -80,7 +81,7 @@ def _fit(x: np.ndarray, positive: np.ndarray, prior: float, rounds: int, rate: f
     return w[:-1], float(w[-1])
 
 
-def train(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_unlabelled: int = 9000, features: int = 1024, classifiers: int = 3, rounds: int = 400) -> Model:
+def train(docs: DataFrame, labels: DataFrame, most_positive: int = 1500, most_unlabelled: int = 4500, features: int = 1024, classifiers: int = 3, rounds: int = 400) -> Model:
     """Learn from rows of ``docs`` (doc_id, text) outside the held-out fold; ``labels`` has doc_id and ``toxic``.
 
     The prior is the toxic share of all labelled rows of these folds. At most ``most_positive`` confirmed and
@@ -93,10 +94,10 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_un
     if not toxic:
         return empty
     prior = min(0.9, toxic / n)
-    rows = docs.where(~held_out()).select("doc_id", "text")
-    marked = rows.join(told.where("toxic = 1").select("doc_id", F.lit(True).alias("p")), "doc_id", "left").withColumn("p", F.coalesce("p", F.lit(False)))
-    confirmed = bounded_sample(marked.where("p"), ["p"], most_positive, "doc_id", "positive")
-    other = bounded_sample(rows.withColumn("p", F.lit(False)), ["p"], most_unlabelled, "doc_id", "unlabelled")
+    rows = docs.where(~held_out())
+    positives = bounded_sample(told.where("toxic = 1").select("doc_id", F.lit(True).alias("p")), ["p"], most_positive, "doc_id", "positive")
+    others = bounded_sample(rows.select("doc_id", F.lit(False).alias("p")), ["p"], most_unlabelled, "doc_id", "unlabelled")
+    confirmed, other = texts_of(rows, positives), texts_of(rows, others)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
@@ -121,9 +122,10 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 3000, most_un
     chosen = np.sort(in_p[best[(c_p[best] >= 3) & (gain[best] > 3)]]).astype(np.int64)
     if not len(chosen):
         return empty
-    x = np.zeros((len(lists), len(chosen)), np.float64)
+    x = np.zeros((len(lists), len(chosen)), np.float32)
     for i, s in enumerate(lists):
         x[i] = _chosen(s, np.frombuffer(got[i][2], np.float32), chosen)
+    del got, lists, in_p, in_u
     rng, fitted = np.random.default_rng(7), []
     for _ in range(classifiers):
         pick = rng.random(len(x)) < 0.7
