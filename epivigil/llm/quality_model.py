@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, held_out, slices
+from .common import bounded_sample, held_out, slices, texts_of
 from .vectors import code_points, gram_ids, word_ids
 
 GRAMS, BUCKETS = (3, 4), 1 << 13  # a table of buckets for words, one for pairs of words and one for each n-gram size
@@ -59,7 +59,6 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 2000, dimensions: int
     share = {r[0]: r[1] for r in told.groupBy("quality").count().collect()}
     if not share:
         return None
-    rows = docs.where(~held_out()).select("doc_id", "text").join(told, "doc_id")
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 64):
@@ -67,12 +66,13 @@ def train(docs: DataFrame, labels: DataFrame, most: int = 2000, dimensions: int
             at = [np.flatnonzero(x) for x in m]
             yield pa.RecordBatch.from_pydict({"y": b.column(0), "i": [a.astype(np.uint16).tobytes() for a in at], "x": [v[a].tobytes() for v, a in zip(m, at)]})
 
-    sample = bounded_sample(rows, ["quality"], most, "doc_id", "quality").select("quality", "text").mapInArrow(sparse, "y int, i binary, x binary")
+    picked = bounded_sample(told, ["quality"], most, "doc_id", "quality")
+    sample = texts_of(docs, picked).select("quality", "text").mapInArrow(sparse, "y int, i binary, x binary")
     got = sorted((bytes(r["i"]), bytes(r["x"]), r["y"]) for r in sample.collect())
     if not got:
         return None
     y = np.array([g[2] for g in got])
-    data = [(np.frombuffer(i, np.uint16).astype(np.int64), np.frombuffer(x, np.float32).astype(np.float64)) for i, x, _ in got]
+    data = [(np.frombuffer(i, np.uint16), np.frombuffer(x, np.float32)) for i, x, _ in got]
     total, fitted = sum(share.values()), np.bincount(y, minlength=2)
     weight = np.array([share.get(k, 0) / total * len(y) / max(1, fitted[k]) for k in (0, 1)])
     rng = np.random.default_rng(11)
