@@ -50,8 +50,8 @@ class Shingler:
     A text of fewer words has one shingle of all its words; one without words has none.
     """
 
-    def __init__(self, width: int = 5, most: int = 1_000_000):
-        self.width, self.most, self.known = width, most, {}
+    def __init__(self, width: int = 5):
+        self.width = width
 
     def sets(self, texts: pa.Array) -> list[np.ndarray]:
         """A sorted array of 64-bit hashes for each text; None is an empty text.
@@ -60,18 +60,12 @@ class Shingler:
         """
         import xxhash
 
-        if len(self.known) > self.most:
-            self.known = {}
         lists = pc.ascii_split_whitespace(pc.ascii_lower(pa.array([t or "" for t in texts.to_pylist()], pa.large_string())))
         coded = lists.flatten().dictionary_encode()
-        known, digest, values = self.known, xxhash.xxh3_64_intdigest, []
-        for w in coded.dictionary.to_pylist():
-            h = known.get(w)
-            if h is None:
-                h = known[w] = digest(w)
-            values.append(h)
+        words = coded.dictionary.to_pylist()
+        values = list(map(xxhash.xxh3_64_intdigest, words))
         codes = coded.indices.to_numpy()
-        blank = np.array([w == "" for w in coded.dictionary.to_pylist()], bool)
+        blank = np.array([w == "" for w in words], bool)
         keep = ~blank[codes] if len(blank) else np.zeros(0, bool)
         doc = np.repeat(np.arange(len(texts)), pc.list_value_length(lists).to_numpy())[keep]
         h = np.array(values, np.uint64)[codes[keep]] if len(values) else np.zeros(0, np.uint64)

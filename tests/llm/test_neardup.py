@@ -110,7 +110,7 @@ def test_signatures_estimate_similarity():
 
 def test_shingler_sets():
     texts = [t for _, t in TEXTS] + ["a b c d e f a b c d e", "A\x0bB\x0cc\rd  e"]
-    got = neardup.Shingler(most=5).sets(pa.array(texts))
+    got = neardup.Shingler(width=5).sets(pa.array(texts))
     again = neardup.Shingler().sets(pa.array(texts))
     parts = neardup.Shingler().sets(pa.array(texts).slice(0, 9)) + neardup.Shingler().sets(pa.array(texts).slice(9))
     for t, s, r, p in zip(texts, got, again, parts):
