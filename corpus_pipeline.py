@@ -29,12 +29,12 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near duplicates: the one with the smallest doc_id.
+    """One document of each component of near duplicates (0.80 or more of their 5-word shingles shared): the one with the smallest doc_id.
 
     Of rows that repeat an id one stays. Rows without an id cannot be told apart and stay.
     """
     ship(spark)
-    found = neardup.near_duplicates(docs, percent=85)
+    found = neardup.near_duplicates(docs, percent=80)
     gone = found.where(~F.col("kept")).select("doc_id").distinct()
     kept = docs.select(*DOCUMENTS).join(gone, "doc_id", "left_anti").select(*DOCUMENTS)
     repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -3,8 +3,8 @@
 Documents with equal shingle sets form a class, and only a class's first document goes on. A signature has ``BANDS * ROWS`` bins:
 the smallest shingle hash of each range of hashes, and empty bins borrow from bins that a hash of bin and attempt points to (optimal
 densification). The smallest member of a bucket is its centre. A member is compared on full sets with the smallest of its centres,
-and with the others only while they are in another component. With 42 bands of 6 bins two sets of similarity 0.85 share no bucket
-with a probability of 3e-9.
+and with the others only while they are in another component. With 42 bands of 6 bins two sets of similarity 0.80 share no bucket
+with a probability of 3e-6, two of 0.85 with 3e-9.
 
 Stars alone lose links between members that are not near their centre. A member's difference from the centre, D (shingles that one
 of the two has alone), tells all pairs apart: x and y differ in |Dx| + |Dy| - 2 |Dx and Dy|, so two members that are near each other

@@ -144,6 +144,15 @@ def test_pipeline_stages(spark):
     assert key(run) == key(last)
 
 
+def test_near_dedup_stage_drops_copies_of_similarity_080(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    texts = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    at = {percent: {c for _, c in brute(texts, percent).values()} for percent in (80, 85)}
+    assert at[80] < at[85]
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, sf).collect()} == at[80]
+
+
 def test_one_of_repeated_rows_stays(spark):
     kept = corpus_pipeline.near_dedup(spark, odd_documents(spark), "/root/testdata/sf0.001")
     ids = [r["doc_id"] for r in kept.collect() if r["doc_id"] is not None]
