@@ -1,17 +1,18 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines (one for each block of the page, in order); scripts, styles and blocks whose tag, role, class or id
-says that they are not the article (menus, footers, adverts, comments and so on) give no line. The text lengths of ``WINDOW``
-lines from each line on form the distribution; the text runs from the line where it surges above the threshold to the line after
-which it dives below. Lines of an ``article`` or ``main`` element count as full lines, however short, and where a page has one
-that holds text, lines outside it count nothing; so an article's first and last lines stay, and pages without such an element are
-judged by the distribution alone.
+says that they are not the article (menus, footers, adverts, comments and so on) give no line, unless they hold the article. Where
+a page has an ``article`` or ``main`` element with text, the text is all of its lines. Other pages are judged by the distribution,
+the text lengths of ``WINDOW`` lines from each line on: a run of text goes from the line where it surges above the threshold to the
+line after which it dives below. The heaviest run has a container, the innermost element that holds most of it; the text is all
+runs of that container, and its short lines around them, if not all in links (of a whole page, only those between and after them).
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +33,7 @@ BLOCKS = frozenset((
     "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td",
     "tfoot", "th", "thead", "tr", "ul",
 ))
+LINES = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "summary", "caption", "legend"))
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("td", "th", "tr", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p")}
 CHROME_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"))
 CHROME_WORDS = frozenset((
@@ -39,6 +41,7 @@ CHROME_WORDS = frozenset((
     "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "overlay", "pager", "pagination", "paywall", "popup",
     "promo", "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets",
 ))
+DISCUSSION = frozenset(("comment", "comments", "disqus", "replies", "reply", "respond"))
 
 _ATTRIBUTES = r"""(?:"[^"]*"|'[^']*'|[^'">])*+"""
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({'|'.join(HIDDEN)})(?=[\s/>]){_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-z][a-z0-9:-]*)({_ATTRIBUTES})>", re.S | re.I)
@@ -60,37 +63,58 @@ def _is_chrome(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, characters outside links, in the article, is a heading) of each block with text that may be part of the article."""
-    out: list[tuple[str, int, bool, bool]] = []
-    open_: list[tuple[str, bool]] = []  # open elements, and whether they hide what they hold
-    hidden = article = links = 0
+class Lines:
+    """The lines of a page that may be part of the article, and the tree of its elements (parents come before their children)."""
+
+    def __init__(self) -> None:
+        self.text: list[str] = []
+        self.weight: list[int] = []  # characters outside links
+        self.inside: list[bool] = []  # in an article or main element
+        self.heading: list[bool] = []
+        self.leaf: list[int] = []  # the innermost block
+        self.parent: list[int] = [-1]
+        self.piece: list[tuple[int, str, str] | None] = [None]  # parent, tag and attributes of what may be one of several like pieces
+        self.whole: set[int] = {0}  # elements that are the page
+        self.lines: set[int] = set()  # elements that hold one line by HTML's rules, whatever an unclosed tag puts into them
+        self.hider: list[int] = []  # the innermost element that hides the line; dropped by ``shown``
+
+
+def lines_of(page: str) -> Lines:
+    """A line for each block with text that no menu, footer, advert and so on holds."""
+    out = Lines()
+    open_: list[tuple[str, int, int, int]] = []  # open elements: tag, own number or -1, innermost block, innermost element that hides
+    hiders: dict[int, list] = {}  # number: the next one outside, is beside a text by its kind, articles, mains, first headings
+    article = links = 0
     heading = False
-    text: list[str] = []
-    linked = 0
+    text: list[tuple[int, str, bool]] = []  # hider, piece, in a link
+    block = hider = 0
 
     def end_line() -> None:
-        nonlocal linked
-        if text:
-            line = " ".join(html.unescape("".join(text)).split())
+        parts: dict[int, list[tuple[str, bool]]] = {}
+        for by, piece, linked in text:
+            parts.setdefault(by, []).append((piece, linked))
+        for by, pieces in parts.items():
+            line = " ".join(html.unescape("".join(x for x, _ in pieces)).split())
             if line:
-                out.append((line, max(0, len(line) - 2 * linked), article > 0, heading))
-            text.clear()
-        linked = 0
+                out.text.append(line)
+                out.weight.append(max(0, len(line) - 2 * sum(len(x) for x, linked in pieces if linked)))
+                out.inside.append(article > 0)
+                out.heading.append(heading)
+                out.leaf.append(block)
+                out.hider.append(by)
+        text.clear()
 
     def leave() -> None:
-        nonlocal hidden, article, links
-        name, hides = open_.pop()
-        hidden -= hides
+        nonlocal article, links, block, hider
+        name = open_.pop()[0]
+        block, hider = open_[-1][2:] if open_ else (0, 0)
         article -= name in ("article", "main")
         links -= name == "a"
 
     at = 0
     for m in _TOKEN.finditer(page):
-        if m.start() > at and not hidden:
-            piece = page[at : m.start()]
-            text.append(piece)
-            linked += len(piece) if links else 0
+        if m.start() > at:
+            text.append((hider, page[at : m.start()], links > 0))
         at = m.end()
         tag = m[3]
         if tag is None:
@@ -99,9 +123,9 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
         if tag in BLOCKS:
             end_line()
         elif tag == "br":
-            text.append(" ")
+            text.append((hider, " ", False))
         if m[2]:
-            if any(name == tag for name, _ in open_):
+            if any(x[0] == tag for x in open_):
                 while open_[-1][0] != tag:
                     leave()
                 leave()
@@ -111,30 +135,92 @@ def lines_of(page: str) -> list[tuple[str, int, bool, bool]]:
             leave()
         if tag in VOID or m[4].rstrip().endswith("/") and tag not in BLOCKS:
             continue
-        hides = _is_chrome(tag, m[4], article > 0)
-        open_.append((tag, hides))
-        hidden += hides
+        hides, number = _is_chrome(tag, m[4], article > 0), -1
+        if hides or tag in BLOCKS:
+            number = len(out.parent)
+            out.parent.append(block)
+            alike = tag == "section" or tag == "div" and m[4].strip()
+            out.piece.append((block, tag, m[4].strip() if tag == "div" else "") if alike else None)
+            if tag in ("html", "body"):
+                out.whole.add(number)
+            elif tag in LINES:
+                out.lines.add(number)
+        if hides:
+            hiders[number] = [hider, tag in ("footer", "nav") or not DISCUSSION.isdisjoint(p.lower() for p in _PARTS.findall(m[4])), 0, 0, 0]
+            hider = number
+        if hider:
+            of = hiders[hider]
+            of[2] += tag == "article"
+            of[3] += tag == "main"
+            of[4] += tag == "h1"
+        block = number if tag in BLOCKS else block
+        open_.append((tag, number, block, hider))
         article += tag in ("article", "main")
         links += tag == "a"
         heading = tag in ("h1", "h2", "h3") or heading and tag not in BLOCKS
-    if not hidden:
-        text.append(page[at:])
+    text.append((hider, page[at:], links > 0))
     end_line()
+    _shown(out, hiders)
     return out
 
 
+def _shown(lines: Lines, hiders: dict[int, list]) -> None:
+    """Drop the lines that an element hides, but none for an element that holds the article.
+
+    That is one with a main element, with article elements that hold at least as much text as stands outside, or with most of the
+    page's text: the first heading too, or over four times what stands outside (a discussion, menu or footer only where nothing does).
+    """
+    own = dict.fromkeys((0, *hiders), 0)
+    for h, weight in zip(lines.hider, lines.weight):
+        own[h] += weight
+    outside = {0: 0}
+    for h, (up, *_) in hiders.items():
+        outside[h] = outside[up] + own[up]
+    held, kept = dict(own), {0: True}
+    for h, (up, beside, articles, mains, first) in reversed(hiders.items()):
+        most = held[h] >= SURGE and held[h] > outside[h] and (first or held[h] > 4 * outside[h]) and not (beside and outside[h])
+        kept[h] = bool(mains or articles and held[h] >= outside[h] or most)
+        if kept[h] and up:
+            held[up] += held[h]
+            for k, n in ((2, articles), (3, mains), (4, first)):
+                hiders[up][k] += n
+    for h, (up, *_) in hiders.items():
+        kept[h] = kept[h] and kept[up]
+    for name in ("text", "weight", "inside", "heading", "leaf", "hider"):
+        setattr(lines, name, [x for x, h in zip(getattr(lines, name), lines.hider) if kept[h]] if name != "hider" else [])
+
+
+def _container(lines: Lines, weight: np.ndarray, a: int, b: int) -> tuple[int, int, bool]:
+    """The lines (from, up to; and whether it is the whole page) of the innermost element around blocks that holds most of the text of the lines from a up to b.
+
+    Several sections, or several divs with the same attributes, beside each other are pieces of one text and not its container.
+    """
+    n = len(lines.parent)
+    held, around, first, last = [0.0] * n, [False] * n, [len(lines.text)] * n, [-1] * n
+    for i, leaf in enumerate(lines.leaf):
+        first[leaf], last[leaf] = min(first[leaf], i), max(last[leaf], i)
+        if a <= i < b:
+            held[leaf] += weight[i]
+            around[max(0, lines.parent[leaf])] = True
+    for e in range(n - 1, 0, -1):
+        up = lines.parent[e]
+        held[up] += held[e]
+        around[up] = around[up] or around[e]
+        first[up], last[up] = min(first[up], first[e]), max(last[up], last[e])
+    alike = Counter(p for p, x in zip(lines.piece, last) if p and x >= 0)
+    e = max(e for e in range(n) if e == 0 or around[e] and e not in lines.lines and 2 * held[e] > held[0] and alike[lines.piece[e]] < 2)
+    return first[e], last[e] + 1, e in lines.whole
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by line ends; an empty text for a null page or one without text."""
     lines = lines_of(page or "")
-    if not lines:
-        return ""
-    n = len(lines)
-    inside = np.array([x[2] for x in lines])
-    weight = np.array([float(x[1]) for x in lines])
-    if inside.any():
-        weight = np.where(inside, np.maximum(weight, SURGE), 0.0)
-    sums = np.convolve(weight, np.ones(WINDOW))[WINDOW - 1 :]  # of a line and the next ones
-    best, total, start = (0, 0), -1.0, None
+    n = len(lines.text)
+    if any(lines.inside):
+        return "\n".join(x for x, inside in zip(lines.text, lines.inside) if inside)
+    weight = np.array(lines.weight, float)
+    sums = np.convolve(weight, np.ones(WINDOW))[WINDOW - 1 :] if n else weight  # of a line and the next ones
+    runs, start = [], None
     for i in range(n + 1):
         high = i < n and sums[i] >= SURGE
         if high and start is None and weight[i] > 0:
@@ -143,15 +229,27 @@ def main_text(page: str | None) -> str:
             end = i
             while end < n and weight[end] > 0 and sums[end] >= SURGE / 2:
                 end += 1
-            if (size := weight[start:end].sum()) > total:
-                best, total = (start, end), size
+            runs.append((start, end))
             start = None
-    if total < 0:  # no surge at all: a short page is its own text
-        best = (0, n)
-    a, b = best
-    while a > 0 and lines[a - 1][3] and lines[a - 1][2] == lines[a][2]:
+    if not runs:  # no surge at all: a short page is its own text
+        return "\n".join(lines.text)
+    best = max(runs, key=lambda r: weight[r[0] : r[1]].sum())
+    low, high, whole = _container(lines, weight, *best)
+    runs = [r for r in runs if r == best or low <= r[0] < high]
+    keep = np.zeros(n, bool)
+    a, b = runs[0][0], max(r[1] for r in runs)
+    low = max(a, low) if whole else low  # a page has its menus in front
+    keep[low:high] = (weight > 0)[low:high] | np.array(lines.heading)[low:high]
+    while high > b and (lines.heading[high - 1] or not keep[high - 1]):  # headings with nothing below
+        high -= 1
+        keep[high] = False
+    for r in runs:
+        keep[r[0] : r[1]] = True
+    a = min(a, low)
+    while a > 0 and lines.heading[a - 1]:
         a -= 1
-    return "\n".join(x[0] for x, keep in zip(lines[a:b], inside[a:b] | (not inside.any())) if keep)
+        keep[a] = True
+    return "\n".join(x for x, k in zip(lines.text, keep) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:

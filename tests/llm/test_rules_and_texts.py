@@ -123,6 +123,22 @@ def test_main_text():
     assert html_text.main_text("<p>a " * 3000 + "<div " + "x='" * 3000)
 
 
+LINE = "some words of the story that go on for long enough to surge above the threshold by far and away"
+
+
+def test_pages_of_divs_keep_short_paragraphs():
+    blocks = ["Title", LINE, "Sh is.", "No.", "Yes.", "Well.", LINE, "So.", "It ends.", "The end."]
+    body = f"<h1>{blocks[0]}</h1>" + "".join(f"<p>{b}</p>" for b in blocks[1:])
+    around = "<body><div><a href=a>Home</a> <a href=b>News</a></div>{}<div><a href=c>Old</a></div><div class=footer>Imprint</div></body>"
+    assert html_text.main_text(around.format(f"<div>{body}</div>")).split("\n") == blocks
+    assert html_text.main_text(around.format(f"<div class='page has-sidebar'><div>{body}</div><div class=sidebar>{LINE}</div></div>")).split("\n") == blocks
+    assert html_text.main_text(around.format(f"<form><article>{body}</article></form>")).split("\n") == blocks
+    parts = "".join(f"<section><p>{b}</p><p>{LINE}</p><p>{b}</p></section>" for b in ("One.", "Two.", "Three."))
+    assert html_text.main_text(around.format(f"<div>{parts}</div>")).split("\n") == [x for b in ("One.", "Two.", "Three.") for x in (b, LINE, b)]
+    talk = f"<div id=comments><p>{LINE}</p><p>{LINE}</p><p>{LINE}</p><p>{LINE}</p></div>"
+    assert html_text.main_text(around.format(f"<div>{body}</div>{talk}")).split("\n") == blocks
+
+
 def test_pages(spark, sf):
     pages = spark.read.parquet(f"{sf}/pages.parquet")
     n = pages.count()
