@@ -31,17 +31,21 @@ def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near duplicates (0.80 or more of their 5-word shingles shared): the one with the smallest doc_id.
 
-    Of rows that repeat an id one stays. Rows without an id cannot be told apart and stay.
+    A row goes for its own text only: rows that share an id but not a text are told apart, and of rows without an id those go that
+    repeat a text. Of rows that repeat an id and a text one stays. A row with an id stays rather than one without.
     """
     ship(spark)
-    found = neardup.near_duplicates(docs, percent=80)
-    gone = found.where(~F.col("kept")).select("doc_id").distinct()
-    kept = docs.select(*DOCUMENTS).join(gone, "doc_id", "left_anti").select(*DOCUMENTS)
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated, "doc_id", "left_anti").unionByName(once).select(*DOCUMENTS)
+    docs = docs.select(*DOCUMENTS)
+    if docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
+        gone = neardup.near_duplicates(docs, percent=80).where(~F.col("kept")).select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(*DOCUMENTS)
+    order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), "_at"]
+    rows = docs.withColumn("_at", F.monotonically_increasing_id()).orderBy(*order).drop("_at")
+    rows = written(rows.withColumn("_row", F.monotonically_increasing_id()), "numbered-rows")  # numbers follow the sorted ids
+    found = neardup.near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text"), percent=80).where("kept")
+    kept = rows.join(found.select(F.col("doc_id").alias("_row"), "n_shingles"), "_row")
+    wordless = (F.col("n_shingles") == 0) & F.col("doc_id").isNotNull()
+    return kept.where(~wordless).unionByName(kept.where(wordless).dropDuplicates(["doc_id", "text"])).select(*DOCUMENTS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -159,6 +159,14 @@ def test_one_of_repeated_rows_stays(spark):
     assert sorted(ids) == [1, 4, 5, 6, 7, 9, 10, 12, 13, 14]
 
 
+def test_a_row_goes_for_its_own_text_only(spark):
+    first, own, other = (" ".join(f"{w}{i}" for i in range(60)) for w in ("first", "own", "other"))
+    texts = [(1, first), (2, first + " end"), (2, own), (3, other), (3, other), (None, own), (None, other + " end"), (4, None), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "src", len(t or "")) for i, t in texts], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = corpus_pipeline.near_dedup(spark, docs, "/root/testdata/sf0.001").collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(1, first), (2, own), (3, other), (4, "")]
+
+
 def test_pipeline_of_odd_documents(spark):
     docs = odd_documents(spark)
     for _, stage in corpus_pipeline.STAGES:
