@@ -236,6 +236,51 @@ def a14(spark, sf):
     return out
 
 
+_HITS = " + ".join(f"SUM(CASE WHEN {c} THEN 1 ELSE 0 END)" for c in _PATH.values())
+
+
+@query("a14b_load_every_source", chain(C_RAW, f"""SELECT 'nhi_48x' AS source, COUNT(*) AS n, CAST(SUM(cases) AS BIGINT) AS cases FROM raw
+ UNION ALL SELECT 'nhi_48x_er', COUNT(*), CAST(SUM(cases) AS BIGINT) FROM raw WHERE visit_type = 'BUILDING' UNION ALL SELECT 'nhi_487', COUNT(*), CAST(SUM(cases) AS BIGINT) FROM raw WHERE age <> '2-HIGH'
+ UNION ALL SELECT 'nhi_487_er', COUNT(*), CAST(SUM(cases) AS BIGINT) FROM raw WHERE visit_type = 'MACHINERY' UNION ALL SELECT 'rods', COUNT(*), CAST(SUM(cases) AS BIGINT) FROM visits
+ UNION ALL SELECT 'nidds', COUNT(*), CAST(SUM(total) AS BIGINT) FROM visits UNION ALL SELECT 'lab_types', COUNT(*), CAST(SUM(cases + CASE WHEN age IN ('2-HIGH', '5-LOW') THEN 1 ELSE 0 END) AS BIGINT) FROM visits
+ UNION ALL SELECT 'lab_tests', COUNT(*), CAST(SUM(total) AS BIGINT) FROM visits UNION ALL SELECT 'resp_lab', COUNT(DISTINCT yw), CAST({_HITS} AS BIGINT) FROM visits"""))
+def a14b(spark, sf):
+    """All nine registered sources written in their layouts and loaded at once: rows and counts of each."""
+    folder = new_path(spark, "raw")
+    v, raw = visits(spark, sf), raw_visits(spark, sf)
+    er, severe, types, tests = readers.EMERGENCY_COLUMNS, readers.SEVERE_COLUMNS, readers.LAB_TYPE_COLUMNS, readers.LAB_TEST_COLUMNS
+    one = lambda a: (F.col("age") == a).cast("int")
+    tables = {
+        "nhi_48x": raw, "nhi_48x_er": raw.where("`就診類別` = 'BUILDING'"), "nhi_487": raw.where("`年齡別` <> '2-HIGH'"), "nhi_487_er": raw.where("`就診類別` = 'MACHINERY'"),
+        "rods": v.select(
+            F.col("yw").alias(er["yw"]), F.col("age").alias(er["age"]), F.col("county").alias(er["county"]), F.col("visit_type").alias(er["town"]), F.lit("h").alias(er["hospital"]),
+            F.col("cases").alias(er["ili"]), F.col("total").alias(er["total"]),
+        ),
+        "nidds": v.select(
+            F.col("yw").alias(severe["yw"]), F.col("county").alias(severe["county"]), F.lit("t").alias(severe["town"]), F.lit("x").alias(severe["sex"]), F.lit("否").alias(severe["imported"]),
+            F.col("age").alias(severe["age"]), F.col("total").alias(severe["cases"]),
+        ),
+        "lab_types": v.select(
+            F.col("yw").alias(types["yw"]), F.col("county").alias(types["county"]), F.col("visit_type").alias(types["town"]), F.lit("h").alias(types["hospital"]),
+            F.col("cases").alias(types["flu_a"]), one("2-HIGH").alias(types["flu_b"]), one("5-LOW").alias(types["flu_u"]),
+        ),
+        "lab_tests": v.select(F.col("yw").alias(tests["yw"]), F.lit("h").alias(tests["hospital"]), F.lit("c").alias(tests["nhi_code"]), F.col("total").alias(tests["tests"])),
+        "resp_lab": v.groupBy(F.col("yw").alias("Year-Week of Specimen Received")).agg(*[F.sum(F.expr(c).cast("int")).alias(k) for k, c in _PATH.items()], F.lit(50.0).alias("Positive (%)")),
+    }
+    for name, d in tables.items():
+        d.write.option("header", True).csv(f"{folder}/{readers.RAW_FILES[name]}")
+    utf = {n: (lambda s, p, f=f: f(s, p, "UTF-8")) for n, f in (
+        *[(n, readers.read_visits) for n in ("nhi_48x", "nhi_48x_er", "nhi_487", "nhi_487_er")],
+        ("rods", readers.read_emergency), ("nidds", readers.read_severe_cases), ("lab_types", readers.read_lab_types), ("lab_tests", readers.read_lab_tests),
+    )}
+    count = {"rods": "ili", "lab_types": "flu_a + flu_b + flu_u", "lab_tests": "tests", "resp_lab": "resp_total_pos"}
+    out = None
+    for name, d in readers.load_all(spark, folder, readers=utf).items():
+        g = d.agg(F.lit(name).alias("source"), F.count("*").alias("n"), F.sum(F.expr(count.get(name, "cases"))).cast("long").alias("cases"))
+        out = g if out is None else out.unionByName(g)
+    return out
+
+
 @query("a15_read_panel", chain(C_CPANEL, "SELECT county, CAST(SUM(cases) AS BIGINT) AS cases FROM cpanel GROUP BY 1"))
 def a15(spark, sf):
     path = new_path(spark, "panel")
