@@ -156,6 +156,16 @@ def test_pages(spark, sf):
             assert r["text"] == "\n".join(b for b in blocks if b)
 
 
+def test_pages_have_the_same_text_by_distribution(spark, sf):
+    for r in spark.read.parquet(f"{sf}/pages.parquet").collect():
+        assert html_text.main_text(re.sub("(</?)article>", r"\1div>", r["html"])) == html_text.main_text(r["html"])
+
+
+def test_articles_far_apart_both_stay():
+    between = "".join(f"<p>{LINE}</p>" for _ in range(4))
+    assert html_text.main_text(f"<article><p>One.</p></article>{between}<article><p>{LINE}</p></article>") == f"One.\n{LINE}"
+
+
 @pytest.mark.parametrize("rate", [0.0, 0.05, 0.2])
 def test_pieces_outnumber_edits(rate):
     m = decontaminate.Matcher([(1, "abcdefghij klmnopqrst uvwxyz")], rate)
