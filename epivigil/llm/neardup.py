@@ -31,6 +31,7 @@ from .components import components
 BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
 ATTEMPTS = 4096
+SALTS = 32  # parts of a centre's members
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -175,11 +176,32 @@ def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return left.join(right, "centre").select("node", "centre", "members", "others").mapInArrow(compare, "node long, centre long, linked boolean, n long, apart long, first array<long>")
 
 
+def _mixed(stars: DataFrame, comps: DataFrame) -> DataFrame:
+    """centre, its component, and the smallest and largest pivot and component of its members, for centres that see two components."""
+    members = stars.join(comps, "node", "left").select("pivot", F.coalesce("comp", "node").alias("comp"), F.explode("centres").alias("centre"))
+    ends = members.groupBy("centre").agg(*[f(c).alias(f"{n}_{c}") for c in ("pivot", "comp") for n, f in (("low", F.min), ("high", F.max))])
+    own = ends.join(comps.select(F.col("node").alias("centre"), "comp"), "centre", "left").withColumn("comp", F.coalesce("comp", "centre"))
+    return own.where("low_comp < high_comp or low_comp <> comp").withColumnRenamed("comp", "centre_comp")
+
+
+def _of_mixed(stars: DataFrame, mixed: DataFrame, comps: DataFrame | None = None) -> DataFrame:
+    """(node, centre, pivot) of the stars whose centre is in ``mixed``; with ``comps`` only of nodes in another component than the centre."""
+    rows = stars if comps is None else stars.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    at = rows.withColumn("centre", F.explode("centres")).drop("centres")
+    if comps is None:
+        return at.join(mixed.select("centre"), "centre").select("node", "centre", "pivot")
+    other = mixed.select(F.col("centre").alias("_centre"), "centre_comp")
+    return at.join(other, (F.col("centre") == F.col("_centre")) & (F.col("comp") != F.col("centre_comp"))).select("node", "centre", "pivot")
+
+
 def _beside_the_centre(compared: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
     """(node, centre): pairs of members of one centre, in different components, that may be linked."""
     rows = compared.select("node", "centre", "n", "apart", "first").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     mixed = rows.groupBy("centre").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("centre")
-    e = written(rows.join(mixed, "centre", "left_semi").select("node", "centre", "n", "apart", "comp", F.posexplode("first").alias("at", "element")), "first-differences")
+    # a centre of many members is dealt out over salts
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
+    mixed = mixed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+    e = written(rows.join(mixed, ["centre", "_salt"], "left_semi").select("node", "centre", "n", "apart", "comp", F.posexplode("first").alias("at", "element")), "first-differences")
     o = e.select("centre", "element", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "apart", "comp", "at")])
     may = F.floor((100 - percent) * (F.col("n") + F.col("_n")) / F.lit(100 + percent))
     shared = F.ceil((F.col("apart") + F.col("_apart") - may) / 2)  # elements of both differences that a link needs
@@ -202,27 +224,25 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     classes = written(sig.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("node"), F.any_value("bands").alias("bands")), "classes")
     members = classes.where("node is not null").select(F.explode("bands").alias("key"), "node")
     buckets = written(members.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("_last")).where("centre < _last").select("key", "centre"), "buckets")
-    stars = written(members.join(buckets, "key").where("node <> centre").select("node", "centre").distinct(), "stars")
-    sets = written(_sets(docs, stars.select("node").union(stars.select("centre")).distinct()), "shingle-sets")
+    # one row a member: its centres (one for each band at most) are unfolded only where they differ
+    met = members.join(buckets, "key").where("node <> centre").groupBy("node")
+    stars = written(met.agg(F.min("centre").alias("pivot"), F.collect_set("centre").alias("centres")), "stars")
+    sets = written(_sets(docs, stars.select("node").union(buckets.select("centre")).distinct()), "shingle-sets")
     ends = lambda df: df.where("linked").select(F.col("node").alias("a"), F.col("centre").alias("b"))
     # each member meets its smallest centre, then those of its other centres that are in another component
-    pivots = written(stars.groupBy("node").agg(F.min("centre").alias("centre")), "pivots")
-    first = written(_compared(pivots, sets, percent), "compared")
+    first = written(_compared(stars.select("node", F.col("pivot").alias("centre")), sets, percent), "compared")
     found = components(ends(first))
-    of_centre = found.select(F.col("node").alias("centre"), F.col("comp").alias("_comp"))
-    apart = stars.join(found, "node", "left").join(of_centre, "centre", "left").where(F.coalesce("comp", "node") != F.coalesce("_comp", "centre"))
-    second = written(_compared(apart.select("node", "centre").join(pivots, ["node", "centre"], "left_anti"), sets, percent), "compared")
+    apart = _of_mixed(stars, _mixed(stars, found), found).where("centre <> pivot").select("node", "centre")
+    second = written(_compared(apart, sets, percent), "compared")
     links = ends(first).unionByName(ends(second))
     found = components(links)
     # members of one smallest centre, then those of a bucket that have several of them
     beside = _beside_the_centre(first, found, percent)
-    kinds = stars.join(pivots.withColumnRenamed("centre", "pivot"), "node").join(found, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = kinds.groupBy("centre").agg(*[f(c).alias(f"{n}_{c}") for c in ("pivot", "comp") for n, f in (("low", F.min), ("high", F.max))])
-    mixed = written(mixed.where("low_pivot < high_pivot and low_comp < high_comp").select("centre"), "mixed-centres")
+    mixed = written(_mixed(stars, found).where("low_pivot < high_pivot and low_comp < high_comp"), "mixed-centres")
     known = first.unionByName(second)
-    missing = stars.join(mixed, "centre", "left_semi").join(known.select("node", "centre"), ["node", "centre"], "left_anti").select("node", "centre")
+    missing = _of_mixed(stars, mixed).join(known.select("node", "centre"), ["node", "centre"], "left_anti").select("node", "centre")
     third = written(_compared(missing, sets, percent), "compared")
-    of_mixed = known.unionByName(third).join(mixed, "centre", "left_semi")
+    of_mixed = known.unionByName(third).join(mixed.select("centre"), "centre", "left_semi")
     others = written(beside.unionByName(_beside_the_centre(of_mixed, found, percent)).distinct(), "pairs")
     if others.limit(1).count():
         more = written(_compared(others, sets, percent), "compared")

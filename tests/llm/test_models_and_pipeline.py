@@ -102,7 +102,12 @@ def test_risk_is_not_negative_learning():
 def test_gram_counts_and_words():
     texts = ["Abc abc", "", "  ", "ünd", "a1b"]
     m = vectors.gram_counts(texts, (2, 3), 64, letters_only=True)
-    assert m.sum(axis=1).tolist() == [(4 + 1 + 2 + 1) - 0 + (2 + 3), 0.0, 0.0, 3 + 2, 4 + 2] or m.shape == (5, 128)
+    spelled = []
+    for t in texts:
+        t = "".join(c if c.isalpha() else " " for c in t.lower()) + "  "
+        grams = [t[i : i + k] for k in (2, 3) for i in range(len(t) + 1 - k)]
+        spelled.append(sum(not g.startswith("  ") and g[1:] != "  " for g in grams))
+    assert m.sum(axis=1).tolist() == spelled and m.shape == (5, 128)
     assert (vectors.gram_counts(["xyz abc"], (2, 3), 64, True) == vectors.gram_counts(["q", "XYZ abc"], (2, 3), 64, True)[1]).all()
     cp, doc = vectors.code_points(["the cat the", "cat"], letters_only=False)
     ids, of = vectors.word_ids(cp, doc, 1 << 13)
@@ -132,7 +137,7 @@ def test_pipeline_stages(spark):
         elif name == "quality_rules":
             assert ids(out) == ids(quality_rules.quality_rules(kept).where("kept"))
         elif name == "near_dedup":
-            assert ids(out) == {c for _, c in brute([(r["doc_id"], r["text"]) for r in kept.collect()], 85).values()}
+            assert ids(out) == {c for _, c in brute([(r["doc_id"], r["text"]) for r in kept.collect()], 80).values()}
         else:
             items = [decontaminate.plain(r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
             assert ids(out) == {r["doc_id"] for r in kept.collect() if not any(i in decontaminate.plain(r["text"]) for i in items)}
@@ -174,4 +179,5 @@ def test_pipeline_of_odd_documents(spark):
     empty = no_documents(spark)
     for _, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, "/root/testdata/sf0.001")
-    assert empty.count() == 0 and docs.count() >= 0
+    assert empty.count() == 0
+    assert {r["doc_id"] for r in docs.collect()} <= {i for i, t in TEXTS if t and len(t.split()) >= 10}
