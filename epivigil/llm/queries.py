@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import new_path
-from . import decontaminate, html_text, language, neardup, packing, quality_model, quality_rules, token_counts, token_files, toxicity
+from . import collocations, decontaminate, exact_dedup, html_text, language, neardup, packing, quality_model, quality_rules, token_counts, token_files, toxicity, vector_codes
 from .common import held_out, table
 
 
@@ -59,6 +59,18 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.phrases(table(spark, sf_dir, "documents"), top=2000, least=30, covered=80)
+
+
 _W = r"[^\x20\x09-\x0D]+"
 _STOP = ", ".join(f"'{s}'" for s in quality_rules.STOP_WORDS)
 OP1_SQL = rf"""
@@ -82,6 +94,56 @@ FROM b
 
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_token_binary, op3_best_fit_packing, op4_minhash_near_dedup, op5_html_extraction, op6_language_id, op7_toxicity, op8_benchmark_decontamination,
-    op9_quality_classifier, op10_token_counts,
+    op9_quality_classifier, op10_token_counts, op11_exact_dedup, op12_vector_codes, op13_phrase_collocations,
 )}
-SQL = {"op1_quality_rules": OP1_SQL}
+OP11_SQL = r"""
+WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS text FROM documents),
+g AS (SELECT text, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY text)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t.text) AS text_sha256 FROM t JOIN g ON t.text = g.text
+"""
+
+_DIMS = "abcd"  # the vectors of the tables have 64 components, so parts of four
+_NEAR = " + ".join(f"(x.{d} - b.{d}) * (x.{d} - b.{d})" for d in _DIMS)
+
+
+def _round(i: int) -> str:
+    """Codebooks ``b<i>`` from assignments to ``b<i - 1>``."""
+    floor = ", ".join(f"CAST((sum({d}) - ((sum({d}) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT) AS {d}" for d in _DIMS)
+    mean = ", ".join(f"coalesce(m.{d}, b.{d}) AS {d}" for d in _DIMS)
+    return f"""a{i} AS (SELECT vec_id, p, min(({_NEAR}) * 64 + e) AS m FROM x JOIN b{i - 1} AS b USING (p) GROUP BY vec_id, p),
+m{i} AS (SELECT p, m % 64 AS e, {floor} FROM x JOIN a{i} USING (vec_id, p) GROUP BY p, m % 64),
+b{i} AS (SELECT b.p, b.e, {mean} FROM b{i - 1} AS b LEFT JOIN m{i} AS m USING (p, e))"""
+
+
+OP12_SQL = f"""
+WITH v AS (SELECT vec_id, label, embedding, row_number() OVER (ORDER BY vec_id) AS r FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0),
+x AS (SELECT vec_id, r, p, {", ".join(f"CAST(floor(256 * CAST(embedding[4 * p + {k + 1}] AS DOUBLE)) AS BIGINT) AS {d}" for k, d in enumerate(_DIMS))} FROM v CROSS JOIN (SELECT unnest(range(16)) AS p)),
+b0 AS (SELECT p, r - 1 AS e, a, b, c, d FROM x WHERE r <= 64),
+{_round(1)},
+{_round(2)},
+f AS (SELECT vec_id, p, min(({_NEAR}) * 64 + e) AS m FROM x JOIN b2 AS b USING (p) GROUP BY vec_id, p),
+c AS (SELECT vec_id, string_agg(printf('%02x', m % 64), '' ORDER BY p) AS code, CAST(sum(m // 64) AS BIGINT) AS error FROM f GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(a || ',' || b || ',' || c || ',' || d, ',' ORDER BY p, e)) FROM b2) AS codebooks_sha256
+FROM c JOIN v USING (vec_id)
+"""
+
+OP13_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM t),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+g AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM (
+  SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w CROSS JOIN (SELECT unnest([1, 2, 3, 4]) AS k) WHERE len(w) >= k)
+  GROUP BY lang, k, phrase),
+n AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM g WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f AS a FROM g WHERE k > 1 AND f >= 30),
+cuts AS (SELECT c.lang, c.phrase, c.a, j, x.f AS l, y.f AS r, CAST(2000000 AS HUGEINT) * c.a // (x.f + y.f) AS score
+  FROM (SELECT *, unnest(range(1, k)) AS j FROM c) AS c JOIN g AS x ON x.lang = c.lang AND x.phrase = array_to_string(w[1:j], ' ') JOIN g AS y ON y.lang = c.lang AND y.phrase = array_to_string(w[j + 1:], ' ')),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1),
+inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(a) AS longer FROM (SELECT lang, w, k, a, unnest(range(2, k)) AS m FROM c), (SELECT unnest([1, 2, 3]) AS i) WHERE i + m - 1 <= k GROUP BY 1, 2)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, CAST(score AS BIGINT) AS score
+FROM lowest JOIN n USING (lang) LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * a QUALIFY rank <= 2000
+"""
+
+SQL = {"op13_phrase_collocations": OP13_SQL, "op12_vector_codes": OP12_SQL, "op1_quality_rules": OP1_SQL, "op11_exact_dedup": OP11_SQL}
