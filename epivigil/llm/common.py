@@ -23,6 +23,7 @@ def slices(batches: Iterable[pa.RecordBatch], rows: int = 256, most_bytes: int =
         step = max(1, min(rows, int(n * most_bytes / max(1, b.get_total_buffer_size()))))
         for i in range(0, n, step):
             yield b.slice(i, step)
+    pa.default_memory_pool().release_unused()  # the worker lives on for other operators
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5):

@@ -55,7 +55,7 @@ class Encoder:
     At most ``most`` runs and as many pieces are remembered; then the store starts anew.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 500_000):
+    def __init__(self, path: str, end_id: int, most: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer

@@ -62,7 +62,7 @@ def train(docs: DataFrame, centroids: int = 4, most: int = 500, slack: float = 0
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(WIDTH, np.int64), 0
-        for b in slices(batches, 128):
+        for b in slices(batches, 128, 2 << 20):
             m = gram_counts([t or "" for t in b.column(0).to_pylist()], SIZES, BUCKETS, letters_only=True)
             df += (m > 0).sum(axis=0)
             n += int((m.sum(axis=1) > 0).sum())
@@ -75,7 +75,7 @@ def train(docs: DataFrame, centroids: int = 4, most: int = 500, slack: float = 0
     idf = np.log((1 + df[-1]) / (1 + df[:-1])) + 1
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 128):
+        for b in slices(batches, 128, 2 << 20):
             v = vectors([t or "" for t in b.column(1).to_pylist()], idf).astype(np.float32)
             yield pa.RecordBatch.from_pydict({"lang": b.column(0), "v": [x.tobytes() for x in v]})
 
@@ -107,7 +107,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array([*model.labels, "und"], object)
         floors = np.array([model.floor[x] for x in model.labels] + [0.0])
-        for b in slices(batches, 128):
+        for b in slices(batches, 128, 2 << 20):
             texts = [t or "" for t in b.column(place).to_pylist()]
             cos = vectors(texts, model.idf) @ model.centroids.T
             best = cos.argmax(axis=1) if len(model.labels) else np.zeros(len(texts), np.int64)
