@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..session import spread
+from ..session import spread, written
 from . import linelist as ll
 
 # exp(-38.7^2/2) is below the smallest double: a kernel term cut there is 0 anyway
@@ -23,42 +23,63 @@ REACH = 38.7
 
 
 @dataclass(frozen=True)
-class Kernel:
-    """What the kernel forecaster reads. The defaults."""
-
-    name: str = "kde_rv"
-    bandwidth: str = "adaptive"  # or "fixed"
-    sigma_km: float = 2.0
-    k: int = 10
-    beta: float = 1.0
-    sigma_min: float = 0.5
-    sigma_max: float = 10.0
+class Choice:
+    """Which cases feed a density, where they stand, and what each weighs."""
+
+    place: str = "cases"  # "towns": daily town counts at the town's centre, "villages": spread over its villages
+    days: int = 60
     half_life: float = 14.0
-    window: int = 60
-    alpha: float = 0.0
-    season_gamma: float = 0.0
-    season_days: int = 21
-    season_years: int = 2
+    earlier: float = 0.0  # weight of the same season of earlier years
+    around: int = 21  # days on both sides of the same date
+    years: int = 2
+    least_share: float = 0.2
+
+
+@dataclass(frozen=True)
+class Width:
+    """Kilometres of a kernel: ``fixed``, or by the distance to ``near`` neighbours, times ``factor``, within ``least`` and ``most``."""
+
+    fixed: float | None = None
+    near: int = 10
+    factor: float = 1.0
+    least: float = 0.5
+    most: float = 10.0
+
+    def range(self) -> tuple[float, float]:
+        return (self.least, self.most) if self.fixed is None else (self.fixed, self.fixed)
+
+
+@dataclass(frozen=True)
+class Blend:
+    """How shares become counts: weight of the place's own count, the regional trend, and the spread of the counts."""
+
+    own: float = 0.0
     trend: bool = True
-    phi: float = 2.0
     pseudo: float = 5.0
-    c_floor: float = 0.2
-
-
-# The named variants. Those named after towns or villages take ``town_points`` instead of cases.
-VARIANTS = {
-    k.name: k
-    for k in (
-        Kernel("kde_fix", "fixed"),
-        Kernel("kde_rv"),
-        Kernel("kde_mix", alpha=0.5),
-        Kernel("kde_rv_season", season_gamma=0.2),
-        Kernel("kde_rv_b2", beta=2.0, sigma_min=1.0),
-        Kernel("kde_mix_fix", "fixed", alpha=0.5),
-        Kernel("kde_mix_fix_town", "fixed", alpha=0.5),
-        Kernel("kde_mix_fix_town3", "fixed", sigma_km=3.0, alpha=0.5),
-        Kernel("kde_mix_fix_vill", "fixed", alpha=0.5),
-        Kernel("kde_fix_vill", "fixed"),
+    phi: float = 2.0
+
+
+@dataclass(frozen=True)
+class SpatialModel:
+    choice: Choice = Choice()
+    width: Width = Width()
+    blend: Blend = Blend()
+
+
+# The named forecasters as (points, kilometres, factor, least kilometres, own, earlier seasons).
+SPATIAL_MODELS = {
+    name: SpatialModel(Choice(place, earlier=earlier), Width(km, factor=factor, least=least), Blend(own))
+    for name, place, km, factor, least, own, earlier in (
+        ("kde_fix", "cases", 2.0, 1.0, 0.5, 0.0, 0.0),
+        ("kde_rv", "cases", None, 1.0, 0.5, 0.0, 0.0),
+        ("kde_mix", "cases", None, 1.0, 0.5, 0.5, 0.0),
+        ("kde_rv_season", "cases", None, 1.0, 0.5, 0.0, 0.2),
+        ("kde_rv_b2", "cases", None, 2.0, 1.0, 0.0, 0.0),
+        ("kde_mix_fix", "cases", 2.0, 1.0, 0.5, 0.5, 0.0),
+        ("kde_mix_fix_town", "towns", 2.0, 1.0, 0.5, 0.5, 0.0),
+        ("kde_mix_fix_town3", "towns", 3.0, 1.0, 0.5, 0.5, 0.0),
+        ("kde_mix_fix_vill", "villages", 2.0, 1.0, 0.5, 0.5, 0.0),
+        ("kde_fix_vill", "villages", 2.0, 1.0, 0.5, 0.0, 0.0),
     )
 }
 
@@ -92,41 +113,41 @@ def _on_origins(rows: DataFrame, first: Column, last: Column, origins: DataFrame
     return d.join(origins.select("origin").distinct(), "origin", "left_semi")
 
 
-def weighted_points(cases: DataFrame, origins: DataFrame, mode: str, kernel: Kernel, comp: DataFrame | None = None,
+def weighted_points(cases: DataFrame, origins: DataFrame, mode: str, model: SpatialModel, comp: DataFrame | None = None,
                     dmax: int = ll.DMAX) -> DataFrame:
     """(origin, x, y, w, m) of the cases that feed the density at each origin; equal places are added up, m counts their case rows.
 
-    Recency 0.5^(age/half life); in mode asof_adj divided by the completeness of the age; with season_gamma also the
-    same season of earlier years. A case is spread over the origins that may use it (at most ``window``).
+    Recency 0.5^(age/half life); in mode asof_adj divided by the completeness of the age; with a weight for earlier seasons also the
+    same season of earlier years. A case is spread over the origins that may use it (at most ``days``).
     """
     seen = F.col("onset") if mode == "final" else F.greatest("onset", "report")
     rows = cases.groupBy("onset", "report", "x", "y").agg(F.sum("n").cast("double").alias("n"), F.count(F.lit(1)).alias("m"))
-    p = _on_origins(rows, seen, F.date_add("onset", kernel.window - 1), origins)
+    p = _on_origins(rows, seen, F.date_add("onset", model.choice.days - 1), origins)
     age = F.datediff("origin", "onset")
-    p = p.withColumn("w", F.col("n") * F.pow(F.lit(0.5), age / F.lit(kernel.half_life)))
+    p = p.withColumn("w", F.col("n") * F.pow(F.lit(0.5), age / F.lit(model.choice.half_life)))
     if mode == "asof_adj":
         if comp is None:
             raise ValueError("mode asof_adj needs the completeness table")
-        c = comp.select("origin", F.col("k").alias("_k"), F.greatest("share", F.lit(kernel.c_floor)).alias("_c"))
+        c = comp.select("origin", F.col("k").alias("_k"), F.greatest("share", F.lit(model.choice.least_share)).alias("_c"))
         p = p.withColumn("_k", F.least(age, F.lit(dmax))).join(c, ["origin", "_k"], "left").withColumn("w", F.col("w") / F.coalesce("_c", F.lit(1.0)))
     out = p.select("origin", "x", "y", "w", "m")
-    if kernel.season_gamma > 0:
-        for yb in range(1, kernel.season_years + 1):
+    if model.choice.earlier > 0:
+        for yb in range(1, model.choice.years + 1):
             shift = 365 * yb - 7
-            first = F.date_add("onset", shift - kernel.season_days)
+            first = F.date_add("onset", shift - model.choice.around)
             first = first if mode == "final" else F.greatest(first, F.col("report"))
-            s = _on_origins(rows, first, F.date_add("onset", shift + kernel.season_days), origins)
-            out = out.unionByName(s.select("origin", "x", "y", (F.lit(kernel.season_gamma) * F.col("n")).alias("w"), "m"))
+            s = _on_origins(rows, first, F.date_add("onset", shift + model.choice.around), origins)
+            out = out.unionByName(s.select("origin", "x", "y", (F.lit(model.choice.earlier) * F.col("n")).alias("w"), "m"))
     return out.groupBy("origin", "x", "y").agg(F.sum("w").alias("w"), F.sum("m").alias("m"))
 
 
-def town_points(context: DataFrame, places: DataFrame, kernel: Kernel) -> DataFrame:
+def town_points(context: DataFrame, places: DataFrame, model: SpatialModel) -> DataFrame:
     """Points from daily town counts known at the origin: decayed sums at the town centre, or spread by village share.
 
     ``context``: origin, series, k, n. ``places``: series, x, y, share (1 for centres).
     """
-    w = context.where(F.col("k") < kernel.window).groupBy("origin", "series").agg(
-        F.sum(F.col("n") * F.pow(F.lit(0.5), F.col("k") / F.lit(kernel.half_life))).alias("_w")
+    w = context.where(F.col("k") < model.choice.days).groupBy("origin", "series").agg(
+        F.sum(F.col("n") * F.pow(F.lit(0.5), F.col("k") / F.lit(model.choice.half_life))).alias("_w")
     )
     p = w.join(places.select("series", "x", "y", "share"), "series").withColumn("w", F.col("_w") * F.col("share")).where("w > 0")
     return p.groupBy("origin", "x", "y").agg(F.sum("w").alias("w"))
@@ -147,39 +168,30 @@ def _around(reach: int) -> Column:
     return F.array(*[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy")) for a in r for b in r])
 
 
-def bandwidth(points: DataFrame, kernel: Kernel, by: Sequence[str] = ("origin",)) -> DataFrame:
-    """Column sigma: fixed, or from the mean distance to the k nearest points, within [sigma_min, sigma_max].
+def bandwidth(points: DataFrame, width: Width, by: Sequence[str] = ("origin",)) -> DataFrame:
+    """Column sigma: fixed, or from the mean distance to the nearest points, between the least and the most.
 
     A column ``m`` says how many cases stand at a place; each is a point, so cases at one place are neighbours at distance 0.
-    Groups with at most k points use sigma_max.
+    Groups with at most as many points as neighbours are asked for use the most.
     """
-    if kernel.bandwidth == "fixed":
-        return points.withColumn("sigma", F.lit(float(kernel.sigma_km)))
-    r = knn_mean_distance(points, kernel.k, by, copies="m" if "m" in points.columns else None)
-    s = F.lit(kernel.beta * math.sqrt(math.pi) / math.sqrt(kernel.k)) * F.col("rbar")
-    clipped = F.greatest(F.lit(kernel.sigma_min), F.least(F.lit(kernel.sigma_max), s))
+    if width.fixed is not None:
+        return points.withColumn("sigma", F.lit(float(width.fixed)))
+    r = knn_mean_distance(points, width.near, by, copies="m" if "m" in points.columns else None)
+    s = F.lit(width.factor * math.sqrt(math.pi) / math.sqrt(width.near)) * F.col("rbar")
+    clipped = F.greatest(F.lit(width.least), F.least(F.lit(width.most), s))
     return points.join(r, [*by, "x", "y"], "left").withColumn(
-        "sigma", F.when(F.col("rbar").isNull(), F.lit(float(kernel.sigma_max))).otherwise(clipped)
+        "sigma", F.when(F.col("rbar").isNull(), F.lit(float(width.most))).otherwise(clipped)
     ).drop("rbar")
 
 
-def knn_mean_distance(points: DataFrame, k: int, by: Sequence[str] = ("origin",), copies: str | None = None) -> DataFrame:
-    """(by, x, y, rbar): mean distance to the k nearest other points, copies at one place counted one by one.
+STEP = 6  # halvings of the cells in a round
+CROWD = 16  # times k points in a block are a crowd
 
-    Counting cells of doubling size finds for each place the smallest size whose 3x3 block holds more than k points, so
-    the k-th neighbour is within 3 of its cells. Only places in the 7x7 block around it are compared. The sizes run from
-    a few cells per point of the largest group up to the whole box, found by one small aggregate. Groups with at most k
-    points give no row.
-    """
-    m = F.sum(copies) if copies else F.count("*")
-    places = points.groupBy(*by, "x", "y").agg(m.cast("long").alias("m"))
-    per = places.groupBy(*by).agg(F.count("*").alias("n"), *[f(c).alias(a) for a, f, c in (("x0", F.min, "x"), ("x1", F.max, "x"), ("y0", F.min, "y"), ("y1", F.max, "y"))])
-    box = per.agg(F.max("n").alias("n"), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"), F.max("y1").alias("y1")).first()
-    width = max(box["x1"] - box["x0"], box["y1"] - box["y0"], 1e-6) if box["n"] else 1.0
-    levels = max(2, math.ceil(math.log2(max(box["n"] or 1, 1)) / 2) + 3)
-    finest = width / 2 ** (levels - 1)
-    size = F.lit(finest) * F.pow(F.lit(2.0), F.col("l"))
-    at = places.withColumn("l", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumns({"cx": _cell("x", size), "cy": _cell("y", size)})
+
+def _fitting(places: DataFrame, k: int, by: Sequence[str], size0: float, coarse: int, fine: int) -> DataFrame:
+    """Each place with the smallest size l (``fine``..``coarse``, cells size0 * 2^l wide) whose 3x3 block holds more than k points, and that block's points."""
+    size = F.lit(size0) * F.pow(F.lit(2.0), F.col("l"))
+    at = places.withColumn("l", F.explode(F.sequence(F.lit(fine), F.lit(coarse)))).withColumns({"cx": _cell("x", size), "cy": _cell("y", size)})
     cells = at.groupBy(*by, "l", "cx", "cy").agg(F.sum("m").alias("c"))
     block = (
         cells.withColumn("_d", F.explode(_around(1)))
@@ -187,10 +199,17 @@ def knn_mean_distance(points: DataFrame, k: int, by: Sequence[str] = ("origin",)
         .agg(F.sum("c").alias("c"))
         .where(F.col("c") > k)
     )
-    own = at.join(block.drop("c"), [*by, "l", "cx", "cy"]).groupBy(*by, "x", "y").agg(F.min("l").alias("l"), F.first("m").alias("m"))
-    probe = spread(own, ["x", "y", *by]).withColumns({"cx": _cell("x", size), "cy": _cell("y", size)}).withColumn("_d", F.explode(_around(3)))
-    probe = probe.select(*by, "l", "x", "y", F.col("m").alias("own"), (F.col("cx") + F.col("_d.dx")).alias("cx"), (F.col("cy") + F.col("_d.dy")).alias("cy"))
-    other = at.select(*by, "l", "cx", "cy", F.col("x").alias("ox"), F.col("y").alias("oy"), "m")
+    own = at.join(block, [*by, "l", "cx", "cy"])
+    return own.groupBy(*by, "x", "y").agg(F.min(F.struct("l", "c")).alias("_f"), F.first("m").alias("m")).select(*by, "x", "y", "m", "_f.l", "_f.c")
+
+
+def _nearest(others: DataFrame, own: DataFrame, k: int, by: Sequence[str], size0: float, coarse: int, fine: int) -> DataFrame:
+    """(by, x, y, rbar) of the places ``own`` (with their size l) among ``others``; a place of more than k points has them at distance 0."""
+    size = F.lit(size0) * F.pow(F.lit(2.0), F.col("l"))
+    probe = spread(own.where(F.col("m") <= k), ["x", "y", *by]).withColumns({"cx": _cell("x", size), "cy": _cell("y", size)}).withColumn("_d", F.explode(_around(3)))
+    probe = probe.select(*by, "l", "x", "y", (F.col("cx") + F.col("_d.dx")).alias("cx"), (F.col("cy") + F.col("_d.dy")).alias("cy"))
+    at = others.withColumn("l", F.explode(F.sequence(F.lit(fine), F.lit(coarse))))
+    other = at.select(*by, "l", _cell("x", size).alias("cx"), _cell("y", size).alias("cy"), F.col("x").alias("ox"), F.col("y").alias("oy"), "m")
     pairs = probe.join(other, [*by, "l", "cx", "cy"])
     d = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
     pairs = pairs.withColumns({"d": d, "m": F.when((F.col("x") == F.col("ox")) & (F.col("y") == F.col("oy")), F.col("m") - 1).otherwise(F.col("m"))})
@@ -200,7 +219,42 @@ def knn_mean_distance(points: DataFrame, k: int, by: Sequence[str] = ("origin",)
     pairs = pairs.withColumn("_rn", F.row_number().over(nearest)).where(F.col("_rn") <= k)
     w = nearest.rowsBetween(W.unboundedPreceding, -1)
     take = F.greatest(F.lit(0), F.least(F.col("m"), F.lit(k) - F.coalesce(F.sum("m").over(w), F.lit(0))))
-    return pairs.withColumn("_take", take).groupBy(*by, "x", "y").agg((F.sum(F.col("_take") * F.col("d")) / k).alias("rbar"))
+    means = pairs.withColumn("_take", take).groupBy(*by, "x", "y").agg((F.sum(F.col("_take") * F.col("d")) / k).alias("rbar"))
+    return means.unionByName(own.where(F.col("m") > k).select(*by, "x", "y", F.lit(0.0).alias("rbar")))
+
+
+def knn_mean_distance(points: DataFrame, k: int, by: Sequence[str] = ("origin",), copies: str | None = None) -> DataFrame:
+    """(by, x, y, rbar): mean distance to the k nearest other points, copies at one place counted one by one.
+
+    A tree of square cells, as deep as the points are dense: each place takes the smallest cell size whose 3x3 block holds more than
+    k points, so the k-th neighbour is within 3 of its cells, and only places in the 7x7 block around it are compared. Sizes go down
+    from the whole box, ``STEP`` halvings a round; a further round takes only places whose block at the smallest size so far is still
+    crowded, and what stands near them. One far point therefore does not make the cells of a crowd wide. Groups with at most k
+    points give no row.
+    """
+    m = F.sum(copies) if copies else F.count("*")
+    near = written(points.groupBy(*by, "x", "y").agg(m.cast("long").alias("m")), "knn-places")
+    box = near.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    width, tiny = 1.0, 1.0
+    if box["x0"] is not None:
+        width = max(box["x1"] - box["x0"], box["y1"] - box["y0"], 1e-6)
+        tiny = 2.0**-40 * max(abs(v) for v in (*box, width))  # cells below this width part no doubles
+    wanted, out, coarse, fine = None, None, 1, 1 - STEP
+    while True:
+        fit = _fitting(near, k, by, width, coarse, fine)
+        fit = written(fit if wanted is None else fit.join(wanted, [*by, "x", "y"], "left_semi"), "knn-sizes")
+        last = width * 2.0**fine <= tiny
+        crowded = F.lit(False) if last else (F.col("l") == fine) & (F.col("c") > CROWD * k) & (F.col("m") <= k)
+        found = _nearest(near, fit.where(~crowded), k, by, width, coarse, fine)
+        out = found if out is None else out.unionByName(found)
+        wanted = fit.where(crowded).select(*by, "x", "y")
+        if wanted.isEmpty():
+            return out
+        cell = lambda d: d.withColumns({"cx": _cell("x", F.lit(width * 2.0**fine)), "cy": _cell("y", F.lit(width * 2.0**fine))})
+        reach = cell(wanted).select(*by, "cx", "cy").distinct().withColumn("_d", F.explode(_around(3)))
+        reach = reach.select(*by, (F.col("cx") + F.col("_d.dx")).alias("cx"), (F.col("cy") + F.col("_d.dy")).alias("cy")).distinct()
+        near = written(cell(near).join(reach, [*by, "cx", "cy"], "left_semi").select(*by, "x", "y", "m"), "knn-crowded")
+        coarse, fine = fine, fine - STEP
 
 
 def intensity(points: DataFrame, evals: DataFrame, eval_id: str, sigma_range: tuple[float, float], by: Sequence[str] = ("origin",),
@@ -229,7 +283,7 @@ def trend_factor(now: Column, before: Column, pseudo: float = 5.0) -> Column:
     return F.greatest(F.lit(0.5), F.least(F.lit(2.0), (now + pseudo) / (before + pseudo)))
 
 
-def spatial_forecast(context: DataFrame, lam: DataFrame, villages: DataFrame, kernel: Kernel, hs: Sequence[int],
+def spatial_forecast(context: DataFrame, lam: DataFrame, villages: DataFrame, model: SpatialModel, hs: Sequence[int],
                      points: DataFrame | None = None) -> DataFrame:
     """(origin, series, h, mu): spatial share of the regional total times the trend, blended with the own persistence.
 
@@ -256,10 +310,10 @@ def spatial_forecast(context: DataFrame, lam: DataFrame, villages: DataFrame, ke
         .when(F.col("tot7") > 0, F.col("own7") / F.nullif(F.col("tot7"), F.lit(0.0)))
         .otherwise(uniform)
     )
-    g = trend_factor(F.col("tot7"), F.col("p7"), kernel.pseudo) if kernel.trend else F.lit(1.0)
+    g = trend_factor(F.col("tot7"), F.col("p7"), model.blend.pseudo) if model.blend.trend else F.lit(1.0)
     d = d.withColumns({"share": share, "g": g}).withColumn("h", F.explode(F.array(*[F.lit(h) for h in hs])))
     gh = F.pow("g", F.col("h") / F.lit(7.0))
-    mu = (F.lit(1 - kernel.alpha) * F.col("share") * F.col("tot7") + F.lit(kernel.alpha) * F.col("own7")) * gh
+    mu = (F.lit(1 - model.blend.own) * F.col("share") * F.col("tot7") + F.lit(model.blend.own) * F.col("own7")) * gh
     return d.select("origin", "series", "h", "own7", "tot7", "g", "share", mu.alias("mu"))
 
 
@@ -273,30 +327,19 @@ def add_deciles(mu: DataFrame, phi: float = 2.0) -> DataFrame:
 # --------------------------------------------------------------------------- village hotspots
 @dataclass(frozen=True)
 class Hotspot:
-    """own | town | kde scores per village. The defaults."""
+    """What a village's expected count rests on: its own cases, its town's mean, or the density of this width, blended with the own cases."""
 
     name: str
-    kind: str
-    sigma_km: float = 1.0
-    adaptive: bool = False
-    mix: float = 0.0
-    k: int = 10
-    beta: float = 1.0
-    sigma_min: float = 0.2
-    sigma_max: float = 5.0
-    window: int = 60
-    half_life: float = 14.0
-    phi: float = 2.0
-    pseudo: float = 5.0
+    base: str | Width
+    own: float = 0.0
 
 
-# The named village models.
-HOTSPOTS = {
-    h.name: h
-    for h in (
-        Hotspot("own", "own"), Hotspot("town", "town"), Hotspot("kde_05", "kde", 0.5), Hotspot("kde_1", "kde", 1.0),
-        Hotspot("kde_2", "kde", 2.0), Hotspot("kde_rv", "kde", adaptive=True), Hotspot("kde_05_mix", "kde", 0.5, mix=0.5),
-        Hotspot("kde_1_mix", "kde", 1.0, mix=0.5), Hotspot("kde_rv_mix", "kde", adaptive=True, mix=0.5),
+# Kilometres by neighbours lie between these; the named village models as (kilometres, own).
+NEAR_VILLAGES = Width(None, least=0.2, most=5.0)
+HOTSPOTS = {"own": Hotspot("own", "own"), "town": Hotspot("town", "town")} | {
+    name: Hotspot(name, NEAR_VILLAGES if km is None else Width(km), own)
+    for name, km, own in (
+        ("kde_05", 0.5, 0.0), ("kde_1", 1.0, 0.0), ("kde_2", 2.0, 0.0), ("kde_rv", None, 0.0), ("kde_05_mix", 0.5, 0.5), ("kde_1_mix", 1.0, 0.5), ("kde_rv_mix", None, 0.5),
     )
 }
 
@@ -324,14 +367,15 @@ def village_truth(cases: DataFrame, origins: DataFrame, ahead: int = 14) -> Data
 
 
 def hotspot_scores(villages: DataFrame, cases: DataFrame, origins: DataFrame, mode: str, models: Sequence[Hotspot],
-                   comp: DataFrame | None = None, k_event: int = 2) -> DataFrame:
-    """origin x village rows: truth y, own_raw, and per model P(>= k_event cases in the next 14 days).
+                   comp: DataFrame | None = None, events: Sequence[int] = (2,), choice: Choice = Choice(), blend: Blend = Blend()) -> DataFrame:
+    """origin x village rows: truth y, own_raw, and per model P(>= that many cases in the next 14 days) for each of ``events``.
 
-    ``villages``: village_code, town, x, y. Origins (days) travel as one array, so the grid needs no cross join.
+    A column has the model's name for the first of ``events`` and the name, ``_ge`` and the count for others. ``villages``:
+    village_code, town, x, y. Origins (days) travel as one array, so the grid needs no cross join.
     """
     days = origins.agg(F.array_sort(F.collect_set("origin")).alias("v")).scalar()
     grid = villages.select("village_code", "town").withColumn("origin", F.explode(days))
-    known = village_known(cases.join(villages.select("village_code"), "village_code", "left_semi"), origins, mode, 60, comp)
+    known = village_known(cases.join(villages.select("village_code"), "village_code", "left_semi"), origins, mode, choice.days, comp, choice.least_share)
     own = known.groupBy("origin", "village_code").agg(
         F.sum(F.when(F.col("age") < 14, F.col("w")).otherwise(0.0)).alias("own14"),
         F.sum(F.when(F.col("age") < 14, F.col("n")).otherwise(0.0)).alias("own_raw"),
@@ -342,34 +386,31 @@ def hotspot_scores(villages: DataFrame, cases: DataFrame, origins: DataFrame, mo
     d = grid.join(own, ["origin", "village_code"], "left").join(tot, "origin", "left")
     d = d.join(village_truth(cases, origins), ["origin", "village_code"], "left")
     d = d.withColumns({c: zero(c) for c in ("own14", "own_raw", "tot14", "totp", "y")}).drop("prev14")
-    d = d.withColumn("g", trend_factor(F.col("tot14"), F.col("totp"), models[0].pseudo))
+    d = d.withColumn("g", trend_factor(F.col("tot14"), F.col("totp"), blend.pseudo))
     town = d.groupBy("origin", "town").agg((F.sum("own14") / F.count("*")).alias("town_mean"))
     d = d.join(town, ["origin", "town"])
-    for sig in sorted({(m.adaptive, m.sigma_km if not m.adaptive else 0.0, m.window, m.half_life) for m in models if m.kind == "kde"}):
-        m = next(x for x in models if x.kind == "kde" and (x.adaptive, x.sigma_km if not x.adaptive else 0.0, x.window, x.half_life) == sig)
-        pts = known.where(F.col("age") < m.window).join(villages.select("village_code", "x", "y"), "village_code")
-        pts = pts.withColumn("w", F.col("w") * F.pow(F.lit(0.5), F.col("age") / F.lit(m.half_life)))
-        kern = Kernel(bandwidth="adaptive" if m.adaptive else "fixed", sigma_km=m.sigma_km, k=m.k, beta=m.beta, sigma_min=m.sigma_min, sigma_max=m.sigma_max)
-        s = bandwidth(pts, kern)
-        rng = (m.sigma_min, m.sigma_max) if m.adaptive else (m.sigma_km, m.sigma_km)
-        lam = intensity(s, villages, "village_code", rng).withColumnRenamed("lam", "_lam")
-        d = d.join(lam, ["origin", "village_code"], "left")
-        share = zero("_lam") / F.nullif(F.sum("_lam").over(W.partitionBy("origin")), F.lit(0.0))
-        d = d.withColumn(_spatial(m), F.coalesce(share, F.lit(0.0)) * F.col("tot14") * F.col("g")).drop("_lam")
+    for width in dict.fromkeys(m.base for m in models if isinstance(m.base, Width)):
+        pts = known.where(F.col("age") < choice.days).join(villages.select("village_code", "x", "y"), "village_code")
+        pts = pts.withColumn("w", F.col("w") * F.pow(F.lit(0.5), F.col("age") / F.lit(choice.half_life)))
+        lam = intensity(bandwidth(pts, width), villages, "village_code", width.range()).withColumnRenamed("lam", "_lam")
+        total = lam.groupBy("origin").agg(F.sum("_lam").alias("_all"))
+        d = d.join(lam, ["origin", "village_code"], "left").join(total, "origin", "left")
+        share = zero("_lam") / F.nullif(F.col("_all"), F.lit(0.0))
+        d = d.withColumn(_spatial(width), F.coalesce(share, F.lit(0.0)) * F.col("tot14") * F.col("g")).drop("_lam", "_all")
     out = {}
     for m in models:
-        if m.kind == "own":
+        if m.base == "own":
             mu = F.col("own14")
-        elif m.kind == "town":
+        elif m.base == "town":
             mu = F.col("town_mean") * F.col("g")
         else:
-            mu = F.lit(1 - m.mix) * F.col(_spatial(m)) + F.lit(m.mix) * F.col("own14")
-        out[m.name] = geo.nb_tail(mu, k_event, m.phi)
+            mu = F.lit(1 - m.own) * F.col(_spatial(m.base)) + F.lit(m.own) * F.col("own14")
+        out |= {m.name + (f"_ge{n}" if i else ""): geo.nb_tail(mu, n, blend.phi) for i, n in enumerate(events)}
     return d.select("origin", "village_code", "town", "y", "own_raw", *[c.alias(n) for n, c in out.items()])
 
 
-def _spatial(m: Hotspot) -> str:
-    return "_kde_adaptive" if m.adaptive else f"_kde_{m.sigma_km}".replace(".", "_")
+def _spatial(width: Width) -> str:
+    return f"_near_{width.near}" if width.fixed is None else f"_km_{width.fixed}".replace(".", "_")
 
 
 def topk_quality(scores: DataFrame, model: str, ks: Sequence[int], region: str = "region", event: str = "event", ident: str = "village_code") -> DataFrame:

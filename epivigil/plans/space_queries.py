@@ -26,7 +26,7 @@ def point_comp(spark, sf):
 
 def weighted(spark, sf):
     def make():
-        return sp.weighted_points(points(spark, sf), point_origins(spark, sf), "asof_adj", sp.VARIANTS["kde_rv"], point_comp(spark, sf), 7)
+        return sp.weighted_points(points(spark, sf), point_origins(spark, sf), "asof_adj", sp.SPATIAL_MODELS["kde_rv"], point_comp(spark, sf), 7)
 
     return stored(spark, sf, "weighted_points", make)
 
@@ -42,7 +42,7 @@ def j1b(spark, sf):
     """Origins of this year and of the same days a year later, which see these cases as last season's."""
     o = point_origins(spark, sf)
     o = o.unionByName(o.select(F.date_add("origin", 365).alias("origin")))
-    return sp.weighted_points(points(spark, sf), o, "final", sp.VARIANTS["kde_rv_season"]).groupBy(text("origin").alias("origin")).agg(rnd(F.sum("w")).alias("w"))
+    return sp.weighted_points(points(spark, sf), o, "final", sp.SPATIAL_MODELS["kde_rv_season"]).groupBy(text("origin").alias("origin")).agg(rnd(F.sum("w")).alias("w"))
 
 
 C_GEO = """gt AS (SELECT series, SUM(x * n) / SUM(n) AS x, SUM(y * n) / SUM(n) AS y, CAST(SUM(n) AS BIGINT) AS cases FROM pts GROUP BY 1),
@@ -69,7 +69,7 @@ def context(spark, sf):
  f"SELECT 'centre' AS kind, CAST(origin AS VARCHAR) AS origin, COUNT(*) AS n, {R('SUM(w)')} AS w, {R('SUM(w * x)')} AS wx FROM t JOIN gt ON gt.series = t.series WHERE w > 0 GROUP BY 2 UNION ALL SELECT 'village', CAST(origin AS VARCHAR), COUNT(*), {R('SUM(w * share)')}, {R('SUM(w * share * x)')} FROM t JOIN gv ON gv.series = t.series WHERE w * share > 0 GROUP BY 2"))
 def j2(spark, sf):
     towns, vill = geometry(spark, sf)
-    k, c = sp.Kernel(), context(spark, sf)
+    k, c = sp.SpatialModel(), context(spark, sf)
     a = sp.town_points(c, towns.withColumn("share", F.lit(1.0)), k).withColumn("kind", F.lit("centre"))
     b = sp.town_points(c, vill, k).withColumn("kind", F.lit("village"))
     return a.unionByName(b).groupBy("kind", text("origin").alias("origin")).agg(F.count("*").alias("n"), rnd(F.sum("w")).alias("w"), rnd(F.sum(F.col("w") * F.col("x"))).alias("wx"))
@@ -91,15 +91,15 @@ C_KNN = """pr AS (SELECT origin, x, y, row_number() OVER () AS r FROM pw0),
 
 @query("j4_bandwidth", chain(C_PTS, C_PO, C_PCOMP, C_PW, C_KNN, f"SELECT CAST(origin AS VARCHAR) AS origin, {R('x')} AS x, {R('y')} AS y, {R('sigma')} AS sigma FROM sg"))
 def j4(spark, sf):
-    s = sp.bandwidth(weighted(spark, sf), sp.VARIANTS["kde_rv"])
+    s = sp.bandwidth(weighted(spark, sf), sp.SPATIAL_MODELS["kde_rv"].width)
     return s.select(text("origin").alias("origin"), rnd("x").alias("x"), rnd("y").alias("y"), rnd("sigma").alias("sigma"))
 
 
 @query("j5_intensity", chain(C_PTS, C_PO, C_PCOMP, C_PW, C_KNN, C_GEO, f"""SELECT CAST(origin AS VARCHAR) AS origin, village_code, {R('SUM(w / (2 * pi() * sigma * sigma) * EXP(-(POWER(sg.x - gv.x, 2) + POWER(sg.y - gv.y, 2)) / (2 * sigma * sigma)))')} AS lam FROM sg CROSS JOIN gv GROUP BY 1, 2"""))
 def j5(spark, sf):
-    k = sp.VARIANTS["kde_rv"]
+    k = sp.SPATIAL_MODELS["kde_rv"]
     _, v = geometry(spark, sf)
-    lam = sp.intensity(sp.bandwidth(weighted(spark, sf), k), v, "village_code", (k.sigma_min, k.sigma_max))
+    lam = sp.intensity(sp.bandwidth(weighted(spark, sf), k.width), v, "village_code", k.width.range())
     return lam.select(text("origin").alias("origin"), "village_code", rnd("lam").alias("lam"))
 
 
@@ -112,10 +112,10 @@ C_SPF = """lam AS (SELECT origin, series, SUM(w / (8 * pi()) * EXP(-(POWER(pw.x
 
 def spatial(spark, sf):
     def make():
-        k = sp.VARIANTS["kde_mix_fix"]
+        k = sp.SPATIAL_MODELS["kde_mix_fix"]
         _, v = geometry(spark, sf)
         pts = sp.weighted_points(points(spark, sf), point_origins(spark, sf), "asof_adj", k, point_comp(spark, sf), 7)
-        lam = sp.intensity(sp.bandwidth(pts, k), v, "village_code", (k.sigma_km, k.sigma_km))
+        lam = sp.intensity(sp.bandwidth(pts, k.width), v, "village_code", k.width.range())
         return sp.spatial_forecast(context(spark, sf), lam, v, k, (1, 7, 14), pts)
 
     return stored(spark, sf, "spatial_forecast", make)
@@ -159,9 +159,8 @@ C_HOT = C_HOT.format(_tail("own14"), _tail("mt"), _tail("mk"), _tail("(0.5 * mk
 def hotspots(spark, sf):
     def make():
         _, v = geometry(spark, sf)
-        models = [sp.HOTSPOTS[m] for m in ("own", "town", "kde_1", "kde_1_mix", "kde_rv")]
-        models[1] = sp.Hotspot("town_score", "town")
-        return sp.hotspot_scores(v.withColumnRenamed("series", "town"), points(spark, sf), point_origins(spark, sf), "asof", models)
+        models = [sp.Hotspot("town_score", "town") if n == "town" else m for n, m in sp.HOTSPOTS.items()]
+        return sp.hotspot_scores(v.withColumnRenamed("series", "town"), points(spark, sf), point_origins(spark, sf), "asof", models, events=(2, 3))
 
     return stored(spark, sf, "hotspots", make)
 
@@ -172,6 +171,60 @@ def j8(spark, sf):
     return rounded(s, "own", "town_score", "kde_1", "kde_1_mix")
 
 
+_WIDTHS = {"km05": "0.5", "km1": "1.0", "km2": "2.0", "near": "sigma"}
+_LAMS = ", ".join(f"SUM(k.n * POWER(0.5, k.age / 14.0) / (2 * pi() * {s} * {s}) * EXP(-(POWER(k.x - e.x, 2) + POWER(k.y - e.y, 2)) / (2 * {s} * {s}))) AS {n}" for n, s in _WIDTHS.items())
+C_HOT_ALL = f"""va AS (SELECT o.origin, p.village_code, a.x, a.y, o.origin - p.onset AS age, p.n, row_number() OVER () AS r FROM po o JOIN pts p ON p.onset <= o.origin AND p.report <= o.origin AND o.origin - p.onset < 60 JOIN vg a ON a.village_code = p.village_code),
+ vp AS (SELECT origin, village_code, x, y, MIN(r) AS r FROM va GROUP BY 1, 2, 3, 4),
+ vd AS (SELECT a.origin, a.village_code, SQRT(POWER(a.x - b.x, 2) + POWER(a.y - b.y, 2)) AS d FROM vp a JOIN va b ON b.origin = a.origin AND a.r <> b.r),
+ vk AS (SELECT origin, village_code, AVG(d) AS rbar, COUNT(*) AS c FROM (SELECT *, row_number() OVER (PARTITION BY origin, village_code ORDER BY d) AS rn FROM vd) WHERE rn <= 10 GROUP BY 1, 2),
+ vs AS (SELECT va.*, CASE WHEN c = 10 THEN GREATEST(0.2, LEAST(5.0, SQRT(pi()) / SQRT(10) * rbar)) ELSE 5.0 END AS sigma FROM va LEFT JOIN vk ON vk.origin = va.origin AND vk.village_code = va.village_code),
+ vl AS (SELECT k.origin, e.village_code, {_LAMS} FROM vs k CROSS JOIN vg e GROUP BY 1, 2),
+ vm AS (SELECT hm.origin, hm.village_code, town, CAST(y AS DOUBLE) AS y, own14, mt, {", ".join(f"COALESCE(vl.{n} / SUM(vl.{n}) OVER (PARTITION BY hm.origin), 0) * t14 * g AS {n}" for n in _WIDTHS)} FROM hm LEFT JOIN vl ON vl.origin = hm.origin AND vl.village_code = hm.village_code)"""
+_MEANS = {
+    "own": "own14", "town_score": "mt", "kde_05": "km05", "kde_1": "km1", "kde_2": "km2", "kde_rv": "near",
+    "kde_05_mix": "(0.5 * km05 + 0.5 * own14)", "kde_1_mix": "(0.5 * km1 + 0.5 * own14)", "kde_rv_mix": "(0.5 * near + 0.5 * own14)",
+}
+
+
+def _tail3(mu):
+    p = f"(2 / (2 + GREATEST({mu}, 1e-12)))"
+    return f"{_tail(mu)} - 3 * {p} * {p} * (1 - {p}) * (1 - {p})"
+
+
+@query("j8b_all_village_models", chain(C_PTS, C_PO, C_GEO, C_HOT, C_HOT_ALL, f"SELECT CAST(origin AS VARCHAR) AS origin, village_code, y, {', '.join(f'{R(_tail(m))} AS {n}, {R(_tail3(m))} AS {n}_ge3' for n, m in _MEANS.items())} FROM vm"))
+def j8b(spark, sf):
+    names = [x for n in _MEANS for x in (n, f"{n}_ge3")]
+    return rounded(hotspots(spark, sf).select(text("origin").alias("origin"), "village_code", "y", *names), *names)
+
+
+def by_region(scores):
+    """Long rows of all nine models and both event sizes: towns s0 to s4 are one region, the others the second."""
+    rows = [F.struct(F.lit(n).alias("model"), F.lit(k).cast("long").alias("least"), F.round(n if k == 2 else f"{n}_ge3", 9).alias("score"), (F.col("y") >= k).alias("event")) for n in _MEANS for k in (2, 3)]
+    d = scores.withColumn("region", F.when(F.col("town") <= "s4", "first").otherwise("second")).withColumn("_m", F.explode(F.array(*rows)))
+    return d.select("origin", "village_code", "town", F.concat_ws(":", "region", "_m.model", F.col("_m.least").cast("string")).alias("region"), "_m.score", "_m.event")
+
+
+@query("j9c_topk_by_region", chain(C_PTS, C_PO, C_GEO, C_HOT, C_HOT_ALL, "m AS (" + " UNION ALL ".join(f"SELECT origin, village_code, CASE WHEN town <= 's4' THEN 'first' ELSE 'second' END || ':{n}:{k}' AS region, ROUND({_tail(m) if k == 2 else _tail3(m)}, 9) AS s, y >= {k} AS event FROM vm" for n, m in _MEANS.items() for k in (2, 3)) + ")",
+ "r AS (SELECT *, row_number() OVER (PARTITION BY region, origin ORDER BY s DESC, village_code) AS rn FROM m)",
+ "g AS (SELECT region, origin, COUNT(*) FILTER (event) AS ev, COUNT(*) FILTER (event AND rn <= 5) AS h5, COUNT(*) FILTER (event AND rn <= 10) AS h10 FROM r GROUP BY 1, 2 HAVING COUNT(*) FILTER (event) > 0)",
+ f"SELECT region, COUNT(*) AS days_with_events, {R('AVG(h5 / CAST(ev AS DOUBLE))')} AS recall_5, {R('AVG(h10 / CAST(ev AS DOUBLE))')} AS recall_10, {R('AVG(h5 / 5.0)')} AS precision_5, {R('AVG(h10 / 10.0)')} AS precision_10 FROM g GROUP BY region"))
+def j9c(spark, sf):
+    return rounded(sp.topk_quality(by_region(hotspots(spark, sf)), "score", (5, 10)), "recall_5", "recall_10", "precision_5", "precision_10")
+
+
+C_SAME = "same AS (SELECT series AS origin, CASE WHEN vec_id % 3 = 0 THEN 1.25 ELSE x END AS x, CASE WHEN vec_id % 3 = 0 THEN -0.5 ELSE y END AS y, row_number() OVER () AS r FROM pts)"
+
+
+@query("j4b_neighbours_at_one_place", chain(C_PTS, C_SAME, "p1 AS (SELECT origin, x, y, MIN(r) AS r FROM same GROUP BY 1, 2, 3)",
+ "d AS (SELECT a.origin, a.x, a.y, SQRT(POWER(a.x - b.x, 2) + POWER(a.y - b.y, 2)) AS d FROM p1 a JOIN same b ON b.origin = a.origin AND a.r <> b.r)",
+ f"SELECT origin, {R('x')} AS x, {R('y')} AS y, {R('AVG(d)')} AS rbar FROM (SELECT *, row_number() OVER (PARTITION BY origin, x, y ORDER BY d) AS rn FROM d) WHERE rn <= 10 GROUP BY origin, x, y HAVING COUNT(*) = 10"))
+def j4b(spark, sf):
+    """A third of the cases of each series stand at one place."""
+    at = lambda c, v: F.when(F.col("vec_id") % 3 == 0, F.lit(v)).otherwise(F.col(c)).alias(c)
+    p = points(spark, sf).select(F.col("series").alias("origin"), at("x", 1.25), at("y", -0.5))
+    return rounded(sp.knn_mean_distance(p, 10), "x", "y", "rbar")
+
+
 @query("j9_topk_quality", chain(C_PTS, C_PO, C_GEO, C_HOT, "r AS (SELECT *, y >= 2 AS event, row_number() OVER (PARTITION BY origin ORDER BY ROUND(kde_1, 9) DESC, village_code) AS rn FROM hs)",
  "g AS (SELECT origin, COUNT(*) FILTER (event) AS ev, COUNT(*) FILTER (event AND rn <= 5) AS h5, COUNT(*) FILTER (event AND rn <= 20) AS h20 FROM r GROUP BY 1 HAVING COUNT(*) FILTER (event) > 0)",
  f"SELECT 'all' AS region, COUNT(*) AS days_with_events, {R('AVG(h5 / CAST(ev AS DOUBLE))')} AS recall_5, {R('AVG(h20 / CAST(ev AS DOUBLE))')} AS recall_20, {R('AVG(h5 / 5.0)')} AS precision_5, {R('AVG(h20 / 20.0)')} AS precision_20 FROM g"))

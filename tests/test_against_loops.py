@@ -261,7 +261,7 @@ def test_neighbours_and_kernel(spark):
         assert abs(v - dist.mean()) < 1e-9
     assert len(got) == len(xy)
     ev = pd.DataFrame({"village_code": [str(i) for i in range(30)], "x": RNG.uniform(-2, 6, 30), "y": RNG.uniform(-2, 6, 30)})
-    s = sp.bandwidth(d, sp.Kernel(sigma_min=0.2, sigma_max=5.0)).toPandas()
+    s = sp.bandwidth(d, sp.Width(least=0.2, most=5.0)).toPandas()
     lam = sp.intensity(spark.createDataFrame(s), spark.createDataFrame(ev), "village_code", (0.2, 5.0)).toPandas().set_index("village_code")["lam"]
     for r in ev.itertuples():
         d2 = (s.x - r.x) ** 2 + (s.y - r.y) ** 2
@@ -269,6 +269,21 @@ def test_neighbours_and_kernel(spark):
         assert abs(lam.get(r.village_code, 0.0) - exp) < 1e-12
 
 
+def test_neighbours_in_crowds_and_far_points(spark):
+    """A dense crowd, a very dense one inside it, places of many copies, and two far points in one group; a small group beside it."""
+    xy = np.vstack([RNG.normal(0, 1.0, (1500, 2)), RNG.normal(0, 1e-4, (900, 2)), np.repeat([[0.5, 0.5], [7.0, 7.0]], 40, 0), np.repeat([[-3.0, 1.0]], 5, 0), [[4e4, -4e4], [1e6, 3e5]]])
+    pdf = pd.concat([pd.DataFrame({"origin": "a", "x": xy[:, 0], "y": xy[:, 1]}), pd.DataFrame({"origin": "b", "x": np.arange(6.0), "y": 0.0}), pd.DataFrame({"origin": "c", "x": np.zeros(3), "y": 0.0})])
+    got = {(r["origin"], r["x"], r["y"]): r["rbar"] for r in sp.knn_mean_distance(spark.createDataFrame(pdf), 5).collect()}
+    for g, part in pdf.groupby("origin"):
+        pts = part[["x", "y"]].to_numpy()
+        for x, y in np.unique(pts, axis=0):
+            dist = np.sort(np.hypot(pts[:, 0] - x, pts[:, 1] - y))[1:6]
+            if len(dist) < 5:
+                assert (g, x, y) not in got
+            else:
+                assert got[g, x, y] == pytest.approx(dist.mean(), rel=1e-9, abs=1e-12)
+
+
 def test_sweep_against_rows(spark):
     p, y = RNG.random(2000), RNG.random(2000) < 0.3
     d = spark.createDataFrame(pd.DataFrame({"g": "a", "prob": p, "event": y}))
