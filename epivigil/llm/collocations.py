@@ -128,7 +128,7 @@ class Tokens:
         words = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(bounds), pa.py_buffer(_LOWER[data[solid]])).dictionary_encode()
         self.words, self.code = words.dictionary, words.indices.to_numpy().astype(np.int64)
         doc = np.searchsorted(ends, start, side="right")
-        self.piece = np.cumsum(kind == 2)[start] + doc
+        self.piece = np.searchsorted(np.flatnonzero(kind == 2), start) + doc
         lang = langs.dictionary_encode()
         self.langs, self.lang = lang.dictionary, lang.indices.to_numpy().astype(np.int64)[doc]
         self.hash = word_hashes(self.words)[self.code] if len(start) else np.zeros(0, np.uint64)
@@ -159,7 +159,7 @@ def _count(docs: DataFrame, wanted) -> DataFrame:
     """(lang, phrase, words, f): counts of the phrases at the places that ``wanted`` gives for a batch, as (number of words, places)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, 1 << 20, 16 << 20):
+        for b in slices(batches, 1 << 20, 8 << 20):
             tokens = Tokens(b.column(1), b.column(0))
             for n, at in wanted(tokens):
                 if len(at):
