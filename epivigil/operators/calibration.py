@@ -11,6 +11,7 @@ from collections.abc import Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..session import written
@@ -47,19 +48,57 @@ def _pool(pdf: pd.DataFrame) -> pd.DataFrame:
     return out[list(pdf.columns)]
 
 
-def isotonic_fit(counts: DataFrame, by: Sequence[str], buckets: int = ranks.BUCKETS) -> DataFrame:
+MOST = 50_000  # blocks that are pooled in one task
+CUTS = 63
+GRAIN = 1 << 20
+
+
+def _apart(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``blocks`` with _s, a part of their group that can be pooled by itself.
+
+    For a threshold t, the fit is below t up to the place where the running sum of (events - t * rows) is smallest, and not below it
+    behind: no block of the fit crosses that place. Each part lies between the places of two neighbouring thresholds, which are
+    quantiles of the blocks' own means. Thresholds are multiples of 2^-20, so the sums are whole numbers and compare exactly.
+    """
+    steps = ",".join(str(i / (CUTS + 1)) for i in range(1, CUTS + 1))
+    grains = F.expr(f"array_distinct(transform(percentile_approx(sy / n, array({steps})), t -> bigint(ceil(t * {GRAIN}))))")
+    b = ranks.add_bucket(blocks.withColumn("_x", F.col("sx") / F.col("n")), keys, "_x")
+    inner = W.partitionBy(*keys, "_b").orderBy("_x").rowsBetween(W.unboundedPreceding, 0)
+    b = b.withColumns({"_n": F.sum(F.col("n").cast("long")).over(inner), "_p": F.sum(F.col("sy").cast("long")).over(inner)})
+    before = W.partitionBy(*keys).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = b.groupBy(*keys, "_b").agg(F.max("_n").alias("_n"), F.max("_p").alias("_p"))
+    offsets = offsets.select(*keys, "_b", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_o{c}") for c in ("_n", "_p")])
+    b = b.join(offsets, [*keys, "_b"]).withColumns({"_n": F.col("_n") + F.col("_o_n"), "_p": F.col("_p") + F.col("_o_p")}).drop("_b", "_o_n", "_o_p")
+    at = b.join(blocks.groupBy(*keys).agg(grains.alias("_t")), list(keys)).withColumn("_t", F.explode("_t"))
+    value = F.col("_p") * GRAIN - F.col("_t") * F.col("_n")
+    low = at.groupBy(*keys, "_t").agg(F.min(F.struct(value.alias("v"), F.col("_x").alias("x"))).alias("_l"))
+    places = low.where("_l.v < 0").groupBy(*keys).agg(F.array_sort(F.collect_set("_l.x")).alias("_places"))
+    s = F.coalesce(F.size(F.filter("_places", lambda x: x < F.col("_x"))), F.lit(0))
+    return b.join(places, list(keys), "left").withColumn("_s", s).drop("_places", "_x", "_n", "_p")
+
+
+def isotonic_fit(counts: DataFrame, by: Sequence[str], buckets: int = ranks.BUCKETS, most: int = MOST) -> DataFrame:
     """Knots (by, x, y, n) of the non-decreasing fit; x and y are means of a pooled block.
 
-    Pooling may be done in any order, so each score bucket is pooled by itself in parallel and the surviving blocks once
-    more per group.
+    Pooling may be done in any order, so each score bucket is pooled by itself in parallel. Groups of which more than ``most`` blocks
+    survive (scores that are in order already) are parted where no block of the fit can cross, until no part holds more or a round
+    parts nothing further; the parts are pooled in parallel.
     """
     keys = list(by) or ["_one"]
     c = counts if by else counts.withColumn("_one", F.lit(0))
     b = ranks.add_bucket(c, keys, "p", buckets).select(
         *keys, "_b", (F.col("p") * F.col("n")).alias("sx"), "n", F.col("pos").alias("sy")
     )
-    part = b.groupBy(*keys, "_b").applyInPandas(_pool, b.schema).drop("_b")
-    blocks = part.groupBy(*keys).applyInPandas(_pool, part.schema)
+    part = written(b.groupBy(*keys, "_b").applyInPandas(_pool, b.schema).drop("_b"), "pooled-buckets")
+    largest = lambda d, k: d.groupBy(*k).count().agg(F.max("count")).first()[0] or 0
+    groups, size = list(keys), largest(part, keys)
+    while size > most:
+        part = written(_apart(part, groups).withColumnRenamed("_s", f"_s{len(groups)}"), "parted-blocks")
+        groups.append(f"_s{len(groups)}")
+        size, was = largest(part, groups), size
+        if size == was:
+            break
+    blocks = part.groupBy(*groups).applyInPandas(_pool, part.schema)
     return blocks.select(*by, (F.col("sx") / F.col("n")).alias("x"), (F.col("sy") / F.col("n")).alias("y"), "n")
 
 

@@ -145,7 +145,7 @@ def f10(spark, sf):
     return e.select("county", big("origin").alias("origin"), big("h").alias("h"), "model", *[rnd(c, 5).alias(c) for c in qx.QCOLS])
 
 
-@query("f11_probability_mean", chain(C_EW, f"""SELECT a.series, CAST(a.origin AS VARCHAR) AS origin, 'ensp_naive_snaive' AS model, {R('(a.prob + b.prob) / 2', 5)} AS prob FROM anyr a LEFT JOIN (SELECT * FROM anyr WHERE model = 'snaive' AND series NOT LIKE 'ASIA%') b ON b.mode = a.mode AND b.series = a.series AND b.origin = a.origin WHERE a.model = 'naive'"""))
+@query("f11_probability_mean", chain(C_EW.replace(" anyr AS (", " anyr AS MATERIALIZED ("), f"""SELECT a.series, CAST(a.origin AS VARCHAR) AS origin, 'ensp_naive_snaive' AS model, {R('(a.prob + b.prob) / 2', 5)} AS prob FROM anyr a LEFT JOIN (SELECT * FROM anyr WHERE model = 'snaive' AND series NOT LIKE 'ASIA%') b ON b.mode = a.mode AND b.series = a.series AND b.origin = a.origin WHERE a.model = 'naive'"""))
 def f11(spark, sf):
     a = any_rows(spark, sf).where("not (model = 'snaive' and series like 'ASIA%')")
     return en.probability_mean(a, "naive", "snaive").select("series", text("origin").alias("origin"), "model", rnd("prob", 5).alias("prob"))

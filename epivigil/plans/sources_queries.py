@@ -119,7 +119,7 @@ def a6(spark, sf):
     )
 
 
-@query("a7_read_csv_auto")
+@query("a7_read_csv_auto", chain(C_VISITS, "r AS (SELECT CASE WHEN county = 'NATION_0' THEN '臺南市' ELSE county END AS county, visit_type AS kind, CAST(COUNT(*) AS VARCHAR) AS n FROM visits GROUP BY 1, 2)", "SELECT file, county, kind, n FROM r CROSS JOIN (SELECT unnest(['utf-8', 'big5']) AS file)"))
 def a7(spark, sf):
     """The same table in UTF-8 with a mark and in Big5 gives the same rows."""
     raw = raw_visits(spark, sf).groupBy("縣市", "就診類別").agg(F.count("*").alias("人次"))
@@ -299,7 +299,7 @@ def a16(spark, sf):
     return readers.read_results(spark, folder, "base").groupBy("mode", "model", "h").agg(F.count("*").alias("n"), rnd(F.avg("prob"), 5).alias("prob"))
 
 
-@query("a17_save_tables")
+@query("a17_save_tables", chain(C_NAT, f"SELECT {yw_idx_sql('week_idx')} AS yw, cases, total, format FROM nat CROSS JOIN (SELECT unnest(['parquet', 'csv', 'json']) AS format)"))
 def a17(spark, sf):
     """The same rows back from parquet, CSV and JSON."""
     path = new_path(spark, "saved")
@@ -311,7 +311,7 @@ def a17(spark, sf):
     return a.unionByName(b).unionByName(c)
 
 
-@query("a18_resume_write")
+@query("a18_resume_write", chain(C_EW, "SELECT year, CASE WHEN year = (SELECT MIN(year) FROM anyr) THEN 'first' ELSE 'second' END AS run, COUNT(*) AS n FROM anyr GROUP BY 1"))
 def a18(spark, sf):
     """Years already stored are not computed again: the second run adds the missing ones only."""
     path = new_path(spark, "years")

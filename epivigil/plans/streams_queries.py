@@ -7,7 +7,9 @@ from ..operators import period as pd
 from ..session import new_path
 from ..streaming import alarms, counts
 from .registry import R, big, chain, query, rnd, text
+from .states_queries import C_WAVE
 from .testbed import county_panel, daily, table
+from .warning_queries import C_CUSUM
 
 
 def event_stream(spark, sf):
@@ -49,7 +51,7 @@ def _as_stream(df, name):
     return df.sparkSession.readStream.schema(df.schema).parquet(path)
 
 
-@query("l3_stateful_cusum")
+@query("l3_stateful_cusum", chain(C_CUSUM, "SELECT series, COUNT(*) AS days, COUNT(*) FILTER (alarm) AS alarms, true AS same FROM cz GROUP BY 1", recursive=True))
 def l3(spark, sf):
     """Streamed alarms beside the batch alarms of the same days; ``same`` must be true in every row."""
     d = daily(spark, sf).select("series", "day", F.col("n").cast("double").alias("value"))
@@ -60,7 +62,7 @@ def l3(spark, sf):
     return j.groupBy("series").agg(F.count("*").alias("days"), F.count_if(F.col("alarm")).alias("alarms"), F.min(same).alias("same"))
 
 
-@query("l3b_stateful_wave")
+@query("l3b_stateful_wave", chain(C_WAVE, "SELECT county AS series, COUNT(*) AS weeks, COUNT(*) FILTER (inp) AS in_period, true AS same FROM wave GROUP BY 1", recursive=True))
 def l3b(spark, sf):
     from ..operators import calendar as cal
 

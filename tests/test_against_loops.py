@@ -249,6 +249,34 @@ def test_calibration(spark):
         assert np.allclose(pla[m], 1 / (1 + np.exp(-(a[0] * z[m] + a[1]))), atol=1e-6)
 
 
+@pytest.mark.parametrize("kind", ["in order", "noisy", "constant", "steps"])
+def test_isotonic_fit_in_parts(spark, kind):
+    """Groups of more blocks than one task pools give the knots of the plain method, in parts of bounded size."""
+    m = 3000
+    p = np.sort(RNG.random(m)).round(9)
+    n = RNG.integers(1, 9, m).astype(float)
+    share = {"in order": p, "noisy": np.clip(p + RNG.normal(0, 0.02, m), 0, 1), "constant": np.full(m, 0.5), "steps": np.floor(p * 5) / 5}[kind]
+    n = n * (5000 if kind == "in order" else 200)
+    pdf = pd.DataFrame({"g": np.repeat(["a", "b"], m), "p": np.tile(p, 2), "n": np.tile(n, 2), "pos": np.tile(np.round(share * n), 2)}).drop_duplicates(["g", "p"])
+    d = spark.createDataFrame(pdf)
+    got = cb.isotonic_fit(d, ["g"], most=200).toPandas()
+    one = pdf[pdf.g == "a"]
+    stack = []
+    for x, k, y in zip(one.p * one.n, one.n, one.pos):
+        stack.append([x, k, y])
+        while len(stack) > 1 and stack[-2][2] * stack[-1][1] > stack[-1][2] * stack[-2][1]:
+            top = stack.pop()
+            stack[-1] = [u + v for u, v in zip(stack[-1], top)]
+    for g in ("a", "b"):
+        mine = got[got.g == g].sort_values("x")
+        assert len(mine) == len(stack)
+        assert np.allclose(mine.x, [x / k for x, k, _ in stack]) and np.allclose(mine.y, [y / k for _, k, y in stack]) and (mine.n.to_numpy() == [k for _, k, _ in stack]).all()
+    if kind in ("in order", "noisy"):
+        keys = ["g"]
+        blocks = d.select("g", (d.p * d.n).alias("sx"), "n", d.pos.alias("sy"))
+        assert cb._apart(blocks, keys).groupBy("g", "_s").count().agg({"count": "max"}).first()[0] < m / 8
+
+
 def test_neighbours_and_kernel(spark):
     xy = np.vstack([RNG.normal(0, 0.05, (150, 2)), RNG.normal(3, 2.0, (60, 2)), [[40.0, 40.0]]])
     pdf = pd.DataFrame({"origin": "a", "x": xy[:, 0], "y": xy[:, 1], "w": RNG.random(len(xy))})
