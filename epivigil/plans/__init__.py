@@ -4,7 +4,7 @@ import importlib
 
 from .registry import QUERIES, SQL
 
-_MODULES = ["sources", "scalars", "weeks", "panels", "cases", "forecasting", "scoring", "states", "warning", "calibrating", "space", "streams"]
+_MODULES = ["sources", "scalars", "weeks", "panels", "cases", "forecasting", "scoring", "states", "warning", "calibrating", "asof", "space", "streams"]
 
 
 def _load() -> None:
