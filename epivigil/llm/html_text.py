@@ -37,9 +37,9 @@ LINES = frozenset(("p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "summary", "c
 CLOSES = {"p": ("p",), "li": ("li", "p"), "dt": ("dt", "dd", "p"), "dd": ("dt", "dd", "p"), "tr": ("td", "th", "tr", "p"), "td": ("td", "th", "p"), "th": ("td", "th", "p")}
 CHROME_ROLES = frozenset(("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar"))
 CHROME_WORDS = frozenset((
-    "ad", "ads", "adsense", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "byline", "comment", "comments", "consent", "cookie", "cookies", "disqus",
-    "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "overlay", "pager", "pagination", "paywall", "popup",
-    "promo", "promotion", "related", "replies", "reply", "respond", "search", "share", "sharing", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar", "widget", "widgets",
+    "ad", "ads", "adsense", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus",
+    "footer", "gdpr", "login", "masthead", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "notification", "overlay", "pagination", "paywall", "popup",
+    "promo", "promotion", "related", "replies", "reply", "respond", "sidebar", "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "toolbar", "topbar",
 ))
 DISCUSSION = frozenset(("comment", "comments", "disqus", "replies", "reply", "respond"))
 
@@ -69,7 +69,6 @@ class Lines:
     def __init__(self) -> None:
         self.text: list[str] = []
         self.weight: list[int] = []  # characters outside links
-        self.inside: list[bool] = []  # in an article or main element
         self.heading: list[bool] = []
         self.leaf: list[int] = []  # the innermost block
         self.parent: list[int] = [-1]
@@ -98,7 +97,6 @@ def lines_of(page: str) -> Lines:
             if line:
                 out.text.append(line)
                 out.weight.append(max(0, len(line) - 2 * sum(len(x) for x, linked in pieces if linked)))
-                out.inside.append(article > 0)
                 out.heading.append(heading)
                 out.leaf.append(block)
                 out.hider.append(by)
@@ -186,7 +184,7 @@ def _shown(lines: Lines, hiders: dict[int, list]) -> None:
                 hiders[up][k] += n
     for h, (up, *_) in hiders.items():
         kept[h] = kept[h] and kept[up]
-    for name in ("text", "weight", "inside", "heading", "leaf", "hider"):
+    for name in ("text", "weight", "heading", "leaf", "hider"):
         setattr(lines, name, [x for x, h in zip(getattr(lines, name), lines.hider) if kept[h]] if name != "hider" else [])
 
 
@@ -216,8 +214,6 @@ def main_text(page: str | None) -> str:
     """The article's blocks, joined by line ends; an empty text for a null page or one without text."""
     lines = lines_of(page or "")
     n = len(lines.text)
-    if any(lines.inside):
-        return "\n".join(x for x, inside in zip(lines.text, lines.inside) if inside)
     weight = np.array(lines.weight, float)
     sums = np.convolve(weight, np.ones(WINDOW))[WINDOW - 1 :] if n else weight  # of a line and the next ones
     runs, start = [], None
