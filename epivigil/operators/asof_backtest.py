@@ -50,7 +50,8 @@ def overlay_quantiles(shared: np.ndarray, own: np.ndarray, levels: Sequence[floa
         return np.where(from_own, own.ravel()[spot], padded[np.clip(rank - before, 0, len(shared))])
 
     a = at(low)
-    out = a + (at(high) - a) * (pos - low)
+    with np.errstate(invalid="ignore"):  # rows without a value
+        out = a + (at(high) - a) * (pos - low)
     out[count == 0] = np.nan
     return out
 
@@ -66,8 +67,11 @@ class _Series:
         self.s7 = _sums7(self.final)
         self.dmax = dmax
 
-    def seen(self, origins: np.ndarray, mode: Mode, share: np.ndarray, back: int) -> np.ndarray:
-        """Daily counts of the last ``back`` days as seen at each origin (one row each, the origin's day last; 0 before the first day)."""
+    def seen(self, origins: np.ndarray, mode: Mode, share: np.ndarray, back: int, zeros: bool = False) -> np.ndarray:
+        """Daily counts of the last ``back`` days as seen at each origin (one row each, the origin's day last; 0 before the first day).
+
+        With ``zeros`` the days before the first one count in a nowcast's level.
+        """
         k = np.arange(back - 1, -1, -1)
         day = origins[:, None] - k
         late = np.minimum(k, self.dmax)
@@ -80,7 +84,7 @@ class _Series:
         if mode.kind == "nowcast":
             known, source, first, last = out, out / c, 8, 35
             for _ in range(mode.passes):
-                lag = (k >= first) & (k <= last) & (day >= 0)
+                lag = (k >= first) & (k <= last) & (zeros | (day >= 0))
                 level = np.where(lag, source, 0.0).sum(axis=1) / np.maximum(lag.sum(axis=1), 1)
                 add = (mode.beta * level[:, None] + known) * (1 - c) / (mode.beta + c)
                 if mode.report_triggered:
@@ -154,6 +158,66 @@ def _block(s: _Series, origins: np.ndarray, mode: Mode, share: np.ndarray, model
     return x7[:, -1], thr, out
 
 
+def _calendar(hist: DataFrame) -> tuple[datetime.date, int] | None:
+    """First onset day and number of days."""
+    span = hist.agg(F.min("onset").alias("a"), F.max("onset").alias("b")).first()
+    return None if span["a"] is None else (span["a"], (span["b"] - span["a"]).days + 1)
+
+
+def _shares(hist: DataFrame, comp: DataFrame | None, start: datetime.date, days: int, modes: Sequence[Mode], dmax: int) -> np.ndarray:
+    """Completeness by day and delay: days times dmax + 1 numbers, whatever the number of cases; 1 where ``comp`` has no row."""
+    share = np.ones((days, dmax + 1))
+    if any(m.kind in ("asof_adj", "nowcast") for m in modes):
+        if comp is None:
+            calendar = hist.sparkSession.range(days).select(F.date_add(F.lit(start), F.col("id").cast("int")).alias("origin"))
+            comp = ll.completeness(hist, calendar, dmax=dmax)
+        known = comp.where((F.col("origin") >= F.lit(start)) & (F.col("origin") < F.date_add(F.lit(start), days)) & (F.col("k") <= dmax)).toPandas()
+        share[(pd.to_datetime(known["origin"]) - pd.Timestamp(start)).dt.days, known["k"]] = known["share"]
+    return share
+
+
+def seen_counts(hist: DataFrame, origins: DataFrame, mode: str, back: int, dmax: int = ll.DMAX, comp: DataFrame | None = None,
+                summed: dict[str, int] | None = None, zeros: bool = True) -> DataFrame:
+    """(origin, series, onset, k, n): the last ``back`` onset days as each origin sees them in ``mode``, zeros included.
+
+    One pass over each series' cells answers all origins; no table of series, origins and days is joined. ``summed`` (column name ->
+    number of days) gives (origin, series, one sum for each) instead of the days. ``comp`` is a completeness table (origin, k, share);
+    by default it is made from the histogram. Origins outside the days of the histogram are left out. ``zeros``: days before the first
+    one are days without cases.
+    """
+    m = parse_mode(mode)
+    fields = "origin date, series string, " + (", ".join(f"{c} double" for c in summed) if summed else "onset date, k int, n double")
+    found = _calendar(hist)
+    if found is None:
+        return hist.sparkSession.createDataFrame([], fields)
+    start, days = found
+    share = _shares(hist, comp, start, days, [m], dmax)
+    wanted = np.unique([(r[0] - start).days for r in origins.select("origin").distinct().collect()]).astype(np.int64)  # days of a calendar
+    wanted = wanted[(wanted >= 0) & (wanted < days)]
+    zero = (start - datetime.date(1970, 1, 1)).days
+    width = max(back, 36, *(summed or {}).values())
+
+    def run(cells: pa.Table) -> pa.Table:
+        name = cells.column("series")[0].as_py()
+        s = _Series(cells.column("onset").cast(pa.int32()).to_numpy() - zero, cells.column("delay").to_numpy(), cells.column("n").to_numpy().astype(float), days, dmax)
+        parts = []
+        for a in range(0, len(wanted), 512):
+            o = wanted[a : a + 512]
+            seen = s.seen(o, m, share, width, zeros)
+            day = lambda x: pa.array((x + zero).astype(np.int32).ravel()).cast(pa.date32())
+            if summed:
+                columns = [day(o), pa.repeat(pa.scalar(name, pa.string()), len(o)), *[pa.array(seen[:, width - n :].sum(axis=1)) for n in summed.values()]]
+            else:
+                k = np.tile(np.arange(back, dtype=np.int32), (len(o), 1))
+                columns = [day(np.repeat(o, back)), pa.repeat(pa.scalar(name, pa.string()), k.size), day(o[:, None] - k), pa.array(k.ravel()), pa.array(seen[:, ::-1][:, :back].ravel())]
+            parts.append(pa.table(columns, names=[f.split()[0] for f in fields.split(", ")]))
+        return pa.concat_tables(parts) if parts else _no_rows
+
+    kinds = {"date": pa.date32(), "string": pa.string(), "double": pa.float64(), "int": pa.int32()}
+    _no_rows = pa.schema([pa.field(f.split()[0], kinds[f.split()[1]]) for f in fields.split(", ")]).empty_table()
+    return spread(hist.select("series", "onset", "delay", "n"), ["series"]).groupBy("series").applyInArrow(run, fields)
+
+
 def early_warning(
     hist: DataFrame, modes: Sequence[str], models: Sequence[str] = ("naive", "snaive"), horizon: int = 14, hs: Sequence[int] | None = None, season: int = 364,
     window: int = 728, warmup: int = 365, weeks: int = 3, factor: float = 2.0, floor: float = 3.0, short_season: str = "last", dmax: int = ll.DMAX,
@@ -165,18 +229,13 @@ def early_warning(
     seasonal model, ``short_season`` = "last" gives the last value's forecast and "none" no row.
     """
     hs = list(hs) if hs else list(range(1, horizon + 1))
-    span = hist.agg(F.min("onset").alias("a"), F.max("onset").alias("b")).first()
+    found = _calendar(hist)
     schema = "mode string, model string, series string, origin date, h int, y double, y_origin double, s7 double, thr double, thr_final double, median double, " + ", ".join(f"{q} double" for q in QCOLS)
-    if span["a"] is None:
+    if found is None:
         return hist.sparkSession.createDataFrame([], schema)
-    start, days = span["a"], (span["b"] - span["a"]).days + 1
+    start, days = found
     parsed = {m: parse_mode(m) for m in modes}
-    share = np.ones((days, dmax + 1))
-    if any(m.kind in ("asof_adj", "nowcast") for m in parsed.values()):
-        calendar = hist.sparkSession.range(days).select(F.date_add(F.lit(start), F.col("id").cast("int")).alias("origin"))
-        comp = ll.completeness(hist, calendar, dmax=dmax).toPandas()
-        share[(pd.to_datetime(comp["origin"]) - pd.Timestamp(start)).dt.days, comp["k"]] = comp["share"]
-
+    share = _shares(hist, None, start, days, list(parsed.values()), dmax)
     names = [c.split()[0] for c in schema.split(", ")]
     zero = (start - datetime.date(1970, 1, 1)).days
 

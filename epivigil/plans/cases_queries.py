@@ -3,8 +3,8 @@
 from pyspark.sql import functions as F
 
 from ..functions import labels as lb
+from ..operators import asof_backtest as ab
 from ..operators import linelist as ll
-from ..operators import nowcast as nc
 from .registry import R, big, chain, query, rnd, rounded, text
 from .sources_queries import C_SNAP, snapshot
 from .testbed import C_DAILY, C_HIST, C_LL, C_ORIGINS, CITIES, daily, histogram, line_list, daily_origins, stored
@@ -78,8 +78,8 @@ def _gp(passes, triggered):
  f"SELECT CAST(origin AS VARCHAR) AS origin, series, {R('SUM(o)', 5)} AS n FROM gp2 WHERE k < 7 GROUP BY 1, 2"))
 def e6(spark, sf):
     h, o = histogram(spark, sf), daily_origins(spark, sf)
-    out = nc.gamma_poisson(nc.dense_known(h, o, 36), comp_table(spark, sf), 7.0, passes=2, report_triggered=True, dmax=DMAX)
-    return nc.window_sums(out, 7, "n").select(text("origin").alias("origin"), "series", rnd("n", 5).alias("n"))
+    out = ab.seen_counts(h, o, "asof_ncr7x2", 36, DMAX, comp_table(spark, sf), summed={"n": 7})
+    return out.select(text("origin").alias("origin"), "series", rnd("n", 5).alias("n"))
 
 
 @query("e7_context_modes", chain(C_HIST, C_ORIGINS, C_KNOWN.format(back=36), C_COMP.replace(f"{LOOK + DMAX}", f"{730 + DMAX}"), C_DENSE, _gp(1, False),
@@ -90,7 +90,7 @@ def e7(spark, sf):
     h, o = histogram(spark, sf), daily_origins(spark, sf)
     out = None
     for mode in ("final", "asof", "asof_adj", "asof_nc7"):
-        c = nc.context_counts(h, o, mode, 7, DMAX)
+        c = ab.seen_counts(h, o, mode, 7, DMAX)
         g = c.groupBy(F.lit(mode).alias("mode"), text("origin").alias("origin")).agg(rnd(F.sum("n"), 5).alias("n"))
         out = g if out is None else out.unionByName(g)
     return out
@@ -109,8 +109,8 @@ def e9(spark, sf):
 @query("e9b_asof_thresholds", chain(C_HIST, C_ORIGINS, C_KNOWN.format(back=36), C_COMP, C_DENSE, f"""SELECT CAST(d.origin AS VARCHAR) AS origin, series, {R('SUM(CASE WHEN d.k < 7 THEN r / GREATEST(share, 0.2) ELSE 0 END)', 5)} AS s7, {R('GREATEST(2.0 / 3 * SUM(r / GREATEST(share, 0.2)), 3)', 5)} AS thr
  FROM dense d JOIN comp c ON c.origin = d.origin AND c.k = d.k WHERE d.k < 21 GROUP BY 1, 2"""))
 def e9b(spark, sf):
-    k = nc.dense_known(histogram(spark, sf), daily_origins(spark, sf), 21)
-    t = nc.context_thresholds(ll.adjusted_counts(k, comp_table(spark, sf), DMAX))
+    t = ab.seen_counts(histogram(spark, sf), daily_origins(spark, sf), "asof_adj", 21, DMAX, comp_table(spark, sf), summed={"s7": 7, "s21": 21})
+    t = t.withColumn("thr", F.greatest(F.lit(2.0 / 3) * F.col("s21"), F.lit(3.0)))
     return t.select(text("origin").alias("origin"), "series", rnd("s7", 5).alias("s7"), rnd("thr", 5).alias("thr"))
 
 
