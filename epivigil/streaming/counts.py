@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,9 +13,9 @@ from ..sources.sinks import overwrite_partitions
 
 
 def daily_counts(cases: DataFrame, by: Sequence[str], onset: str = "onset", n: Column | None = None, max_delay: str = "120 days") -> DataFrame:
-    """Cases per series and onset day. The watermark is the largest tracked delay; later reports are dropped.
+    """Cases per series and onset day, in state that forgets days older than the largest tracked delay.
 
-    In batch a longer delay counts as the cap, so both forms agree for delays below it.
+    Reports later than that are dropped; ``additive_counts`` takes them all.
     """
     amount = F.sum(n) if n is not None else F.count("*")
     return (
@@ -34,20 +34,66 @@ def sliding_counts(cases: DataFrame, by: Sequence[str], onset: str = "onset", n:
     )
 
 
-def upsert_snapshots(snapshots: DataFrame, path: str, checkpoint: str, date_col: str = "fetched_on", once: bool = True) -> StreamingQuery:
-    """Each micro-batch replaces the stored partitions of its dates. A batch that runs again writes the same partitions.
+def additive_counts(cases: DataFrame, by: Sequence[str], path: str, checkpoint: str, onset: str = "onset", n: Column | None = None, once: bool = True) -> StreamingQuery:
+    """Counts per series and onset day that take every report, however late: no watermark, no state that grows with the days.
 
-    A date must arrive whole within one batch, as a fetched snapshot does.
+    Each micro-batch stores its own sums in a partition with its number. A batch that runs again after a failure replaces them, so each
+    report counts once. ``current_counts`` adds the batches up; ``fold_counts`` keeps their number small.
     """
+    amount = F.sum(n) if n is not None else F.count("*")
+
+    def store(batch: DataFrame, number: int) -> None:
+        sums = batch.groupBy(*by, F.to_date(onset).alias("day")).agg(amount.alias("n"))
+        overwrite_partitions(sums.withColumns({"folded": F.lit(0), "batch": F.lit(number).cast("long")}), path, ["folded", "batch"])
+
+    w = cases.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
+    return (w.trigger(availableNow=True) if once else w).start()
+
+
+def _batches(spark: SparkSession, path: str) -> tuple[DataFrame, int]:
+    """Stored sums that count: the newest folded part, and the batches behind it; and the last batch that part holds (-1: none)."""
+    d = spark.read.parquet(path)
+    last = d.where("folded = 1").agg(F.max("batch")).first()[0]
+    last = -1 if last is None else last
+    return d.where(((F.col("folded") == 1) & (F.col("batch") == last)) | ((F.col("folded") == 0) & (F.col("batch") > last))), last
+
+
+def current_counts(spark: SparkSession, path: str, by: Sequence[str]) -> DataFrame:
+    """(by, day, n) of all reports that ``additive_counts`` has stored so far."""
+    return _batches(spark, path)[0].groupBy(*by, "day").agg(F.sum("n").alias("n"))
 
-    def store(batch: DataFrame, _id: int) -> None:
+
+def fold_counts(spark: SparkSession, path: str, by: Sequence[str]) -> None:
+    """Store the sum of all batches so far as one part, named after the last of them; readers take it instead as soon as it is there."""
+    d, _ = _batches(spark, path)
+    upto = d.agg(F.max("batch")).first()[0]
+    if upto is not None:
+        sums = d.where(F.col("batch") <= upto).groupBy(*by, "day").agg(F.sum("n").alias("n"))
+        overwrite_partitions(sums.withColumns({"folded": F.lit(1), "batch": F.lit(upto).cast("long")}), path, ["folded", "batch"])
+
+
+def upsert_snapshots(snapshots: DataFrame, path: str, checkpoint: str, run: str, date_col: str = "fetched_on", once: bool = True) -> StreamingQuery:
+    """Store snapshots by (date, run, batch). ``run`` names one fetch, in an order that sorts (a time, for instance).
+
+    A date that is split over several micro-batches adds up within its run; a batch that runs again writes the same partitions; a later
+    run of the same date replaces the earlier one for ``read_snapshots``.
+    """
+
+    def store(batch: DataFrame, number: int) -> None:
         if not batch.isEmpty():
-            overwrite_partitions(batch, path, [date_col])
+            overwrite_partitions(batch.withColumns({"run": F.lit(run), "batch": F.lit(number).cast("long")}), path, [date_col, "run", "batch"])
 
     w = snapshots.writeStream.foreachBatch(store).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
 
 
+def read_snapshots(spark: SparkSession, path: str, schema: str, date_col: str = "fetched_on") -> DataFrame:
+    """All parts of each date's newest run. ``schema``: the snapshot's columns with the date. Which run is newest is seen by folder names."""
+    d = spark.read.schema(f"{schema}, run string, batch long").parquet(path)
+    newest = d.select(date_col, "run").distinct().groupBy(date_col).agg(F.max("run").alias("run"))
+    return d.join(newest, [date_col, "run"], "left_semi").drop("run", "batch")
+
+
 def run_to_table(stream: DataFrame, mode: str = "complete", name: str = "stream") -> DataFrame:
     """Run a stream over what is available now and give the result as a table; state and result are in the shared folder.
 
