@@ -186,6 +186,7 @@ def bandwidth(points: DataFrame, width: Width, by: Sequence[str] = ("origin",))
 
 STEP = 6  # halvings of the cells in a round
 CROWD = 16  # times k points in a block are a crowd
+MOST_BANDS = 4096  # of a polygon
 
 
 def _fitting(places: DataFrame, k: int, by: Sequence[str], size0: float, coarse: int, fine: int) -> DataFrame:
@@ -457,7 +458,8 @@ def assign_polygons(points: DataFrame, vertices: DataFrame) -> DataFrame:
     """(x, y, village_code) for the distinct coordinates inside a polygon (even-odd test per ring, any ring counts).
 
     A polygon sits in the cells (at most 2x2) of the size that fits its box; a point looks into one cell of each size in
-    use. The parity of edges crossed to the right decides. Several polygons: the smallest code.
+    use. The parity of edges crossed to the right decides; edges are cut into bands by y, and a point meets those of its band, so a
+    polygon of many edges is neither one task's nor read whole for each point. Several polygons: the smallest code.
     """
     box = vertices.groupBy("village_code").agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
     box = box.withColumn("l", _level(F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0"), F.lit(1e-9))))
@@ -468,7 +470,14 @@ def assign_polygons(points: DataFrame, vertices: DataFrame) -> DataFrame:
     probe = pts.withColumn("l", F.explode(sizes)).withColumns({"cx": _cell("x", size), "cy": _cell("y", size)})
     cand = probe.join(cells, ["l", "cx", "cy"]).where(F.col("x").between(F.col("x0"), F.col("x1")) & F.col("y").between(F.col("y0"), F.col("y1")))
     e = ring_edges(vertices).select("village_code", "ring", F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("x2").alias("bx"), F.col("y2").alias("by"))
-    t = cand.select("x", "y", "village_code").join(e, "village_code")
+    low, high = F.least("ay", "by"), F.greatest("ay", "by")
+    # bands of one height in each polygon; so many that its edges, cut at them, are at most twice as many
+    bands = e.groupBy("village_code").agg(F.min(low).alias("y0"), (F.max(high) - F.min(low)).alias("_h"), F.count("*").alias("_n"), F.sum(high - low).alias("_s"))
+    number = F.greatest(F.lit(1), F.least(F.lit(MOST_BANDS), F.floor(F.col("_n") * F.col("_h") / F.nullif(F.col("_s"), F.lit(0.0))).cast("int")))
+    bands = written(bands.select("village_code", "y0", "_h", F.coalesce(number, F.lit(1)).alias("_b")), "bands")
+    band = lambda y: F.when(F.col("_h") > 0, F.least(F.col("_b") - 1, F.greatest(F.lit(0), F.floor((y - F.col("y0")) / F.col("_h") * F.col("_b")).cast("int")))).otherwise(0)
+    cut = e.join(bands, "village_code").withColumn("_at", F.explode(F.sequence(band(low), band(high)))).drop("y0", "_h", "_b")
+    t = cand.select("x", "y", "village_code").join(bands, "village_code").withColumn("_at", band(F.col("y"))).drop("y0", "_h", "_b").join(cut, ["village_code", "_at"])
     spans = (F.col("ay") > F.col("y")) != (F.col("by") > F.col("y"))
     cross = spans & (F.col("x") < (F.col("bx") - F.col("ax")) * (F.col("y") - F.col("ay")) / F.nullif(F.col("by") - F.col("ay"), F.lit(0.0)) + F.col("ax"))
     hit = t.groupBy("x", "y", "village_code", "ring").agg(F.count_if(F.when(spans, cross).otherwise(False)).alias("c")).where(F.col("c") % 2 == 1)

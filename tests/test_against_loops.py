@@ -312,6 +312,29 @@ def test_neighbours_in_crowds_and_far_points(spark):
                 assert got[g, x, y] == pytest.approx(dist.mean(), rel=1e-9, abs=1e-12)
 
 
+def test_polygons_of_many_edges(spark):
+    """A ragged ring of 3,000 edges, a comb whose edges all span its height, a hole-like second ring, and a flat polygon."""
+    m = 3000
+    ang = np.linspace(0, 2 * np.pi, m, endpoint=False)
+    rad = 5 + RNG.random(m)
+    comb = [(i * 0.01, 0.0 if i % 2 else 3.0) for i in range(200)] + [(2.0, -1.0), (0.0, -1.0)]
+    rings = {("star", 0): list(zip(rad * np.cos(ang), rad * np.sin(ang))), ("comb", 0): [(x + 10, y) for x, y in comb], ("two", 0): [(20, 0), (24, 0), (24, 4), (20, 4)], ("two", 1): [(26, 1), (27, 1), (27, 2)], ("flat", 0): [(30, 1), (31, 1), (32, 1)]}
+    rows = [(v, r, k, float(x), float(y)) for (v, r), pts in rings.items() for k, (x, y) in enumerate(pts)]
+    xy = np.vstack([RNG.uniform(-7, 7, (700, 2)), RNG.uniform([9, -2], [13, 4], (500, 2)), RNG.uniform([19, -1], [33, 5], (300, 2)), [[24.0, 4.0], [20.0, 0.0]]])
+    got = {(r["x"], r["y"]): r["village_code"] for r in sp.assign_polygons(spark.createDataFrame(pd.DataFrame(xy, columns=["x", "y"])), spark.createDataFrame(rows, "village_code string, ring int, seq int, x double, y double")).collect()}
+    for x, y in xy:
+        inside = set()
+        for (v, _), pts in rings.items():
+            a = np.array(pts, float)
+            b = np.roll(a, -1, axis=0)
+            span = (a[:, 1] > y) != (b[:, 1] > y)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                cross = span & (x < (b[:, 0] - a[:, 0]) * (y - a[:, 1]) / (b[:, 1] - a[:, 1]) + a[:, 0])
+            if cross.sum() % 2:
+                inside.add(v)
+        assert got.get((x, y)) == (min(inside) if inside else None)
+
+
 def test_sweep_against_rows(spark):
     p, y = RNG.random(2000), RNG.random(2000) < 0.3
     d = spark.createDataFrame(pd.DataFrame({"g": "a", "prob": p, "event": y}))
