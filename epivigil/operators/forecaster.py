@@ -1,18 +1,20 @@
 """Contexts handed to a user's forecaster, and the run of configured backtests.
 
 A forecaster is ``fn(contexts, horizon, extras) -> (n, horizon, 9)`` deciles for a list of 1-D (or joint 2-D) arrays.
-It runs inside ``mapInPandas`` on Arrow batches, one row per context, so memory is bounded by the batch size.
+It runs inside ``mapInPandas`` on Arrow batches, one row per context, so memory is bounded by the batch size. A series is shuffled as one
+row, whatever the number of its origins.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import QCOLS
@@ -63,47 +65,114 @@ def suite(name: str, target: str, horizon: int = 4) -> list[Config]:
     return grids[name]
 
 
+OUT_VALUES = 1 << 20  # values of contexts in a batch
+
+
+def _steps(df: DataFrame, by: Sequence[str], idx: str, values: Sequence[str], keep: Column | None, series: str | None = None) -> DataFrame:
+    """One row for each group: its steps in order as arrays _i, _ok, _v0, _v1, ... (and _s, the series). Linear in the steps."""
+    d = df.withColumn("_ok", F.lit(True) if keep is None else F.coalesce(keep, F.lit(False)))
+    parts = {**({"_s": F.col(series).cast("string")} if series else {}), "_i": F.col(idx), "_ok": F.col("_ok"), **{f"_v{j}": F.col(c).cast("double") for j, c in enumerate(values)}}
+    g = d.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*[c.alias(n) for n, c in parts.items()]))).alias("_steps"))
+    return g.select(*by, *[F.col(f"_steps.{n}").alias(n) for n in parts])
+
+
+class _Values:
+    """Values of one column of a series, of which some may be null: the known ones, and how many of them stand before each step."""
+
+    def __init__(self, values: pa.Array):
+        known = pc.is_valid(values).to_numpy(zero_copy_only=False)
+        self.known = pc.drop_null(values).to_numpy(zero_copy_only=False)
+        self.before = np.concatenate([[0], np.cumsum(known)])
+
+    def between(self, a: int, b: int) -> np.ndarray:
+        """Known values of the steps a .. b - 1: a view, no copy."""
+        return self.known[self.before[max(a, 0)] : self.before[min(max(b, 0), len(self.before) - 1)]]
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(parts) if parts else np.zeros(0)))
+
+
+def _groups(n: list[int]) -> list[tuple[int, int]]:
+    """Runs of rows of at most about ``OUT_VALUES`` values."""
+    out, a, total = [], 0, 0
+    for i, size in enumerate(n):
+        if i > a and total + size > OUT_VALUES:
+            out.append((a, i))
+            a, total = i, 0
+        total += size
+    return [*out, (a, len(n))] if len(n) > a else out
+
+
 def contexts(
     df: DataFrame, by: Sequence[str], idx: str, value: str, warmup: int, horizon: int, window: int | None = None,
     keep: Column | None = None, with_truth: bool = True, past: Sequence[str] = (),
 ) -> DataFrame:
-    """(by, origin, context array, truth array): the values before and after each origin, from one window per series.
+    """(by, origin, context array, truth array): the values before and after each origin.
 
-    Columns named in ``past`` come along as arrays over the same steps (past_<name>).
+    A series is shuffled once, as one row; its contexts are cut out of it in the tasks that use them. Columns named in ``past`` come
+    along as arrays over the same steps (past_<name>).
     """
-    w = W.partitionBy(*by).orderBy(idx)
-    lo = W.unboundedPreceding if window is None else -(window - 1)
-    d = df.withColumns(
-        {
-            "_n": F.row_number().over(w),
-            "context": F.collect_list(F.col(value).cast("double")).over(w.rowsBetween(lo, 0)),
-            "truth": F.collect_list(F.col(value).cast("double")).over(w.rowsBetween(1, horizon)),
-            **{f"past_{c}": F.collect_list(F.col(c).cast("double")).over(w.rowsBetween(lo, 0)) for c in past},
-        }
-    )
-    ok = F.col("_n") >= warmup
-    if with_truth:
-        ok = ok & (F.size("truth") == horizon)
-    if keep is not None:
-        ok = ok & keep
-    return d.where(ok).select(*by, F.col(idx).alias("origin"), "context", "truth", *[f"past_{c}" for c in past])
+    wide = _steps(df, by, idx, [value, *past], keep)
+    names = [*by, "origin", "context", "truth", *[f"past_{c}" for c in past]]
+    kinds = [df.schema[c].dataType.simpleString() for c in (*by, idx)] + ["array<double>"] * (2 + len(past))
+    heads = len(by)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                steps, ok = b.column(heads)[row].values, b.column(heads + 1)[row].values.to_numpy(zero_copy_only=False)
+                cols = [_Values(b.column(heads + 2 + j)[row].values) for j in range(1 + len(past))]
+                n = len(steps)
+                at = [p for p in range(max(warmup, 1) - 1, n) if ok[p] and (not with_truth or len(cols[0].between(p + 1, p + 1 + horizon)) == horizon)]
+                low = [0 if window is None else p - window + 1 for p in at]
+                for x, y in _groups([p + 1 - max(a, 0) for p, a in zip(at, low)]):
+                    spans = list(zip(low[x:y], at[x:y]))
+                    found = [[c.between(a, p + 1) for a, p in spans] for c in cols]
+                    truth = [cols[0].between(p + 1, p + 1 + horizon) for _, p in spans]
+                    keys = [pa.repeat(b.column(k)[row], y - x) for k in range(heads)]
+                    yield pa.RecordBatch.from_arrays([*keys, steps.take(pa.array(at[x:y])), _lists(found[0]), _lists(truth), *map(_lists, found[1:])], names=names)
+
+    return wide.mapInArrow(cut, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
 
 
 def joint_contexts(
-    long: DataFrame, series: str, by: Sequence[str], idx: str, value: str, order: Sequence[str], **kw
+    long: DataFrame, series: str, by: Sequence[str], idx: str, value: str, order: Sequence[str], warmup: int, horizon: int, window: int | None = None,
+    keep: Column | None = None, with_truth: bool = True,
 ) -> DataFrame:
     """Contexts of several series side by side per origin: ``context`` becomes array<array<double>> in ``order``.
 
-    Only origins where every series is present stay.
+    Only origins where every series is present stay. The series of a group are shuffled once, as one row.
     """
-    c = contexts(long, [*by, series], idx, value, **kw)
-    pos = F.array_position(F.array(*[F.lit(o) for o in order]), F.col(series))
-    g = c.groupBy(*by, "origin").agg(
-        F.array_sort(F.collect_list(F.struct(pos.alias("p"), F.col(series).alias("s"), "context", "truth"))).alias("_j")
-    )
-    return g.where(F.size("_j") == len(order)).select(
-        *by, "origin", F.col("_j.s").alias("names"), F.col("_j.context").alias("context"), F.col("_j.truth").alias("truth")
-    )
+    wide = _steps(long.where(F.col(series).isin(list(order))), by, idx, [value], keep, series)
+    names = [*by, "origin", "names", "context", "truth"]
+    kinds = [long.schema[c].dataType.simpleString() for c in (*by, idx)] + ["array<string>", "array<array<double>>", "array<array<double>>"]
+    heads = len(by)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for row in range(b.num_rows):
+                of, steps, ok, values = (b.column(heads + j)[row].values for j in range(4))
+                parts = {}
+                for name in order:
+                    mine = pc.equal(of, name)
+                    parts[name] = steps.filter(mine), ok.filter(mine).to_numpy(zero_copy_only=False), _Values(values.filter(mine))
+                spans: dict = {}
+                for i, (s, good, v) in enumerate(parts.values()):
+                    here = {}
+                    for p, step in enumerate(s.to_pylist()):
+                        if p + 1 >= warmup and good[p] and (not with_truth or len(v.between(p + 1, p + 1 + horizon)) == horizon) and (i == 0 or step in spans):
+                            here[step] = [*spans.get(step, []), (v.between(0 if window is None else p - window + 1, p + 1), v.between(p + 1, p + 1 + horizon))]
+                    spans = here
+                at = list(spans)
+                for x, y in _groups([sum(len(c) for c, _ in spans[o]) for o in at]):
+                    pairs = [spans[o] for o in at[x:y]]
+                    nested = lambda k: pa.ListArray.from_arrays(pa.array(np.arange(len(pairs) + 1, dtype=np.int32) * len(order)), _lists([q[k] for p in pairs for q in p]))  # noqa: B023, E731
+                    keys = [pa.repeat(b.column(k)[row], y - x) for k in range(heads)]
+                    yield pa.RecordBatch.from_arrays([*keys, pa.array(at[x:y], steps.type), pa.array([list(order)] * (y - x), pa.list_(pa.string())), nested(0), nested(1)], names=names)
+
+    return wide.mapInArrow(cut, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds)))
 
 
 def _finish(q: np.ndarray, log1p: bool, positive: bool) -> np.ndarray:
@@ -211,13 +280,12 @@ def run_config(cfg: Config, panel: DataFrame, by: Sequence[str], idx: str = "wee
             raise ValueError("covariates need a covariate_fn")
         cov = covariate_fn(panel, cfg.covariates)
         names = [c for c in cov.columns if c not in (idx, "yw", "week_start")]
-        w = W.orderBy(idx)  # one row per week
-        hi = cfg.horizon
-        lo = W.unboundedPreceding if cfg.window is None else -(cfg.window - 1)
-        cov = cov.select(
-            F.col(idx).alias("origin"),
-            *[F.collect_list(F.col(c).cast("double")).over(w.rowsBetween(lo, hi)).alias(f"cov_{c}") for c in names],
-        )
+        # the calendar is one row for each step: it travels as one row of arrays, of which each origin takes its steps
+        rows = cov.groupBy().agg(F.array_sort(F.collect_list(F.struct(F.col(idx).alias("i"), *[F.col(c).cast("double").alias(c) for c in names]))).alias("_c"))
+        lo = F.lit(1) if cfg.window is None else F.greatest(F.lit(1), F.col("_at") - (cfg.window - 1))
+        each = rows.select("_c", F.posexplode("_c.i").alias("_at", "origin")).withColumn("_at", F.col("_at") + 1)
+        near = F.slice("_c", lo, F.col("_at") - lo + 1 + cfg.horizon)
+        cov = each.withColumn("_c", near).select("origin", *[F.filter(F.col(f"_c.{c}"), lambda v: v.isNotNull()).alias(f"cov_{c}") for c in names])
         ctx = ctx.join(cov, "origin")
         extras += [f"cov_{c}" for c in names]
     f = run_forecaster(ctx, forecaster, list(by), cfg.horizon, log1p=cfg.log1p, extras=extras)
