@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import written
 from .common import slices
 
 
@@ -107,6 +108,9 @@ class Matcher:
         return out
 
 
+BLOCK_CHARS = 4 << 20
+
+
 def _merged(spans: list[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -117,7 +121,7 @@ def _merged(spans: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def item_blocks(items: DataFrame, key: str, text: str, block_chars: int = 4 << 20) -> Iterator[list[tuple]]:
+def item_blocks(items: DataFrame, key: str, text: str, block_chars: int = BLOCK_CHARS) -> Iterator[list[tuple]]:
     """The items in blocks of about ``block_chars`` characters, one block in the driver's memory at a time."""
     some = items.select(F.col(key).alias("k"), F.col(text).alias("t")).where(F.col("t").isNotNull())
     total = some.agg(F.sum(F.length("t"))).first()[0] or 0
@@ -126,6 +130,15 @@ def item_blocks(items: DataFrame, key: str, text: str, block_chars: int = 4 << 2
         yield [(r["k"], r["t"]) for r in some.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == i).collect()]
 
 
+def _marked(blocks: Iterator[list[tuple]]) -> Iterator[tuple[list[tuple], bool, bool]]:
+    """Each block with whether it is the first and the last one; two blocks are in memory at a time."""
+    block, first = next(blocks), True
+    while block is not None:
+        after = next(blocks, None)
+        yield block, first, after is None
+        block, first = after, False
+
+
 _KEPT: dict[tuple, Matcher] = {}
 
 
@@ -137,16 +150,16 @@ def _matcher(items: list[tuple], error_rate: float) -> Matcher:
     return _KEPT[k]
 
 
-def find_items(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text", error_rate: float = 0.05) -> DataFrame:
+def find_items(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text", error_rate: float = 0.05, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """doc_id, item_id, distance, start and end (in the plain text) of the best match of each item in each row of ``docs``.
 
     Every item is held against every row, block of items by block. Null and empty texts and items match nothing. An item of fewer
-    than ``1 / error_rate`` characters is met only exactly. Repeated rows and repeated items have matches of their own; other
+    than ``1 / error_rate`` characters is met only exactly. Of several blocks each one's matches are stored before the next is read. Repeated rows and repeated items have matches of their own; other
     columns are not read.
     """
     mine = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("text"))
     out = None
-    for block in item_blocks(items, key, text):
+    for block, first, last in _marked(item_blocks(items, key, text, block_chars)):
 
         def search(batches: Iterator[pa.RecordBatch], block=block) -> Iterator[pa.RecordBatch]:
             m = _matcher(block, error_rate)
@@ -156,13 +169,14 @@ def find_items(docs: DataFrame, items: DataFrame, key: str = "item_id", text: st
                 yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], pa.int64()) for j in range(5)], names=names)
 
         hits = mine.mapInArrow(search, "doc_id long, item_id long, distance long, start long, end long")
+        hits = hits if first and last else written(hits, "item-hits")
         out = hits if out is None else out.unionByName(hits)
     return out
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text", error_rate: float = 0.05) -> DataFrame:
+def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text", error_rate: float = 0.05, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """``docs`` with all columns, without the rows in which an item is met. A null text is kept."""
-    for block in item_blocks(items, key, text):
+    for block, _, last in _marked(item_blocks(items, key, text, block_chars)):
         place = docs.columns.index("text")
 
         def keep(batches: Iterator[pa.RecordBatch], block=block, place=place) -> Iterator[pa.RecordBatch]:
@@ -171,4 +185,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, key: str = "item_id", t
                 yield b.filter(pa.array([not m.matches(t) for t in b.column(place).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
+        docs = docs if last else written(docs, "clean-so-far")
     return docs

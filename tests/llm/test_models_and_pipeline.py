@@ -99,6 +99,61 @@ def test_risk_is_not_negative_learning():
     assert ((x @ w + b > 0) == toxic).mean() > 0.97
 
 
+def test_risk_gradient_equals_finite_differences():
+    """Steps of the fit against steps with a numeric gradient of the class-prior-corrected risk, on both sides of its bound at 0."""
+    rng = np.random.default_rng(3)
+    for prior in (0.2, 0.7):
+        x = (rng.random((40, 4)) < 0.4).astype(float)
+        positive = (x[:, 0] > 0) & (rng.random(40) < 0.8)
+        z = lambda w, a: a @ w[:-1] + w[-1]
+        parts = lambda w: (prior * np.log1p(np.exp(-z(w, x[positive]))).mean(), np.log1p(np.exp(z(w, x[~positive]))).mean() - prior * np.log1p(np.exp(z(w, x[positive]))).mean())  # noqa: B023, E731
+        w = np.zeros(5)
+        w[-1] = np.log(prior / (1 - prior))
+        m, v = np.zeros(5), np.zeros(5)
+        for t in range(1, 11):
+            below = parts(w)[1] < 0
+            risk = lambda w: -parts(w)[1] if below else sum(parts(w))  # noqa: B023, E731
+            g = np.array([(risk(w + e) - risk(w - e)) / 2e-6 for e in np.eye(5) * 1e-6])
+            g[:-1] += 1e-4 * w[:-1]
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - 0.05 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+        got, bias = toxicity._fit(x, positive, prior, 10, 0.05, 1e-4)
+        assert np.allclose(np.append(got, bias), w, atol=0.02)  # a step of Adam is 0.05 whatever the size of the gradient
+
+
+def test_language_scores_equal_plain_cosines(docs):
+    """Prediction against loops over grams, weights and centroids."""
+    model = language.train(docs)
+    rows = docs.limit(25)
+    got = {r["doc_id"]: r for r in language.predict(rows, model).collect()}
+    for r in rows.collect():
+        t = "".join(c if c.isalpha() else " " for c in r["text"].lower()) + "  "
+        weight = {}
+        for k, size in enumerate(language.SIZES):
+            for i in range(len(t) + 1 - size):
+                g = t[i : i + size]
+                if g[:2] != "  " and not (size > 2 and g[1:] == "  "):
+                    at = k * language.BUCKETS + int(vectors.gram_ids(np.array([ord(c) for c in g], np.uint32), size, language.BUCKETS)[0])
+                    weight[at] = weight.get(at, 0) + 1
+        weight = {a: np.log1p(n) * model.idf[a] for a, n in weight.items()}
+        norm = sum(v * v for v in weight.values()) ** 0.5
+        cosines = [sum(v * c[a] for a, v in weight.items()) / norm for c in model.centroids]
+        best = int(np.argmax(cosines))
+        assert got[r["doc_id"]]["lang_pred"] == model.labels[best] and abs(got[r["doc_id"]]["score"] - min(1, max(0, cosines[best]))) < 1e-9
+        assert got[r["doc_id"]]["rejected"] == (cosines[best] < model.floor[model.labels[best]])
+
+
+def test_quality_scores_equal_plain_softmax(docs, labels):
+    model = quality_model.train(docs, labels)
+    rows = docs.limit(20)
+    got = {r["doc_id"]: r["score"] for r in quality_model.predict(rows, model, 0.3).collect()}
+    for r in rows.collect():
+        f = quality_model.features([r["text"]])[0]
+        mean = [sum(f[i] * model.vectors[i, d] for i in np.flatnonzero(f)) for d in range(model.vectors.shape[1])]
+        z = [sum(a * model.out[d, c] for d, a in enumerate(mean)) + model.bias[c] for c in range(2)]
+        assert abs(got[r["doc_id"]] - np.exp(z[1]) / (np.exp(z[0]) + np.exp(z[1]))) < 1e-4
+
+
 def test_gram_counts_and_words():
     texts = ["Abc abc", "", "  ", "ünd", "a1b"]
     m = vectors.gram_counts(texts, (2, 3), 64, letters_only=True)

@@ -106,6 +106,15 @@ def test_find_and_drop(spark):
     assert sorted(k for b in small for k, _ in b) == [1, 3, 4] and len(small) > 2
 
 
+def test_items_in_small_blocks(spark):
+    """Several blocks, stored one after the other, find and drop the same as one."""
+    items = spark.createDataFrame([(i, t) for i, t in enumerate(["the house of the old man by the sea", "cat sat on", "two words", "word1 and1 word2", "nowhere to be found"])], "item_id long, text string")
+    key = lambda df: sorted(str(tuple(r)) for r in df.collect())
+    assert key(decontaminate.find_items(odd_documents(spark), items, block_chars=12)) == key(decontaminate.find_items(odd_documents(spark), items))
+    few = decontaminate.drop_contaminated(odd_documents(spark), items, block_chars=12)
+    assert key(few) == key(decontaminate.drop_contaminated(odd_documents(spark), items)) and few.count() < len(TEXTS)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p><p>no";</script></head><body><header>Site</header>
 <nav><ul><li><a href="/x">X</a></ul></nav><div class="ad">Buy</div><article><header><h1>Head &amp; <b>more</b></h1></header><p>First   block
 goes on<br>here <a href="y">link</a>.<p>Second.</p><aside>Side</aside><ul><li>One<li>Two</ul><form><input>Mail</form><p>End</article>
