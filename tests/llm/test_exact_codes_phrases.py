@@ -178,12 +178,16 @@ def brute_phrases(rows, top, least, covered):
                 f.update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
     out = []
     for lang, f in counts.items():
-        found = []
+        found, inside = [], {}
+        for q, b in f.items():
+            if b >= least:
+                for m in range(2, len(q)):
+                    for i in range(len(q) - m + 1):
+                        inside[q[i : i + m]] = max(b, inside.get(q[i : i + m], 0))
         for p, a in f.items():
             if len(p) < 2 or a < least:
                 continue
-            longer = max((b for q, b in f.items() if len(p) < len(q) and b >= least and any(q[i : i + len(p)] == p for i in range(len(q)))), default=0)
-            if longer and 100 * longer >= covered * a:
+            if p in inside and 100 * inside[p] >= covered * a:
                 continue
             score, k = min((2000000 * a // (f[p[:k]] + f[p[k:]]), k) for k in range(1, len(p)))
             found.append((-score, -a, " ".join(p).encode(), f[p[:k]], f[p[k:]]))
