@@ -55,7 +55,7 @@ class Encoder:
     At most ``most`` runs and as many pieces are remembered; then the store starts anew.
     """
 
-    def __init__(self, path: str, end_id: int, most: int = 300_000):
+    def __init__(self, path: str, end_id: int, most: int = 500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         import regex
         from tokenizers import Tokenizer
@@ -182,3 +182,8 @@ def encoder(path: str, end_id: int) -> Encoder:
     if k not in _KEPT:
         _KEPT[k] = Encoder(*k)
     return _KEPT[k]
+
+
+def forget() -> None:
+    """Give back the encoders' memory: for operators that run in the same workers after a tokenizer's."""
+    _KEPT.clear()

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .common import bounded_sample, held_out, slices
+from .encoding import forget
 from .vectors import gram_counts, has_letter
 
 SIZES, BUCKETS = (2, 3), 2048
@@ -61,6 +62,7 @@ def train(docs: DataFrame, centroids: int = 4, most: int = 500, slack: float = 0
     rows = docs.where(F.col("lang").isNotNull() & ~held_out()).select("doc_id", "lang", "text")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         df, n = np.zeros(WIDTH, np.int64), 0
         for b in slices(batches, 128, 2 << 20):
             m = gram_counts([t or "" for t in b.column(0).to_pylist()], SIZES, BUCKETS, letters_only=True)
@@ -105,6 +107,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     out = StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         names = np.array([*model.labels, "und"], object)
         floors = np.array([model.floor[x] for x in model.labels] + [0.0])
         for b in slices(batches, 128, 2 << 20):
