@@ -214,7 +214,8 @@ def test_cases_at_one_place_are_neighbours(spark):
     day = dt.date(2024, 3, 1)
     cases = spark.createDataFrame([(day, day, float(i), 0.0, 1) for i in range(15) for _ in range(12)], "onset date, report date, x double, y double, n int")
     origins = spark.createDataFrame([(day,)], "origin date")
-    s = sp.bandwidth(sp.weighted_points(cases, origins, "final", sp.VARIANTS["kde_rv"]), sp.VARIANTS["kde_rv"])
+    model = sp.SPATIAL_MODELS["kde_rv"]
+    s = sp.bandwidth(sp.weighted_points(cases, origins, "final", model), model.width)
     assert {r["sigma"] for r in s.collect()} == {0.5} and s.count() == 15
 
 
