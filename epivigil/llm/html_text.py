@@ -1,11 +1,11 @@
 """Main text of web pages by line-block distribution.
 
 Markup is stripped to lines (one for each block of the page, in order); scripts, styles and blocks whose tag, role, class or id
-says that they are not the article (menus, footers, adverts, comments and so on) give no line, unless they hold the article. Where
-a page has an ``article`` or ``main`` element with text, the text is all of its lines. Other pages are judged by the distribution,
-the text lengths of ``WINDOW`` lines from each line on: a run of text goes from the line where it surges above the threshold to the
-line after which it dives below. The heaviest run has a container, the innermost element that holds most of it; the text is all
-runs of that container, and its short lines around them, if not all in links (of a whole page, only those between and after them).
+says that they are not the article (menus, footers, adverts, comments and so on) give no line, unless they hold the article. Pages
+are judged by the distribution, the text lengths of ``WINDOW`` lines from each line on: a run of text goes from the line where it
+surges above the threshold to the line after which it dives below. The heaviest run has a container, the innermost element that holds
+most of it; the text is all runs of that container, and its short lines around them, if not all in links (of a whole page, only those
+between and after them). Where the text surges in ``article`` or ``main`` elements, lines outside them do not count.
 """
 
 from __future__ import annotations
@@ -69,6 +69,7 @@ class Lines:
     def __init__(self) -> None:
         self.text: list[str] = []
         self.weight: list[int] = []  # characters outside links
+        self.inside: list[bool] = []  # in an article or main element
         self.heading: list[bool] = []
         self.leaf: list[int] = []  # the innermost block
         self.parent: list[int] = [-1]
@@ -97,6 +98,7 @@ def lines_of(page: str) -> Lines:
             if line:
                 out.text.append(line)
                 out.weight.append(max(0, len(line) - 2 * sum(len(x) for x, linked in pieces if linked)))
+                out.inside.append(article > 0)
                 out.heading.append(heading)
                 out.leaf.append(block)
                 out.hider.append(by)
@@ -184,7 +186,7 @@ def _shown(lines: Lines, hiders: dict[int, list]) -> None:
                 hiders[up][k] += n
     for h, (up, *_) in hiders.items():
         kept[h] = kept[h] and kept[up]
-    for name in ("text", "weight", "heading", "leaf", "hider"):
+    for name in ("text", "weight", "inside", "heading", "leaf", "hider"):
         setattr(lines, name, [x for x, h in zip(getattr(lines, name), lines.hider) if kept[h]] if name != "hider" else [])
 
 
@@ -229,6 +231,12 @@ def main_text(page: str | None) -> str:
             start = None
     if not runs:  # no surge at all: a short page is its own text
         return "\n".join(lines.text)
+    inside = np.array(lines.inside)
+    if any(inside[a:b].any() for a, b in runs):  # where the text surges in articles, they are its containers
+        weight = np.where(inside, weight, 0)
+        runs = [r for r in runs if inside[r[0] : r[1]].any()]
+    else:
+        inside[:] = True
     best = max(runs, key=lambda r: weight[r[0] : r[1]].sum())
     low, high, whole = _container(lines, weight, *best)
     runs = [r for r in runs if r == best or low <= r[0] < high]
@@ -245,7 +253,7 @@ def main_text(page: str | None) -> str:
     while a > 0 and lines.heading[a - 1]:
         a -= 1
         keep[a] = True
-    return "\n".join(x for x, k in zip(lines.text, keep) if k)
+    return "\n".join(x for x, k in zip(lines.text, keep & inside) if k)
 
 
 def extract(pages: DataFrame) -> DataFrame:
