@@ -9,8 +9,10 @@ with a probability of 3e-6, two of 0.85 with 3e-9.
 Stars alone lose links between members that are not near their centre. A member's difference from the centre, D (shingles that one
 of the two has alone), tells all pairs apart: x and y differ in |Dx| + |Dy| - 2 |Dx and Dy|, so two members that are near each other
 but not both near the centre must share so many elements of D that they share one among the first few of both, in any common order.
-Members of different components are therefore joined on these first elements, those that the centre lacks in front; copies that were
-edited in different places share none, so a crowd of near copies is not paired off. What the join finds is confirmed on full sets.
+Members of different components are therefore joined on these first elements, those of the fewest members in front: edits of the
+centre itself, which all members share, come last, and are met only by members that share enough of them to be linked. The smallest
+member that has an element is compared with the others before any two of these are, so that a crowd is joined by stars and not
+paired off. What the joins find is confirmed on full sets.
 """
 
 from __future__ import annotations
@@ -31,7 +33,6 @@ from .components import components
 BANDS, ROWS = 42, 6
 BINS = BANDS * ROWS
 ATTEMPTS = 4096
-SALTS = 32  # parts of a centre's members
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -149,31 +150,29 @@ def most_apart(n: int, m: int, percent: int) -> int:
     return (100 - percent) * (n + m) // (100 + percent)
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``pairs`` (node, centre) with ``linked``, the node's set size n, how many shingles the two differ in, and the first of these.
-
-    Shingles that the centre lacks come first. A partner that is near the node has at most ``100 / percent`` times its size.
-    """
+def _compared(pairs: DataFrame, sets: DataFrame, percent: int, differences: bool = False) -> DataFrame:
+    """``pairs`` (node, centre) with ``linked``; or with the node's set size n and ``apart``, the shingles that one of the two has alone."""
     left = pairs.join(sets, "node").select("node", "centre", "members")
     right = sets.select(F.col("node").alias("centre"), F.col("members").alias("others"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, 512, 32 << 20):
-            out = {"linked": [], "n": [], "apart": [], "first": []}
+            out = {"n": [], "apart": []} if differences else {"linked": []}
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 s, t = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
                 mine = t[np.minimum(np.searchsorted(t, s), len(t) - 1)] != s
                 theirs = s[np.minimum(np.searchsorted(s, t), len(s) - 1)] != t
-                apart = int(mine.sum() + theirs.sum())
-                front = most_apart(len(s), 100 * len(s) // percent, percent) + 1
-                out["linked"].append(apart <= most_apart(len(s), len(t), percent))
-                out["n"].append(len(s))
-                out["apart"].append(apart)
-                out["first"].append(np.concatenate([s[mine], t[theirs]])[:front].view(np.int64))
-            out |= {"first": pa.array(out["first"], pa.list_(pa.int64()))}
+                if differences:
+                    out["n"].append(len(s))
+                    out["apart"].append(np.concatenate([s[mine], t[theirs]]).view(np.int64))
+                else:
+                    out["linked"].append(int(mine.sum() + theirs.sum()) <= most_apart(len(s), len(t), percent))
+            if differences:
+                out["apart"] = pa.array(out["apart"], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_pydict({"node": b.column(0), "centre": b.column(1)} | out)
 
-    return left.join(right, "centre").select("node", "centre", "members", "others").mapInArrow(compare, "node long, centre long, linked boolean, n long, apart long, first array<long>")
+    found = "n long, apart array<long>" if differences else "linked boolean"
+    return left.join(right, "centre").select("node", "centre", "members", "others").mapInArrow(compare, f"node long, centre long, {found}")
 
 
 def _mixed(stars: DataFrame, comps: DataFrame) -> DataFrame:
@@ -194,20 +193,52 @@ def _of_mixed(stars: DataFrame, mixed: DataFrame, comps: DataFrame | None = None
     return at.join(other, (F.col("centre") == F.col("_centre")) & (F.col("comp") != F.col("centre_comp"))).select("node", "centre", "pivot")
 
 
-def _beside_the_centre(compared: DataFrame, comps: DataFrame, percent: int) -> DataFrame:
-    """(node, centre): pairs of members of one centre, in different components, that may be linked."""
-    rows = compared.select("node", "centre", "n", "apart", "first").join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = rows.groupBy("centre").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).where("_a < _b").select("centre")
-    # a centre of many members is dealt out over salts
-    rows = rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)))
-    mixed = mixed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
-    e = written(rows.join(mixed, ["centre", "_salt"], "left_semi").select("node", "centre", "n", "apart", "comp", F.posexplode("first").alias("at", "element")), "first-differences")
-    o = e.select("centre", "element", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "apart", "comp", "at")])
+def _rare_first(apart: DataFrame, percent: int) -> DataFrame:
+    """centre, element, node, n, size, at: for each member the first elements of its difference that a near member must share, the rarest in front.
+
+    Elements that no other member of the centre has are left out; their places count.
+    """
+    rows = apart.select("centre", "node", "n", F.size("apart").cast("long").alias("size"), F.explode("apart").alias("element"))
+    often = written(rows.groupBy("centre", "element").count().where("count > 1"), "shared-elements")
+    rows = rows.join(often, ["centre", "element"], "left").withColumn("count", F.coalesce("count", F.lit(1)))
+    # a difference is no longer than two sets
+    ordered = rows.groupBy("centre", "node", "n", "size").agg(F.sort_array(F.collect_list(F.struct("count", "element"))).alias("e"))
+    # a partner that is near has at most 100 / percent times the node's size
+    front = (F.floor((100 - percent) * (F.col("n") + F.floor(100 * F.col("n") / percent)) / F.lit(100 + percent)) + 1).cast("int")
+    at = ordered.withColumn("e", F.slice("e", F.lit(1), front)).select("centre", "node", "n", "size", F.posexplode("e").alias("at", "e"))
+    return at.where("e.count > 1").select("centre", F.col("e.element").alias("element"), "node", "n", "size", "at")
+
+
+def _may_be_near(percent: int):
+    """Whether two members that share an element, the second in columns with ``_``, may be linked by it and are not yet."""
     may = F.floor((100 - percent) * (F.col("n") + F.col("_n")) / F.lit(100 + percent))
-    shared = F.ceil((F.col("apart") + F.col("_apart") - may) / 2)  # elements of both differences that a link needs
-    near = (F.col("_node") < F.col("node")) & (F.col("comp") != F.col("_comp")) & (F.abs(F.col("apart") - F.col("_apart")) <= may)
-    near = near & (F.col("at") <= F.col("apart") - shared) & (F.col("_at") <= F.col("_apart") - shared)
-    met = e.join(o, (e["centre"] == o["centre"]) & (e["element"] == o["element"]) & near)
+    shared = F.ceil((F.col("size") + F.col("_size") - may) / 2)  # elements of both differences that a link needs
+    near = (F.col("_node") < F.col("node")) & (F.col("comp") != F.col("_comp")) & (F.abs(F.col("size") - F.col("_size")) <= may)
+    return near & (F.col("at") <= F.col("size") - shared) & (F.col("_at") <= F.col("_size") - shared)
+
+
+def _labelled(elements: DataFrame, comps: DataFrame) -> DataFrame:
+    return elements.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _mixed_elements(rows: DataFrame) -> DataFrame:
+    """centre, element and the smallest member (columns with ``_``), where the members are of several components."""
+    hub = F.min(F.struct("node", "n", "size", "at", "comp")).alias("hub")
+    ends = rows.groupBy("centre", "element").agg(hub, F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    return ends.select("centre", "element", *[F.col(f"hub.{c}").alias(f"_{c}") for c in ("node", "n", "size", "at", "comp")])
+
+
+def _beside_the_centre(elements: DataFrame, comps: DataFrame, percent: int, stars: bool) -> DataFrame:
+    """(node, centre): pairs of members of one centre, in different components, that share an element and may be linked.
+
+    With ``stars`` only the pairs with the smallest member that has the element.
+    """
+    rows = _labelled(elements, comps)
+    hubs = written(_mixed_elements(rows), "mixed-elements")
+    if not stars:
+        rows = written(rows.join(hubs.select("centre", "element"), ["centre", "element"], "left_semi"), "members-of-mixed")
+        hubs = rows.select("centre", "element", *[F.col(c).alias(f"_{c}") for c in ("node", "n", "size", "at", "comp")])
+    met = rows.join(hubs, ["centre", "element"]).where(_may_be_near(percent))
     return met.select("node", F.col("_node").alias("centre")).distinct()
 
 
@@ -236,17 +267,19 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     second = written(_compared(apart, sets, percent), "compared")
     links = ends(first).unionByName(ends(second))
     found = components(links)
-    # members of one smallest centre, then those of a bucket that have several of them
-    beside = _beside_the_centre(first, found, percent)
+    # members of one smallest centre, and those of a bucket that have several of them
+    labels = stars.join(found, "node", "left").select("pivot", F.coalesce("comp", "node").alias("comp"))
+    pivots = labels.groupBy("pivot").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low < high")
+    of_pivots = stars.join(pivots.select("pivot"), "pivot", "left_semi").select("node", F.col("pivot").alias("centre"))
     mixed = written(_mixed(stars, found).where("low_pivot < high_pivot and low_comp < high_comp"), "mixed-centres")
-    known = first.unionByName(second)
-    missing = _of_mixed(stars, mixed).join(known.select("node", "centre"), ["node", "centre"], "left_anti").select("node", "centre")
-    third = written(_compared(missing, sets, percent), "compared")
-    of_mixed = known.unionByName(third).join(mixed.select("centre"), "centre", "left_semi")
-    others = written(beside.unionByName(_beside_the_centre(of_mixed, found, percent)).distinct(), "pairs")
-    if others.limit(1).count():
-        more = written(_compared(others, sets, percent), "compared")
-        found = components(links.unionByName(ends(more)))
+    beside = of_pivots.union(_of_mixed(stars, mixed).select("node", "centre")).distinct()
+    elements = written(_rare_first(written(_compared(beside, sets, percent, differences=True), "differences"), percent), "first-elements")
+    # first with the smallest member that has an element, which joins a crowd by stars; then what is still apart
+    for star in (True, False):
+        others = written(_beside_the_centre(elements, found, percent, star), "pairs")
+        if others.limit(1).count():
+            links = links.unionByName(ends(written(_compared(others, sets, percent), "compared")))
+            found = components(links)
     of_class = written(classes.select("digest", "node").join(found, "node", "left").select("digest", F.coalesce("comp", "node").alias("component_id")), "class-components")
     out = sig.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
     component = F.coalesce("component_id", "doc_id")
