@@ -128,3 +128,23 @@ def test_components_of_chains_and_stars(spark):
 def test_distinct_ids_are_the_smallest_of_their_component(spark, sf):
     out = neardup.near_duplicates(spark.read.parquet(f"{sf}/documents.parquet"))
     assert out.where("component_id > doc_id").count() == 0 and out.agg(F.countDistinct("component_id")).first()[0] == out.where("kept").count()
+
+
+def test_members_of_an_edited_centre_are_not_paired_off(spark, monkeypatch):
+    """The centre's own edits are in every member's difference; they come last, so few pairs are compared."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    edited = list(base)
+    for at in (20, 60, 100, 140):
+        edited[at] = "centre"
+    texts = [(0, " ".join(edited))]
+    for k in range(1, 81):
+        w = list(base)
+        for at in rng.sample(range(200), 3 if k % 2 else 6):
+            w[at] = f"x{k}-{at}"
+        texts.append((k, " ".join(w)))
+    compared, before = [], neardup.written
+    monkeypatch.setattr(neardup, "written", lambda df, name=None: compared.append((name, r := before(df, name))) or r)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(texts, "doc_id long, text string"), 80).collect()}
+    assert got == brute(texts, 80)
+    assert sum(df.count() for name, df in compared if name == "pairs") < 4 * len(texts)
