@@ -6,10 +6,13 @@ uses the size that fits it, so neither a wide kernel nor a large polygon makes t
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -184,78 +187,146 @@ def bandwidth(points: DataFrame, width: Width, by: Sequence[str] = ("origin",))
     ).drop("rbar")
 
 
-STEP = 6  # halvings of the cells in a round
-CROWD = 16  # times k points in a block are a crowd
+STEP = 4  # halvings of the cells in a round
+DEPTH = 48  # halvings of the box at most: narrower cells part few doubles
+LEAF = 1024  # places of a leaf at most
 MOST_BANDS = 4096  # of a polygon
 
 
-def _fitting(places: DataFrame, k: int, by: Sequence[str], size0: float, coarse: int, fine: int) -> DataFrame:
-    """Each place with the smallest size l (``fine``..``coarse``, cells size0 * 2^l wide) whose 3x3 block holds more than k points, and that block's points."""
-    size = F.lit(size0) * F.pow(F.lit(2.0), F.col("l"))
-    at = places.withColumn("l", F.explode(F.sequence(F.lit(fine), F.lit(coarse)))).withColumns({"cx": _cell("x", size), "cy": _cell("y", size)})
-    cells = at.groupBy(*by, "l", "cx", "cy").agg(F.sum("m").alias("c"))
-    block = (
-        cells.withColumn("_d", F.explode(_around(1)))
-        .groupBy(*by, "l", (F.col("cx") + F.col("_d.dx")).alias("cx"), (F.col("cy") + F.col("_d.dy")).alias("cy"))
-        .agg(F.sum("c").alias("c"))
-        .where(F.col("c") > k)
-    )
-    own = at.join(block, [*by, "l", "cx", "cy"])
-    return own.groupBy(*by, "x", "y").agg(F.min(F.struct("l", "c")).alias("_f"), F.first("m").alias("m")).select(*by, "x", "y", "m", "_f.l", "_f.c")
-
-
-def _nearest(others: DataFrame, own: DataFrame, k: int, by: Sequence[str], size0: float, coarse: int, fine: int) -> DataFrame:
-    """(by, x, y, rbar) of the places ``own`` (with their size l) among ``others``; a place of more than k points has them at distance 0."""
-    size = F.lit(size0) * F.pow(F.lit(2.0), F.col("l"))
-    probe = spread(own.where(F.col("m") <= k), ["x", "y", *by]).withColumns({"cx": _cell("x", size), "cy": _cell("y", size)}).withColumn("_d", F.explode(_around(3)))
-    probe = probe.select(*by, "l", "x", "y", (F.col("cx") + F.col("_d.dx")).alias("cx"), (F.col("cy") + F.col("_d.dy")).alias("cy"))
-    at = others.withColumn("l", F.explode(F.sequence(F.lit(fine), F.lit(coarse))))
-    other = at.select(*by, "l", _cell("x", size).alias("cx"), _cell("y", size).alias("cy"), F.col("x").alias("ox"), F.col("y").alias("oy"), "m")
-    pairs = probe.join(other, [*by, "l", "cx", "cy"])
-    d = F.sqrt(F.pow(F.col("x") - F.col("ox"), 2) + F.pow(F.col("y") - F.col("oy"), 2))
-    pairs = pairs.withColumns({"d": d, "m": F.when((F.col("x") == F.col("ox")) & (F.col("y") == F.col("oy")), F.col("m") - 1).otherwise(F.col("m"))})
-    pairs = pairs.where((F.col("m") > 0) & (F.col("d") <= F.lit(3.0) * size))
-    nearest = W.partitionBy(*by, "x", "y").orderBy("d", "ox", "oy")
-    # at most k places matter: the limit by rank is applied before the shuffle
-    pairs = pairs.withColumn("_rn", F.row_number().over(nearest)).where(F.col("_rn") <= k)
-    w = nearest.rowsBetween(W.unboundedPreceding, -1)
-    take = F.greatest(F.lit(0), F.least(F.col("m"), F.lit(k) - F.coalesce(F.sum("m").over(w), F.lit(0))))
-    means = pairs.withColumn("_take", take).groupBy(*by, "x", "y").agg((F.sum(F.col("_take") * F.col("d")) / k).alias("rbar"))
-    return means.unionByName(own.where(F.col("m") > k).select(*by, "x", "y", F.lit(0.0).alias("rbar")))
+def _up(c: str | Column, level: str | Column) -> Column:
+    """The cell of ``level`` that a cell ``c`` of level DEPTH lies in; level 0 is the whole box."""
+    c, level = (F.col(v) if isinstance(v, str) else v for v in (c, level))
+    return F.call_function("shiftright", c, (F.lit(DEPTH) - level).cast("int"))
+
+
+def _fine(c: Column, low: float, width: float) -> Column:
+    """Cell of level DEPTH, never falling with the coordinate; coordinates beyond the box are in its outermost cells."""
+    return F.greatest(F.lit(0), F.least(F.lit(2**DEPTH - 1), F.floor((c - F.lit(low)) / F.lit(width) * F.lit(2.0**DEPTH)).cast("long")))
+
+
+def _leaves(near: DataFrame, by: Sequence[str], most: int) -> DataFrame:
+    """``near`` (with gx, gy: cells of level DEPTH) with the leaf (j, cx, cy) of each place: the widest cell of at most ``most`` places.
+
+    Cells are halved ``STEP`` times a round; a further round takes only the places of cells that still hold more.
+    """
+    out, base = None, 0
+    while True:
+        fine = min(base + STEP, DEPTH)
+        pending = near.withColumns({"fx": _up("gx", F.lit(fine)), "fy": _up("gy", F.lit(fine))})
+        cells = pending.groupBy(*by, "fx", "fy").agg(F.count("*").alias("c")).withColumn("j", F.explode(F.sequence(F.lit(base), F.lit(fine))))
+        up = lambda c: F.call_function("shiftright", F.col(c), F.lit(fine) - F.col("j"))
+        cells = cells.groupBy(*by, "j", up("fx").alias("cx"), up("fy").alias("cy")).agg(F.sum("c").alias("c"), F.collect_list(F.struct("fx", "fy")).alias("_f"))
+        cells = cells.where((F.col("c") <= most) | (F.col("j") == fine)).withColumn("_f", F.explode("_f"))
+        leaf = cells.groupBy(*by, F.col("_f.fx").alias("fx"), F.col("_f.fy").alias("fy")).agg(F.min(F.struct("j", "cx", "cy", "c")).alias("_l"))
+        found = written(pending.join(leaf, [*by, "fx", "fy"]).select(*near.columns, "_l.j", "_l.cx", "_l.cy", "_l.c"), "knn-leaves")
+        crowded = F.lit(fine < DEPTH) & (F.col("c") > most)
+        done = found.where(~crowded).drop("c", "gx", "gy")
+        out = done if out is None else out.unionByName(done)
+        near = found.where(crowded).select(*near.columns)
+        if near.isEmpty():
+            return out
+        base = fine + 1
+
+
+def _k_nearest(x: np.ndarray, y: np.ndarray, m: np.ndarray, px: np.ndarray, py: np.ndarray, k: int, own: bool) -> tuple[np.ndarray, np.ndarray]:
+    """For each (px, py) the distances of its nearest places (x, y), rising, and how many of the m points there are among its k nearest.
+
+    ``own``: the places ask for themselves, each is not its own neighbour but its copies are.
+    """
+    most = min(len(x), k + 1)
+    d, c = np.empty((len(px), most)), np.empty((len(px), most), np.int64)
+    rows = max(1, 2**20 // max(1, len(x)))
+    for at in range(0, len(px) if most else 0, rows):
+        s = slice(at, at + rows)
+        all_ = np.sqrt((px[s, None] - x) ** 2 + (py[s, None] - y) ** 2)
+        best = np.argpartition(all_, most - 1, axis=1)[:, :most]
+        best = np.take_along_axis(best, np.argsort(np.take_along_axis(all_, best, 1), axis=1), 1)
+        d[s], c[s] = np.take_along_axis(all_, best, 1), m[best]
+        if own:
+            c[s] -= best == np.arange(at, at + len(best))[:, None]
+    return d, np.clip(k - (np.cumsum(c, axis=1) - c), 0, c)
+
+
+def _with_lists(t: pa.Table, d: np.ndarray, c: np.ndarray, keep: np.ndarray) -> pa.Table:
+    """``t`` with what a mask keeps of each row of distances and counts, as lists ds and ms."""
+    ends = pa.array(np.concatenate([[0], np.cumsum(keep.sum(axis=1))]), pa.int32())
+    return t.append_column("ds", pa.ListArray.from_arrays(ends, pa.array(d[keep]))).append_column("ms", pa.ListArray.from_arrays(ends, pa.array(c[keep])))
+
+
+def _columns(t: pa.Table, *names: str) -> list[np.ndarray]:
+    return [t.column(n).to_numpy() for n in names]
+
+
+def _asked(points: DataFrame, by: Sequence[str], low: tuple[float, float], width: float) -> dict[str, Column]:
+    """First and last cells of level DEPTH that the square around a place, ``r`` to each side, reaches."""
+    return {f"{n}{c}": _fine(F.col(c) + sign * F.col("r"), at, width) for c, at in zip("xy", low) for n, sign in (("l", -1), ("h", 1))}
 
 
 def knn_mean_distance(points: DataFrame, k: int, by: Sequence[str] = ("origin",), copies: str | None = None) -> DataFrame:
     """(by, x, y, rbar): mean distance to the k nearest other points, copies at one place counted one by one.
 
-    A tree of square cells, as deep as the points are dense: each place takes the smallest cell size whose 3x3 block holds more than
-    k points, so the k-th neighbour is within 3 of its cells, and only places in the 7x7 block around it are compared. Sizes go down
-    from the whole box, ``STEP`` halvings a round; a further round takes only places whose block at the smallest size so far is still
-    crowded, and what stands near them. One far point therefore does not make the cells of a crowd wide. Groups with at most k
-    points give no row.
+    A tree of square cells, as deep as the points are dense, whose leaves hold at most ``LEAF`` places. Each leaf searches among its own
+    places first. That bounds the distance of the k-th neighbour, and only places whose circle leaves their leaf ask the other leaves
+    it meets. A place moves once to its leaf and as an asking one to few others, and pairs do not move at all. A leaf of too few
+    places has a parent of more than ``LEAF``, so the k-th neighbour is within 3 of its cells. Groups with at most k points give no row.
     """
     m = F.sum(copies) if copies else F.count("*")
-    near = written(points.groupBy(*by, "x", "y").agg(m.cast("long").alias("m")), "knn-places")
+    real = [F.col(c).isNotNull() for c in by] + [F.abs(c) < float("inf") for c in ("x", "y")]
+    near = points.where(functools.reduce(Column.__and__, real)).groupBy(*by, "x", "y").agg(m.cast("long").alias("m"))
+    near = written(near, "knn-places")
     box = near.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
-    width, tiny = 1.0, 1.0
-    if box["x0"] is not None:
-        width = max(box["x1"] - box["x0"], box["y1"] - box["y0"], 1e-6)
-        tiny = 2.0**-40 * max(abs(v) for v in (*box, width))  # cells below this width part no doubles
-    wanted, out, coarse, fine = None, None, 1, 1 - STEP
-    while True:
-        fit = _fitting(near, k, by, width, coarse, fine)
-        fit = written(fit if wanted is None else fit.join(wanted, [*by, "x", "y"], "left_semi"), "knn-sizes")
-        last = width * 2.0**fine <= tiny
-        crowded = F.lit(False) if last else (F.col("l") == fine) & (F.col("c") > CROWD * k) & (F.col("m") <= k)
-        found = _nearest(near, fit.where(~crowded), k, by, width, coarse, fine)
-        out = found if out is None else out.unionByName(found)
-        wanted = fit.where(crowded).select(*by, "x", "y")
-        if wanted.isEmpty():
-            return out
-        cell = lambda d: d.withColumns({"cx": _cell("x", F.lit(width * 2.0**fine)), "cy": _cell("y", F.lit(width * 2.0**fine))})
-        reach = cell(wanted).select(*by, "cx", "cy").distinct().withColumn("_d", F.explode(_around(3)))
-        reach = reach.select(*by, (F.col("cx") + F.col("_d.dx")).alias("cx"), (F.col("cy") + F.col("_d.dy")).alias("cy")).distinct()
-        near = written(cell(near).join(reach, [*by, "cx", "cy"], "left_semi").select(*by, "x", "y", "m"), "knn-crowded")
-        coarse, fine = fine, fine - STEP
+    low = (box["x0"] or 0.0, box["y0"] or 0.0)
+    width = 1.0 if box["x0"] is None else max(box["x1"] - low[0], box["y1"] - low[1]) * (1 + 1e-6) or 1.0
+    leaf = [*by, "j", "cx", "cy"]
+    places = _leaves(near.withColumns({"gx": _fine(F.col("x"), low[0], width), "gy": _fine(F.col("y"), low[1], width)}), by, max(LEAF, 2 * k))
+
+    def inside(t: pa.Table) -> pa.Table:
+        x, y, n = _columns(t, "x", "y", "m")
+        d, c = _k_nearest(x, y, n, x, y, k, True)
+        more = {"got": c.sum(axis=1), "far": np.where(c > 0, d, 0).max(axis=1), "rbar": (c * d).sum(axis=1) / k}
+        for name, v in more.items():
+            t = t.append_column(name, pa.array(v))
+        return _with_lists(t, d, c, c > 0)
+
+    lists = "ds array<double>, ms array<long>"
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in places.schema)
+    own = spread(places, leaf).groupBy(*leaf).applyInArrow(inside, f"{kinds}, got long, far double, rbar double, {lists}")
+    # more than the distance by what rounding may take from it
+    own = own.withColumn("r", F.when(F.col("got") < k, F.lit(3 * width) * F.pow(F.lit(0.5), F.col("j"))).otherwise(F.col("far")) * (1 + 1e-9))
+    asked = _asked(own, by, low, width)
+    leaves = functools.reduce(Column.__or__, [_up(v, "j") != F.col(f"c{n[1]}") for n, v in asked.items()])
+    own = own.withColumn("open", (F.col("j") > 0) & leaves).where(F.col("open") | (F.col("got") == k))
+    own = written(own.withColumns({c: F.when(F.col("open"), F.col(c)) for c in ("ds", "ms", "r")}).drop("got", "far"), "knn-inside")
+    done = own.where(~F.col("open")).select(*by, "x", "y", "rbar")
+    asking = own.where("open").withColumns(_asked(own, by, low, width))
+
+    # a place and another leaf meet once, at the wider of their two levels
+    cells = asking.select(*by, "x", "y", "r", "j", "cx", "cy", "lx", "hx", "ly", "hy", F.explode(F.sequence(F.lit(1), F.col("j"))).alias("l"))
+    cells = cells.withColumn("kx", F.explode(F.sequence(_up("lx", "l"), _up("hx", "l")))).withColumn("ky", F.explode(F.sequence(_up("ly", "l"), _up("hy", "l"))))
+    above = lambda c: F.call_function("shiftright", F.col(c), F.col("j") - F.col("l"))
+    cells = cells.where((F.col("kx") != above("cx")) | (F.col("ky") != above("cy"))).select(*by, "x", "y", "r", F.col("j").alias("pj"), "l", "kx", "ky")
+    held = own.groupBy(*leaf).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    held = held.withColumn("l", F.explode(F.sequence(F.lit(1), F.col("j")))).withColumns({"kx": above("cx"), "ky": above("cy")})
+    gap = lambda c: F.greatest(F.lit(0.0), F.col(f"{c}0") - F.col(c), F.col(c) - F.col(f"{c}1"))
+    probes = cells.join(held, [*by, "l", "kx", "ky"]).where((F.col("l") == F.least("pj", "j")) & (F.hypot(gap("x"), gap("y")) <= F.col("r")))
+    probes = probes.select(*leaf, F.col("x").alias("px"), F.col("y").alias("py"), "r").toDF(*leaf, "px", "py", "r")
+
+    def beside(a: pa.Table, b: pa.Table) -> pa.Table:
+        x, y, n, px, py, r = *_columns(a, "x", "y", "m"), *_columns(b, "px", "py", "r")
+        d, c = _k_nearest(x, y, n, px, py, k, False)
+        keep = (d <= r[:, None]) & (c > 0)
+        hit = keep.any(axis=1)
+        return _with_lists(b.select([*by, "px", "py"]).filter(pa.array(hit)), d[hit], c[hit], keep[hit])
+
+    keys = ", ".join(f"`{c}` {near.schema[c].dataType.simpleString()}" for c in by)
+    here = spread(own.select(*leaf, "x", "y", "m"), leaf).groupBy(*leaf)
+    other = here.cogroup(spread(probes, leaf).groupBy(*leaf)).applyInArrow(beside, f"{keys}{', ' if by else ''}px double, py double, {lists}")
+    both = asking.select(*by, "x", "y", "ds", "ms").unionByName(other.withColumnsRenamed({"px": "x", "py": "y"}))
+    first = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("ds", "ms"))))
+    take = lambda a, v: F.least(a["left"], v["ms"])
+    add = lambda a, v: F.struct((a["left"] - take(a, v)).alias("left"), (a["sum"] + take(a, v) * v["ds"]).alias("sum"))
+    start = F.struct(F.lit(k).cast("long").alias("left"), F.lit(0.0).alias("sum"))
+    return done.unionByName(both.groupBy(*by, "x", "y").agg(F.aggregate(first, start, add, lambda a: a["sum"] / k).alias("rbar")))
 
 
 def intensity(points: DataFrame, evals: DataFrame, eval_id: str, sigma_range: tuple[float, float], by: Sequence[str] = ("origin",),

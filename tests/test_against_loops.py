@@ -312,6 +312,41 @@ def test_neighbours_in_crowds_and_far_points(spark):
                 assert got[g, x, y] == pytest.approx(dist.mean(), rel=1e-9, abs=1e-12)
 
 
+def test_neighbours_across_leaves(spark, monkeypatch):
+    """Leaves of few places, so circles cross many of them: a crowd beside sparse places, a line, copies, null and infinite coordinates."""
+    monkeypatch.setattr(sp, "LEAF", 8, raising=False)
+    xy = np.vstack([RNG.normal(0, 1.0, (300, 2)), RNG.normal([1.3, 0.2], 1e-3, (200, 2)), np.c_[np.arange(60.0), np.zeros(60)], np.repeat([[2.0, 2.0]], 9, 0), [[500.0, -800.0]]])
+    rows = [("a", float(x), float(y)) for x, y in xy] + [("b", float(i % 4), float(i // 4)) for i in range(32)] + [(None, 0.0, 0.0)] * 9
+    odd = [("a", None, 0.0), ("a", 1.0, None), ("b", float("nan"), 1.0), ("b", 0.5, float("inf"))]
+    got = {(r["origin"], r["x"], r["y"]): r["rbar"] for r in sp.knn_mean_distance(spark.createDataFrame(rows + odd, "origin string, x double, y double"), 4).collect()}
+    want = {}
+    for g in "ab":
+        pts = np.array([r[1:] for r in rows if r[0] == g])
+        want |= {(g, x, y): np.sort(np.hypot(pts[:, 0] - x, pts[:, 1] - y))[1:5].mean() for x, y in pts.tolist()}
+    assert got.keys() == want.keys() and all(got[p] == pytest.approx(d, rel=1e-9, abs=1e-12) for p, d in want.items())
+
+
+def test_neighbours_shuffle_little(spark):
+    """A place goes to its leaf and to few others; cells around each place and pairs of places are not shuffled."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        sc.listenerBus().waitUntilEmpty()
+        return sc.statusStore().executorSummary("driver").totalShuffleWrite()
+
+    d = spark.createDataFrame(pd.DataFrame({"origin": "a", "x": RNG.random(20000), "y": RNG.random(20000)})).cache()
+    d.count()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffled()
+        assert sp.knn_mean_distance(d, 10).count() == 20000
+        assert shuffled() - before < 20000 * 500
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        d.unpersist()
+
+
 def test_polygons_of_many_edges(spark):
     """A ragged ring of 3,000 edges, a comb whose edges all span its height, a hole-like second ring, and a flat polygon."""
     m = 3000
