@@ -1,7 +1,8 @@
 """Kernel intensities, nearest neighbours, polygons and hotspot scores.
 
 Distances are searched through square cells joined by equality. Cell sizes go up by doubling, and every point or polygon
-uses the size that fits it, so neither a wide kernel nor a large polygon makes the others search far.
+uses the size that fits it, so neither a wide kernel nor a large polygon makes the others search far. Nearest neighbours
+are searched in cells of few places, and only where a circle leaves its cell in others too.
 """
 
 from __future__ import annotations

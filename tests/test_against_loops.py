@@ -326,22 +326,28 @@ def test_neighbours_across_leaves(spark, monkeypatch):
     assert got.keys() == want.keys() and all(got[p] == pytest.approx(d, rel=1e-9, abs=1e-12) for p, d in want.items())
 
 
-def test_neighbours_shuffle_little(spark):
-    """A place goes to its leaf and to few others; cells around each place and pairs of places are not shuffled."""
+@pytest.mark.parametrize("kind, most", [("neighbours", 500), ("intensity", 900)])
+def test_neighbours_shuffle_little(spark, kind, most):
+    """A place goes to its leaf and to few others; cells around each place and pairs of places are not shuffled. Bytes for each place."""
     sc = spark.sparkContext._jsc.sc()
 
     def shuffled():
         sc.listenerBus().waitUntilEmpty()
         return sc.statusStore().executorSummary("driver").totalShuffleWrite()
 
-    d = spark.createDataFrame(pd.DataFrame({"origin": "a", "x": RNG.random(20000), "y": RNG.random(20000)})).cache()
-    d.count()
+    d = spark.createDataFrame(pd.DataFrame({"origin": "a", "x": RNG.random(20000), "y": RNG.random(20000), "w": 1.0})).cache()
+    assert d.count() == 20000
+    ev = spark.createDataFrame([(str(i), i / 10, 0.5) for i in range(10)], "village_code string, x double, y double")
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         before = shuffled()
-        assert sp.knn_mean_distance(d, 10).count() == 20000
-        assert shuffled() - before < 20000 * 500
+        if kind == "neighbours":
+            assert sp.knn_mean_distance(d, 10).count() == 20000
+        else:
+            width = sp.Width(least=0.2, most=5.0)
+            assert sp.intensity(sp.bandwidth(d, width), ev, "village_code", width.range()).count() == 10
+        assert shuffled() - before < 20000 * most
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         d.unpersist()
